@@ -166,6 +166,32 @@ def _final(part: Block, more: bool):
     return common.by_batch(run)
 
 
+def clean(documents: DataFrame, benchmark: DataFrame, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
+    """The documents, with all their columns, in which no window of the benchmark occurs."""
+    spark = documents.sparkSession
+    common.prepare(spark)
+
+    def kept(part: Block):
+        def run(b: pa.RecordBatch):
+            tables, rows = _searches(part), []
+            for k, text in enumerate(b.column("text")):
+                words, found = common.words_of(text.as_py()), []
+                for s in tables:
+                    s.run(words, found)
+                    if found:
+                        break
+                if not found:
+                    rows.append(k)
+            if rows:
+                yield b.take(pa.array(rows, pa.int64()))
+
+        return common.by_batch(run)
+
+    for part in blocks(spark, benchmark, max_block_bytes):
+        documents = documents.mapInArrow(kept(part), documents.schema)
+    return documents
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import ans_output, bpe, decontaminate, ngram_join, substring_dedup, topk, url_rules
+from . import ans_output, bpe, decontaminate, html_extract, ngram_join, substring_dedup, token_counts, topk, toxicity, url_rules
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query,
     "op2_url_filters": url_rules.query,
     "op3_token_output": ans_output.query,
+    "op4_toxicity": toxicity.query,
+    "op5_html_extraction": html_extract.query,
     "op6_bpe": bpe.query,
     "op7_substring_dedup": substring_dedup.query,
+    "op8_token_counts": token_counts.query,
     "op9_decontaminate": decontaminate.query,
     "op10_topk": topk.query,
 }
