@@ -148,7 +148,7 @@ class Vocabulary:
                 if (ids := self._pieces.get(p)) is None:
                     ids = self.piece(p.encode().decode("latin-1"))
                     if len(p) <= 64:
-                        if len(self._pieces) >= 200_000:
+                        if len(self._pieces) >= 300_000:
                             self._pieces.clear()
                         self._pieces[p] = ids
                 out += ids
@@ -167,7 +167,7 @@ class Chunks:
     A key is what stands between two spaces; what starts a text is kept with a space behind it, as no other key has one.
     """
 
-    MOST = 300_000
+    MOST = 450_000
     _unsafe = re.compile(r"\s (?:\s|\Z)")
 
     def __init__(self, encode_all: Callable[[list[str]], list[list[int]]]):
@@ -196,7 +196,8 @@ class Chunks:
             return np.array(self.encode_all([text])[0], np.uint32)
         keys = text.split(" ")
         keys[0] += " "
-        new = [*(set(keys) - self.known.keys())]
+        known = self.known
+        new = [k for k in set(keys) if k not in known]
         if len(self.known) + len(new) > self.MOST:
             self._clear()
             new = [*set(keys)]
