@@ -1,0 +1,249 @@
+"""Translation of distinct texts by a model provider, batch by batch, with failover, splitting, gates and repair.
+
+The provider is called in mapInPandas, one row a batch. What it says isn't deterministic, so results are written once, to a
+table of the shared folder, before anything reads them twice; keys never enter a DataFrame or a plan.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from typing import Protocol
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import predicates as is_
+from ..functions import quality as Q
+from ..functions import replies as R
+from ..functions.text import compact, view
+from . import grouping
+
+
+class Provider(Protocol):
+    """Anything with a name that answers chat messages; it raises on failure. It must pickle."""
+
+    name: str
+
+    def complete(self, messages: list[dict[str, str]]) -> str: ...
+
+
+@dataclass
+class Stub:
+    """A deterministic provider for tests: marks each segment, or follows a script of replies; None in it is a failure."""
+
+    name: str = "stub"
+    script: list[str | None] | None = None
+    calls: int = 0
+
+    def complete(self, messages: list[dict[str, str]]) -> str:
+        self.calls += 1
+        if self.script is not None:
+            reply = self.script[(self.calls - 1) % len(self.script)]
+            if reply is None:
+                raise R.ReplyError("scripted failure")
+            return reply
+        body = messages[-1]["content"].partition(":\n")[2]
+        said = lambda t: "译" * max(2, len(t) // 3)
+        found = list(R.INDEX.finditer(body))
+        if not found:
+            return said(body)
+        ends = [*(m.start() for m in found[1:]), len(body)]
+        return "\n".join(f"[{m[1]}] {said(body[m.end():e].strip())}" for m, e in zip(found, ends))
+
+
+@dataclass
+class Http:
+    """A chat completions endpoint. The key comes from the named environment variable of the worker."""
+
+    name: str
+    model: str
+    url: str
+    key_variable: str
+    timeout: float = 60.0
+    temperature: float = 1.3
+
+    def complete(self, messages: list[dict[str, str]]) -> str:
+        import json
+        import os
+        import urllib.error
+        import urllib.request
+
+        payload = json.dumps({"model": self.model, "messages": messages, "temperature": min(2.0, max(0.0, self.temperature))}).encode()
+        request = urllib.request.Request(self.url, payload, {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ[self.key_variable]}"})
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+                said = json.load(reply)["choices"][0]["message"]["content"]
+        except (urllib.error.URLError, KeyError, IndexError, ValueError) as e:
+            raise R.ReplyError(f"{self.name}: {e}") from e
+        if not said or not said.strip():
+            raise R.ReplyError(f"{self.name}: empty reply")
+        return said
+
+
+@dataclass
+class Options:
+    max_blocks: int = grouping.MAX_BLOCKS
+    max_chars: int = grouping.MAX_CHARS
+    retries: int = 1
+    max_depth: int = 2
+    style: str = ""
+    single_fallback: bool = False
+    strict_repair: bool = True
+    rules: list[tuple[str, str]] = field(default_factory=list)
+
+    @classmethod
+    def compatible(cls, **more) -> Options:
+        """Smaller batches and more fallbacks, for weaker endpoints."""
+        return cls(**{"max_blocks": grouping.COMPAT_BLOCKS, "max_chars": max(1200, grouping.COMPAT_CHARS), "single_fallback": True, **more})
+
+
+def is_echo(source: str, target: str) -> bool:
+    """The echo gate for a single text where the reply arrives; the gate over tables is quality.echo."""
+    s, t = " ".join(source.split()).lower(), " ".join(target.split()).lower()
+    return bool(s) and s == t and sum(c.isascii() and c.isalpha() for c in s) >= 10
+
+
+def ask(texts: list[str], providers: list[Provider], options: Options, glossary: str = "", strict: bool = False) -> tuple[list[str], str, str | None]:
+    """(translations, provider used, provider given up or None): each provider gets its tries, then the next."""
+    hidden = [R.protect(t) for t in texts]
+    first, error = providers[0].name, None
+    for p in providers:
+        for _ in range(max(1, options.retries)):
+            try:
+                said = R.parse(p.complete(R.messages([t for t, _ in hidden], options.style, glossary, strict)), [t for t, _ in hidden])
+                out = [R.restore(x, f) for x, (_, f) in zip(said, hidden)]
+                bad = sum(map(is_echo, texts, out))
+                if bad and (len(texts) == 1 or bad >= max(2, len(texts) // 2)):
+                    raise R.ReplyError("untranslated echo")
+                return out, p.name, first if p.name != first else None
+            except Exception as e:
+                error = e
+    raise R.ReplyError(str(error))
+
+
+def ask_split(texts: list[str], providers: list[Provider], options: Options, glossary: str = "", depth: int = 0) -> tuple[list[str], list[tuple[str, str]]]:
+    """(translations, switches): a failed batch is halved, twice at most, unless it has two texts or fewer. A failed half fails all."""
+    try:
+        out, used, left = ask(texts, providers, options, glossary)
+        return out, [(left, used)] if left else []
+    except R.ReplyError:
+        if len(texts) <= 2 or depth >= options.max_depth:
+            raise
+    mid = len(texts) // 2
+    a, b = (ask_split(part, providers, options, "", depth + 1) for part in (texts[:mid], texts[mid:]))
+    return a[0] + b[0], a[1] + b[1]
+
+
+_REPLY = "doc_id long, page_no int, batch int, fps array<string>, texts array<string>, said array<string>, switches array<struct<from_provider:string,to_provider:string>>, error string"
+
+
+def call(batches: DataFrame, providers: list[Provider], options: Options) -> DataFrame:
+    """batches: doc_id, page_no, batch, fps, texts, glossary. said is null where all failed, with the error."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.to_dict("records"):
+                texts, said, switches, error = list(r["texts"]), None, [], None
+                try:
+                    said, found = ask_split(texts, providers, options, r["glossary"] or "")
+                    switches = [{"from_provider": a, "to_provider": b} for a, b in found]
+                except R.ReplyError as e:
+                    error = str(e)
+                rows.append((r["doc_id"], r["page_no"], r["batch"], list(r["fps"]), texts, said, switches, error))
+            yield pd.DataFrame(rows, columns=["doc_id", "page_no", "batch", "fps", "texts", "said", "switches", "error"])
+
+    return batches.mapInPandas(run, _REPLY)
+
+
+def retry(rows: DataFrame, providers: list[Provider], options: Options) -> DataFrame:
+    """rows (doc_id, page_no, fp, text) asked one by one in strict mode, and line by line if the whole fails: said, error."""
+
+    def one(text: str) -> tuple[str | None, str | None]:
+        try:
+            return ask([text], providers, options, strict=True)[0][0], None
+        except R.ReplyError as e:
+            parts = line_segments(text)
+            if len(parts) < 2:
+                return None, str(e)
+            try:
+                return "\n".join(ask([p], providers, options, strict=True)[0][0] for p in parts), None
+            except R.ReplyError as again:
+                return None, str(again)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [one(t) for t in frame["text"]]
+            yield frame[["doc_id", "page_no", "fp"]].assign(said=[x[0] for x in found], error=[x[1] for x in found])
+
+    return rows.select("doc_id", "page_no", "fp", "text").mapInPandas(run, "doc_id long, page_no int, fp string, said string, error string")
+
+
+def line_segments(text: str) -> list[str]:
+    """Lines gathered to segments for a rescue: at least three lines and 14 words; a segment has up to 320 characters and closes from 220 on."""
+    own = [x.strip() for x in text.splitlines() if x.strip()]
+    if len(own) < 3 or len(R.re.findall(r"\b[A-Za-z]{3,}\b", text)) < 14:
+        return []
+    out: list[str] = []
+    for line in own:
+        if out and len(out[-1]) < 220 and len(out[-1]) + 1 + len(line) <= 320 and (len(out[-1]) < 72 or not out[-1].endswith((".", "?", "!", ";", ":"))):
+            out[-1] += " " + line
+        else:
+            out.append(line)
+    return out
+
+
+def translate(blocks: DataFrame, memory: DataFrame, providers: list[Provider], options: Options, store, glossary: DataFrame | None = None) -> dict[str, DataFrame]:
+    """translations (doc_id, page_no, block_index, translation, source_of), untranslated, switches, memory (new entries), evicted.
+
+    blocks: doc_id, page_no, block_index, text. memory: doc_id, fp, translation. glossary: doc_id, glossary.
+    store(df, name) writes a table and reads it back.
+
+    Precedence: memory, batch, strict repair, rescue by lines, stock phrases and rules, original. Texts are distinct by document,
+    not only by page. Every block gets a row; duplicates share one result.
+    """
+    key = ["doc_id"]
+    rows = store(blocks.select("doc_id", "page_no", "block_index", "text").withColumn("prompt", compact(F.col("text"))), "prompts")
+    rows = rows.withColumn("fp", grouping.fingerprint(F.col("prompt")))
+    distinct = grouping.distinct_texts(rows.select("doc_id", "page_no", "block_index", F.struct("prompt", "text").alias("both"), "prompt"), key, "prompt", ["page_no", "block_index", "both"])
+    distinct = distinct.select("doc_id", "fp", "page_no", "block_index", "prompt", F.col("both.text").alias("text"))
+    looked = store(Q.judge(grouping.memory_lookup(distinct, memory, key), "text", "translation", "bad"), "lookup")
+    hits = looked.filter("not bad").select("doc_id", "fp", "translation", F.lit("memory").alias("source_of"))
+    evicted = looked.filter("bad and translation is not null").select("doc_id", "fp")
+    misses = looked.filter("bad").withColumn("chars", F.length("prompt")).select("doc_id", "page_no", "block_index", "fp", "prompt", "chars")
+    packed = grouping.pack(misses, ["doc_id", "page_no"], ["block_index"], "chars", options.max_blocks, options.max_chars)
+    ordered = F.array_sort(F.collect_list(F.struct("block_index", "fp", "prompt")))
+    batches = packed.groupBy("doc_id", "page_no", "batch").agg(ordered.alias("o")).select("doc_id", "page_no", "batch", F.col("o.fp").alias("fps"), F.col("o.prompt").alias("texts"))
+    terms = glossary if glossary is not None else blocks.select("doc_id").limit(0).withColumn("glossary", F.lit(""))
+    batches = batches.join(terms.select("doc_id", "glossary"), "doc_id", "left").withColumn("glossary", F.when(F.col("batch") == 1, F.col("glossary")))
+    replies = store(call(batches, providers, options), "replies")
+    # Of a failed batch, every text has null.
+    empty = F.transform("texts", lambda _: F.lit(None).cast("string"))
+    said = replies.select("doc_id", "page_no", F.explode(F.arrays_zip("fps", F.coalesce("said", empty).alias("said"))).alias("x"), "error").select("doc_id", "page_no", F.col("x.fps").alias("fp"), F.col("x.said").alias("said"), "error")
+    texts = looked.select("doc_id", "fp", "text", "prompt")
+    judged = store(Q.judge(Q.normalise(said.join(texts, ["doc_id", "fp"]), "text", "said", rules=options.rules), "text", "normalised", "bad"), "judged")
+    again = judged.filter("bad").withColumn("_force", F.lit(True) if options.single_fallback else (is_.force_retry(view(F.col("prompt"))) | F.col("said").isNotNull()))
+    again = again.filter(F.col("_force") & F.lit(options.strict_repair)).select("doc_id", "page_no", "fp", F.col("prompt").alias("text"))
+    second = store(retry(again, providers, options), "second").select("doc_id", "fp", F.col("said").alias("said2"))
+    repaired = Q.normalise(second.join(texts, ["doc_id", "fp"]), "text", "said2", "second", options.rules)
+    repaired = store(Q.judge(repaired, "text", "second", "bad2").select("doc_id", "fp", "second", (~F.col("bad2")).alias("ok2")), "repaired")
+    phrase = F.coalesce(Q.rule_table(options.rules, F.col("text")), Q.short_phrase(F.col("text")))
+    both = judged.join(repaired, ["doc_id", "fp"], "left").withColumn("phrase", phrase)
+    ok2 = F.coalesce("ok2", F.lit(False))
+    failed = F.when(F.col("said").isNotNull(), "low_quality_keep_original").when(is_.force_retry(view(F.col("prompt"))), "batch_translation_failed_keep_original").otherwise("batch_translation_failed_noncritical_keep_original")
+    chosen = both.select(
+        "doc_id", "page_no", "fp", F.when(~F.col("bad"), F.col("normalised")).when(ok2, F.col("second")).otherwise(F.coalesce("phrase", "text")).alias("translation"),
+        F.when(~F.col("bad"), "batch").when(ok2, "repair").when(F.col("phrase").isNotNull(), "phrase").otherwise("original").alias("source_of"),
+        F.when(F.col("bad") & ~ok2 & F.col("phrase").isNull(), failed).alias("reason"),
+    )
+    chosen = store(chosen, "chosen")
+    results = hits.unionByName(chosen.select("doc_id", "fp", "translation", "source_of"))
+    return {
+        "translations": grouping.fan_out(rows.select("doc_id", "page_no", "block_index", "fp"), results, key).drop("fp"),
+        "untranslated": chosen.filter("reason is not null").join(texts, ["doc_id", "fp"]).select("doc_id", "page_no", F.substring("text", 1, 160).alias("source_excerpt"), "reason"),
+        "switches": replies.select("doc_id", "page_no", F.explode("switches").alias("s")).select("doc_id", "page_no", "s.*"),
+        "memory": chosen.filter("source_of in ('batch', 'repair')").select("doc_id", "fp", "translation"),
+        "evicted": evicted,
+    }
