@@ -132,15 +132,15 @@ def echo_line(source: Column, line: Column) -> Column:
     return (F.length(collapse(line)) >= 16) & left_in_english(source, line, True)
 
 
-def without_echo(source: Column, target: Column) -> Column:
-    """Without lines, and a beginning, that repeat the source."""
-    s, t = collapse(source), strip(target)
-    own = lines(t)
-    kept = F.filter(own, lambda x: ~echo_line(s, x))
-    t1 = F.when((F.size(own) >= 2) & (F.size(kept) > 0) & (F.size(kept) < F.size(own)), F.array_join(kept, "\n")).otherwise(t)
-    tail = F.ltrim(F.substring(t1, F.length(s) + 1, F.length(t1)), F.lit(" \t\r\n:：-"))
-    t2 = F.when((F.length(s) >= 16) & F.lower(t1).startswith(F.lower(s)) & (tail != ""), tail).otherwise(t1)
-    return F.when((s == "") | (t == ""), t).otherwise(without_residue(s, t2))
+def without_echo_lines(source: Column, target: Column) -> Column:
+    own = lines(target)
+    kept = F.filter(own, lambda x: ~echo_line(source, x))
+    return F.when((F.size(own) >= 2) & (F.size(kept) > 0) & (F.size(kept) < F.size(own)), F.array_join(kept, "\n")).otherwise(strip(target))
+
+
+def without_echo_prefix(source: Column, target: Column) -> Column:
+    tail = F.ltrim(F.substring(target, F.length(source) + 1, F.length(target)), F.lit(" \t\r\n:：-"))
+    return F.when((F.length(source) >= 16) & F.lower(target).startswith(F.lower(source)) & (tail != ""), tail).otherwise(target)
 
 
 def large_segment(source_lower: Column, target: Column, source_words: Column, title: bool) -> Column:
@@ -212,17 +212,19 @@ def trimmed_fragment(source: Column, target: Column) -> Column:
     )
 
 
-def tight_box(source: Column, target: Column, height: Column, width: Column) -> Column:
-    """A translation cut to suit a low box."""
-    s = collapse(source)
-    t = trimmed_items(s, collapse(target))
-    n, en = F.length(s), words(s)
-    marks = occurrences(t, "。！？.;；")
-    small = truncated(t, F.greatest(F.lit(42), F.least(F.lit(68), _share(n, 0.62))))
-    low = (height <= 42.0) & (width.isNull() | (width >= 150.0)) & (en >= 6) & (F.length(t) >= 56) & (marks >= 1) & (small != "") & (F.length(small) + 4 < F.length(t))
-    t2 = F.when(F.coalesce(low, F.lit(False)), small).otherwise(t)
-    long_ = (n <= 220) & (en >= 5) & (cjk(t2) >= 42) & (F.length(t) >= _at_least(125, _share(n, 1.45))) & (marks >= 2)
-    return F.when((s == "") | (t == ""), t).when(long_, truncated(t2, _at_least(108, _share(n, 1.3)))).otherwise(t2)
+def tight_box(df: DataFrame, source: str, target: str, height: Column, width: Column, out: str) -> DataFrame:
+    """df with ``out``: a translation cut to suit a low box. Each cut is a projection."""
+    df = df.withColumns({"_s": collapse(F.col(source)), "_t": collapse(F.col(target))})
+    df = df.withColumn("_t", F.when(F.col("_s") == "", F.col("_t")).otherwise(trimmed_items(F.col("_s"), F.col("_t"))))
+    s, t, t2 = F.col("_s"), F.col("_t"), F.col("_t2")
+    df = df.withColumns({"_n": F.length(s), "_en": words(s), "_marks": occurrences(t, "。！？.;；")})
+    n, en, marks = F.col("_n"), F.col("_en"), F.col("_marks")
+    df = df.withColumn("_small", truncated(t, F.greatest(F.lit(42), F.least(F.lit(68), _share(n, 0.62)))))
+    low = (height <= 42.0) & (width.isNull() | (width >= 150.0)) & (en >= 6) & (F.length(t) >= 56) & (marks >= 1) & (F.col("_small") != "") & (F.length("_small") + 4 < F.length(t))
+    df = df.withColumn("_t2", F.when(F.coalesce(low, F.lit(False)), F.col("_small")).otherwise(t))
+    long_ = (n <= 220) & (en >= 5) & (cjk(t) >= 42) & (F.length(t) >= _at_least(125, _share(n, 1.45))) & (marks >= 2)
+    df = df.withColumn(out, F.when((s == "") | (t == ""), t).when(long_, truncated(t2, _at_least(108, _share(n, 1.3)))).otherwise(t2))
+    return df.drop("_s", "_t", "_t2", "_n", "_en", "_marks", "_small")
 
 
 #: What LaTeX and HTML leave behind, and what stands for it, in this order.
@@ -322,7 +324,9 @@ def steps_of_normalising(rules: list[tuple[str, str]] | None = None) -> list:
         lambda s, x: strip(sub(strip(x), "译文：|翻译：")),
         lambda s, x: without_artefacts(x),
         lambda s, x: without_meta(x),
-        without_echo,
+        without_echo_lines,
+        without_echo_prefix,
+        without_residue,
         lambda s, x: F.coalesce(rule_table(rules or [], s), x),
         trimmed_items,
         trimmed_fragment,
@@ -337,10 +341,11 @@ def normalise(df, source: str, target: str, out: str = "normalised", rules: list
 
     Where nothing would be left, the translation stays as it was.
     """
-    df = df.withColumn("_x", F.coalesce(F.col(target), F.lit("")))
+    df = df.withColumns({"_x": F.coalesce(F.col(target), F.lit("")), "_src": collapse(F.coalesce(F.col(source), F.lit("")))})
+    echoes = (without_echo_lines, without_echo_prefix, without_residue)
     for step in steps_of_normalising(rules):
-        df = df.withColumn("_x", step(F.col(source), F.col("_x")))
-    return df.withColumn(out, F.when(F.col("_x") == "", F.col(target)).otherwise(F.col("_x"))).drop("_x")
+        df = df.withColumn("_x", step(F.col("_src") if step in echoes else F.col(source), F.col("_x")))
+    return df.withColumn(out, F.when(F.col("_x") == "", F.col(target)).otherwise(F.col("_x"))).drop("_x", "_src")
 
 
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("all_of", "annotations")]

@@ -142,17 +142,17 @@ _FITTED = "doc_id long, page_no int, block_index int, status string, font double
 def render(blocks: DataFrame, model: WidthModel = em_width) -> DataFrame:
     """doc_id, page_no, block_index, status, font, line_height, y, lines. blocks: rectangle, base_font_size, text, translation."""
     s = collapse(F.col("text"))
-    ready = blocks.withColumn("_t", render_text(F.col("text"), F.col("translation")))
-    ready = ready.withColumn("_c", Q.tight_box(F.col("text"), F.col("_t"), F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")))
-    t = collapse(F.col("_t"))
+    ready = blocks.withColumn("_set", render_text(F.col("text"), F.col("translation")))
+    ready = Q.tight_box(ready, "text", "_set", F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0"), "_c")
+    t = collapse(F.col("_set"))
     short = words(s).between(2, 7) & (F.length(s) <= 64) & (occurrences(s, ",;:.?!，；：。") <= 1) & (F.col("y1") - F.col("y0") <= 34.0) & (F.col("x1") - F.col("x0") >= 120.0) & (F.length(t) <= 24) & (cjk(t) <= 12)
-    ready = ready.filter(F.col("_t") != "").select("doc_id", "page_no", "block_index", *(F.col(n).cast("double").alias(n) for n in ("x0", "y0", "x1", "y1", "base_font_size")), short.alias("short"), "_t", "_c")
+    ready = ready.filter(F.col("_set") != "").select("doc_id", "page_no", "block_index", *(F.col(n).cast("double").alias(n) for n in ("x0", "y0", "x1", "y1", "base_font_size")), short.alias("short"), "_set", "_c")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for b in frame.to_dict("records"):
-                status, f, y = placed(b, b["_t"], b["_c"], model)
+                status, f, y = placed(b, b["_set"], b["_c"], model)
                 rows.append((b["doc_id"], b["page_no"], b["block_index"], status, f.font if f else None, f.line_height if f else None, y if f else None, f.lines if f else None))
             yield pd.DataFrame(rows, columns=["doc_id", "page_no", "block_index", "status", "font", "line_height", "y", "lines"])
 
