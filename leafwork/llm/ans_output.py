@@ -73,10 +73,10 @@ class Coder:
         states = np.zeros((n_blocks, turns // per, LANES), np.uint64)
         places = np.zeros((n_blocks, turns // per), np.int64)
         scale = np.uint64((int(_LOW) >> BITS) << 32)
-        bits = np.uint64(BITS)
+        bits, every, short = np.uint64(BITS), slice(None), int(last_turn.min())
         for turn in range(turns - 1, -1, -1):
-            live = np.flatnonzero(last_turn > turn)
-            if len(live):
+            live = every if turn < short else np.flatnonzero(last_turn > turn)
+            if live is every or len(live):
                 s = grid[live, turn]
                 f, y = self.f[s], x[live]
                 full = y >= scale * f
@@ -85,7 +85,8 @@ class Coder:
                     at[live] -= counts
                     rank = np.cumsum(full, axis=1) - 1
                     b, lane = np.nonzero(full)
-                    words[live[b], at[live[b]] + rank[b, lane]] = (y[b, lane] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                    own = b if live is every else live[b]
+                    words[own, at[own] + rank[b, lane]] = (y[b, lane] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                     y[full] >>= _32
                 q = y // f
                 x[live] = (q << bits) + (y - q * f) + self.cum[s]
@@ -99,9 +100,9 @@ class Coder:
         x, at = states.copy(), starts.astype(np.int64).copy()
         most = int(turns.max(initial=0))
         out = np.zeros((len(states), most, LANES), np.uint32)
-        mask, bits = np.uint64((1 << BITS) - 1), np.uint64(BITS)
+        mask, bits, every, short = np.uint64((1 << BITS) - 1), np.uint64(BITS), slice(None), int(turns.min(initial=0))
         for turn in range(most):
-            live = np.flatnonzero(turns > turn)
+            live = every if turn < short else np.flatnonzero(turns > turn)
             y = x[live]
             slot = y & mask
             s = self.symbol[slot]
@@ -111,7 +112,8 @@ class Coder:
             if need.any():
                 rank = np.cumsum(need, axis=1) - 1
                 b, lane = np.nonzero(need)
-                y[b, lane] = y[b, lane] << _32 | words[at[live[b]] + rank[b, lane]].astype(np.uint64)
+                own = b if live is every else live[b]
+                y[b, lane] = y[b, lane] << _32 | words[at[own] + rank[b, lane]].astype(np.uint64)
                 at[live] += need.sum(axis=1)
             x[live] = y
         return out
@@ -160,19 +162,19 @@ def unpack(coder: Coder, data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return doc_ids, sizes, ids
 
 
-def _counted(n: int):
+def _counted(n: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(n, np.int64)
         for b in batches:
-            for x in b.column("ids"):
-                counts += np.bincount(np.frombuffer(x.as_buffer(), "<u4"), minlength=n)
+            for ids in common.joined(b.column("ids")):
+                counts += np.bincount(np.frombuffer(ids, kind), minlength=n)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["id", "n"])
 
     return run
 
 
-def _written(frequencies, folder: str):
+def _written(frequencies, folder: str, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, shard, docs, ids, size = Coder(frequencies.value), None, [], [], 0
 
@@ -196,7 +198,7 @@ def _written(frequencies, folder: str):
                     part[0] = p
                 shard = s
                 docs.append(d)
-                ids.append(np.frombuffer(x.as_buffer(), "<u4"))
+                ids.append(np.frombuffer(x.as_buffer(), kind))
                 size += len(ids[-1])
         if docs:
             yield flush()
@@ -212,17 +214,17 @@ def write(documents: DataFrame, path: str, scratch: common.Scratch) -> tuple[Dat
     spark = documents.sparkSession
     rows = common.row_key(documents)
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    end = np.array([END_ID], "<u4").tobytes()
-    ids = bpe.encode(ordered.withColumn("shard", F.spark_partition_id().cast("long")).withColumn("place", F.monotonically_increasing_id()), path, library=True)
-    held = scratch.write(ids.withColumn("ids", F.concat("ids", F.lit(end))), "ids")
     n = max(bpe.worker_bytes(path)) + 1
+    kind = "<u2" if n <= 1 << 16 else "<u4"
+    ids = bpe.encode(ordered.withColumn("shard", F.spark_partition_id().cast("long")).withColumn("place", F.monotonically_increasing_id()), path, library=True, kind=kind, end=END_ID)
+    held = scratch.write(ids, "ids")
     counts = np.zeros(n, np.int64)
-    for i, c in held.select("ids").mapInArrow(_counted(n), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
+    for i, c in held.select("ids").mapInArrow(_counted(n, kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
         counts[i] = c
     f = quantised(counts)
     folder = f"{scratch.path}/files"
     shared = spark.sparkContext.broadcast(f)
-    manifest = scratch.write(held.mapInArrow(_written(shared, folder), MANIFEST), "manifest")
+    manifest = scratch.write(held.mapInArrow(_written(shared, folder, kind), MANIFEST), "manifest")
     common.put_file(f"{folder}/frequencies.bin", f.astype("<u4").tobytes())
     scratch.drop("ids")
     return manifest, f

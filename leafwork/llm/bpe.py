@@ -163,53 +163,167 @@ class Chunks:
 
     A split pattern of this kind never lets a piece run on over a space that follows a character other than white space, and
     whether it does over other spaces depends only on the characters beside them. So a text may be cut before each space,
-    but for spaces with white space on both sides; texts that have those are encoded in one go.
-    A key is what stands between two spaces; what starts a text is kept with a space behind it, as no other key has one.
+    but for spaces with white space on both sides; texts that have those are encoded in one go. A piece ends, too, where a
+    stop follows a letter or digit, and on both sides of a single newline between other characters; cuts there make the
+    chunks fewer.
+
+    Chunks are told apart by two independent hashes of 64 and 32 bits, all in numpy. encode_all encodes texts one by one. With sizes (the
+    bytes of each token), unknown chunks are encoded as one text, which may be cut where they meet, and its ids are dealt out
+    by their bytes.
     """
 
-    MOST = 450_000
+    MOST = 700_000
     _unsafe = re.compile(r"\s (?:\s|\Z)")
-
-    def __init__(self, encode_all: Callable[[list[str]], list[list[int]]]):
-        self.encode_all = encode_all
+    _A, _B = common.mix(np.arange(512, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, 256)
+    _B = (_B >> np.uint64(32)).astype(np.uint32)
+    # Last bytes of white space, and first ones, of any kind.
+    _ENDS_BLANK = (np.arange(256) <= 32) | np.isin(np.arange(256), [0x85, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF, *range(0x80, 0x8B)])
+    _STARTS_BLANK = (np.arange(256) <= 32) | np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+    # First bytes, and first of the last three bytes, with which white space beyond ASCII can begin.
+    _WIDE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+    _BLANK = np.arange(256) <= 32
+    _SOLID = (np.arange(256) > 32) & (np.arange(256) < 127)
+    _STOP = np.isin(np.arange(256), np.frombuffer(b",.;:!?", np.uint8))
+    _ALNUM = np.isin(np.arange(256), np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8))
+
+    def __init__(self, encode_all: Callable[[list[str]], list[list[int]]], sizes: np.ndarray | None = None):
+        self.encode_all, self.sizes = encode_all, sizes
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.h, self.h2, self.at = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)  # sorted by h
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.start, self.size = np.zeros(self.MOST + 1, np.int64), np.zeros(self.MOST + 1, np.int64)
-
-    def _learn(self, keys: list[str]) -> None:
-        for key, ids in zip(keys, self.encode_all([k[:-1] if k.endswith(" ") else " " + k for k in keys])):
-            end = self.used + len(ids)
-            if end > len(self.pool):
-                self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)))
-            self.pool[self.used : end] = ids
-            k = len(self.known)
-            self.start[k], self.size[k], self.known[key] = self.used, len(ids), k
-            self.used = end
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _hash(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inverse, size = common.powers(len(data), True)[starts], (ends - starts).astype(np.uint64)
+        prefix = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self._A[data] * common.powers(len(data)), out=prefix[1:])
+        short = np.zeros(len(data) + 1, np.uint32)
+        np.cumsum(self._B[data] * common.powers(len(data), half=True), out=short[1:], dtype=np.uint32)
+        return common.mix((prefix[ends] - prefix[starts]) * inverse + size), (short[ends] - short[starts]) * inverse.astype(np.uint32)
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, h2: np.ndarray) -> None:
+        size = ends - starts
+        blank = self._BLANK[data[np.minimum(starts + 1, len(data) - 1)]] | self._BLANK[data[ends - 1]]
+        plain = (data[starts] == 32) & (size > 1) & ~blank & ~self._edge_blank(data, starts, ends) if self.sizes is not None else np.zeros(len(starts), bool)
+        ids, sizes = np.zeros(0, np.uint32), np.zeros(len(starts), np.int64)
+        joined = np.flatnonzero(plain)
+        if len(joined):
+            text = data[_ranges(starts[joined], size[joined])].tobytes().decode()
+            ids = np.array(self.encode_all([text])[0], np.int64)
+            got, want = np.cumsum(self.sizes[ids]), np.cumsum(size[joined])
+            cut = np.searchsorted(got, want)
+            if got[-1] == want[-1] and (got[cut] == want).all():
+                sizes[joined] = np.diff(cut, prepend=-1)
+            else:
+                ids, joined, plain = np.zeros(0, np.uint32), joined[:0], np.zeros(len(starts), bool)
+        rest = np.flatnonzero(~plain)
+        each = self.encode_all([data[starts[k] : ends[k]].tobytes().decode() for k in rest]) if len(rest) else []
+        sizes[rest] = [len(x) for x in each]
+        order = np.concatenate((joined, rest))
+        added = np.concatenate((ids, np.array([i for x in each for i in x], np.uint32))).astype(np.uint32)
+        end = self.used + len(added)
+        if end > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), len(added)), np.uint32)))
+        self.pool[self.used : end] = added
+        base = len(self.start)
+        n = sizes[order]
+        self.start, self.size = np.concatenate((self.start, self.used + np.cumsum(n) - n)), np.concatenate((self.size, n))
+        self.used = end
+        where = np.empty(len(order), np.int64)
+        where[order] = base + np.arange(len(order))
+        p = np.searchsorted(self.h, h)
+        self.h, self.h2, self.at = np.insert(self.h, p, h), np.insert(self.h2, p, h2), np.insert(self.at, p, where)
+
+    def _edge_blank(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which chunks have white space beyond ASCII behind their space or at their end."""
+        out = np.zeros(len(starts), bool)
+        wide = self._WIDE[data[np.minimum(starts + 1, len(data) - 1)]] | self._WIDE[data[np.maximum(ends - 2, 0)]] | self._WIDE[data[np.maximum(ends - 3, 0)]]
+        for k in np.flatnonzero(wide):
+            t = data[starts[k] : ends[k]].tobytes().decode()
+            out[k] = t[1:2].isspace() or t[-1].isspace()
+        return out
 
-    def __call__(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        if self._unsafe.search(text):
-            return np.array(self.encode_all([text])[0], np.uint32)
-        keys = text.split(" ")
-        keys[0] += " "
-        known = self.known
-        new = [k for k in set(keys) if k not in known]
-        if len(self.known) + len(new) > self.MOST:
+    def _suspicious(self, data: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Which texts may have a space with white space on both sides, or at their end behind white space."""
+        blank = self._STARTS_BLANK[data]
+        follows = np.append(blank[1:], True)
+        follows[first[1:] - 1] = True
+        before = np.append(False, self._ENDS_BLANK[data[:-1]])
+        return np.unique(np.searchsorted(first, np.flatnonzero((data == 32) & before & follows), "right") - 1)
+
+    def many(self, texts: list[str] | list[bytes]) -> list[np.ndarray]:
+        """Ids of each text; unknown chunks of all of them are learnt together."""
+        raw_all = [t.encode() if isinstance(t, str) else t for t in texts]
+        out: list = [np.zeros(0, np.uint32)] * len(texts)
+        safe = [k for k, t in enumerate(raw_all) if t]
+        if not safe:
+            return out
+        raw = [raw_all[k] for k in safe]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        first = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+        unsafe = {safe[n] for n in self._suspicious(data, first) if self._unsafe.search(raw[n].decode())}
+        if unsafe:
+            for k in unsafe:
+                out[k] = np.array(self.encode_all([raw_all[k].decode()])[0], np.uint32)
+            safe = [k for k in safe if k not in unsafe]
+            if not safe:
+                return out
+            raw = [raw_all[k] for k in safe]
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            first = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+        edge = data == 32
+        solid, newline = self._SOLID[data], data == 10
+        edge[1:] |= self._STOP[data[1:]] & self._ALNUM[data[:-1]]
+        alone = newline[1:-1] & solid[:-2] & solid[2:]
+        edge[1:-1] |= alone
+        edge[2:] |= alone
+        edge[first[:-1]] = True
+        starts = np.flatnonzero(edge)
+        ends = np.append(starts[1:], len(data))
+        h, h2 = self._hash(data, starts, ends)
+        distinct, index, inverse = np.unique(h, return_index=True, return_inverse=True)
+        second = h2[index]
+        if (h2 != second[inverse]).any():  # two chunks with one hash: they aren't cached
+            for k in safe:
+                out[k] = np.array(self.encode_all([raw_all[k].decode()])[0], np.uint32)
+            return out
+        if len(self.h) + len(distinct) > self.MOST:
+            fresh = ~self._known(distinct, second)[0]
+            if len(self.h) + fresh.sum() > self.MOST:
+                self._clear()
+        known, _ = self._known(distinct, second)
+        new = np.flatnonzero(~known)
+        if len(new):
+            self._learn(data, starts[index[new]], ends[index[new]], distinct[new], second[new])
+        known, at = self._known(distinct, second)
+        if not known.all():  # the cache has another chunk under a hash
             self._clear()
-            new = [*set(keys)]
-            if len(new) > self.MOST:
-                return np.array(self.encode_all([text])[0], np.uint32)
-        if new:
-            self._learn(new)
-        k = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+            return self.many(texts)
+        k = at[inverse]
         size = self.size[k]
-        ends = np.cumsum(size)
-        at = np.arange(ends[-1]) + np.repeat(self.start[k] - (ends - size), size)
-        return self.pool[at]
+        stop = np.concatenate(([0], np.cumsum(size)))
+        ids = self.pool[_ranges(self.start[k], size)]
+        bounds = stop[np.searchsorted(starts, first)]
+        for n, k in enumerate(safe):
+            out[k] = ids[bounds[n] : bounds[n + 1]]
+        return out
+
+    def _known(self, h: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.h):
+            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+        p = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return (self.h[p] == h) & (self.h2[p] == h2), self.at[p]
+
+    def __call__(self, text: str) -> np.ndarray:
+        return self.many([text])[0]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for size[0] values, then those of the next."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
 
 
 _made: dict = {}
@@ -229,9 +343,9 @@ def _dp_chunks(path: str) -> Chunks:
     return _made[path, "dp chunks"]
 
 
-def library_chunks(path: str) -> Chunks:
-    """The same cache before the tokenizers library."""
-    if (path, "library") not in _made:
+def library_chunks(path: str, special: bool = True) -> Chunks:
+    """The same cache before the tokenizers library; without special, special tokens' strings are ordinary text."""
+    if (path, "library", special) not in _made:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -240,8 +354,11 @@ def library_chunks(path: str) -> Chunks:
         t = Tokenizer.from_file(path)
         t.no_padding()
         t.no_truncation()
-        _made[path, "library"] = Chunks(lambda texts: [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)])
-    return _made[path, "library"]
+        t.encode_special_tokens = not special
+        of = worker_bytes(path)
+        sizes = np.array([len(of.get(i, b"")) for i in range(max(of) + 1)], np.int64)
+        _made[path, "library", special] = Chunks(lambda texts: [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)], sizes)
+    return _made[path, "library", special]
 
 
 def _with(batch: pa.RecordBatch, drop: str, **columns: pa.Array) -> pa.RecordBatch:
@@ -249,13 +366,16 @@ def _with(batch: pa.RecordBatch, drop: str, **columns: pa.Array) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns.values()], names=[*names, *columns])
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", library: bool = False) -> DataFrame:
-    """Replaces the text column by its ids: little-endian unsigned 32-bit integers as binary."""
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", library: bool = False, kind: str = "<u4", end: int | None = None) -> DataFrame:
+    """Replaces the text column by its ids: little-endian unsigned 32-bit integers (or those of ``kind``) as binary; with an end id, each text ends with it."""
+    tail = b"" if end is None else np.array([end], kind).tobytes()
     common.prepare(df.sparkSession)
 
     def run(batch: pa.RecordBatch):
         chunks = (library_chunks if library else _dp_chunks)(path)
-        yield _with(batch, text, **{ids: pa.array([chunks(t.as_py() or "").astype("<u4").tobytes() for t in batch.column(text)], pa.binary())})
+        texts = common.encoded(batch.column(text))
+        out = [x.astype(kind).tobytes() + tail for a, z in common.steps(texts) for x in chunks.many(texts[a:z])]
+        yield _with(batch, text, **{ids: pa.array(out, pa.binary())})
 
     schema = df.drop(text).withColumn(ids, F.lit(None).cast("binary")).schema
     return df.mapInArrow(common.by_batch(run), schema)

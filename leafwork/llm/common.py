@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def prepare(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for long texts: rows by count and, where Spark has it, by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
@@ -89,7 +89,7 @@ def get_file(uri: str) -> bytes:
         return src.read()
 
 
-def steps(texts: list[bytes], most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
+def steps(texts: list[bytes] | list[str], most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """(first, end) of runs of texts of about ``most`` bytes; a longer text is a run of its own."""
     first = size = 0
     for i, t in enumerate(texts):
@@ -134,7 +134,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 _powers: dict[str, np.ndarray] = {}
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
+def powers(n: int, inverse: bool = False, half: bool = False) -> np.ndarray:
+    if half:
+        if len(_powers.get("h", ())) < n:
+            made = powers(n).astype(np.uint32)
+            if n > 4 * STEP_BYTES:
+                return made
+            _powers["h"] = powers(max(n, STEP_BYTES)).astype(np.uint32)
+        return _powers["h"][:n]
     key = "i" if inverse else "p"
     if key not in _powers or len(_powers[key]) < n:
         size = max(n, 1 << 16)
@@ -151,6 +158,14 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     """64-bit hashes of data[start:end], by prefix sums of a polynomial modulo 2**64."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if len(data) > 2 * STEP_BYTES and len(starts) > 1:  # in parts, for the sake of memory
+        out, a = [], 0
+        while a < len(starts):
+            z = max(a + 1, int(np.searchsorted(starts, starts[a] + STEP_BYTES)))
+            lo, hi = int(starts[a]), int(ends[z - 1])
+            out.append(span_hash(data[lo:hi], starts[a:z] - lo, ends[a:z] - lo))
+            a = z
+        return np.concatenate(out)
     prefix = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=prefix[1:])
     h = (prefix[ends] - prefix[starts]) * powers(len(data), True)[starts]
@@ -204,6 +219,15 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def joined(column: pa.Array) -> Iterator[memoryview]:
+    """The bytes of a binary column's values one behind another, without a copy."""
+    if len(column):
+        _, offsets, data = column.buffers()
+        wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+        at = np.frombuffer(offsets, wide)[column.offset : column.offset + len(column) + 1]
+        yield memoryview(data)[int(at[0]) : int(at[-1])]
+
+
 def row_key(df: DataFrame) -> DataFrame:
     """doc_id as a long and text as a string, whatever other columns there are."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
