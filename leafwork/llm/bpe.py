@@ -127,7 +127,7 @@ class Vocabulary:
             else:
                 key = last[start] << 20 | t
                 if (ok := pairs.get(key)) is None:
-                    if len(pairs) >= 500_000:
+                    if len(pairs) >= 250_000:
                         pairs.clear()
                     ok = pairs[key] = self.single(t) and self.compatible(last[start], t)
             if ok:
@@ -148,7 +148,7 @@ class Vocabulary:
                 if (ids := self._pieces.get(p)) is None:
                     ids = self.piece(p.encode().decode("latin-1"))
                     if len(p) <= 64:
-                        if len(self._pieces) >= 300_000:
+                        if len(self._pieces) >= 60_000:
                             self._pieces.clear()
                         self._pieces[p] = ids
                 out += ids
@@ -172,7 +172,7 @@ class Chunks:
     by their bytes.
     """
 
-    MOST = 700_000
+    MOST = 500_000
     _unsafe = re.compile(r"\s (?:\s|\Z)")
     _A, _B = common.mix(np.arange(512, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, 256)
     _B = (_B >> np.uint64(32)).astype(np.uint32)
@@ -405,9 +405,26 @@ def worker_bytes(path: str) -> dict[int, bytes]:
     return _made[path, "bytes"]
 
 
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Replaces the text column by its ids and what they decode to, in one pass through Python."""
+    common.prepare(df.sparkSession)
+
+    def run(batch: pa.RecordBatch):
+        chunks, of = _dp_chunks(path), worker_bytes(path)
+        texts, out, back = common.encoded(batch.column(text)), [], []
+        for a, z in common.steps(texts):
+            for x in chunks.many(texts[a:z]):
+                out.append(x.astype("<u4").tobytes())
+                back.append(b"".join(map(of.__getitem__, x.tolist())).decode("utf-8", "replace"))
+        yield _with(batch, text, **{ids: pa.array(out, pa.binary()), decoded: pa.array(back, pa.string())})
+
+    schema = df.drop(text).withColumns({ids: F.lit(None).cast("binary"), decoded: F.lit(None).cast("string")}).schema
+    return df.mapInArrow(common.by_batch(run), schema)
+
+
 def digests(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row."""
-    both = decode(encode(common.row_key(documents), path), path, text="decoded")
+    both = round_trip(common.row_key(documents), path)
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
