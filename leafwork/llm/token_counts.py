@@ -8,6 +8,7 @@ It has no index, so where documents lie is found by searching for that id:
    carries their count, and the count of documents, into the next block;
 3. a prefix scan over the files, one row each, makes both global.
 
+The writer encodes the separator's own string, where a text has it, as ordinary text, so no document holds the id.
 Ids after the last separator of a file are an unfinished document: reported with ``closed`` false, and it ends with the file.
 An empty file has no documents; two separators in a row hold an empty document between them.
 """
@@ -61,7 +62,7 @@ def write(documents: DataFrame, path: str, scratch: common.Scratch, end_id: int
     folder = f"{scratch.path}/flat"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = bpe.library_chunks(path)
+        chunks = bpe.library_chunks(path, special=False)  # so that no text holds the separator
         docs, parts, size = [], [], 0
 
         def flush():
@@ -71,8 +72,10 @@ def write(documents: DataFrame, path: str, scratch: common.Scratch, end_id: int
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(data)], pa.int64()), pa.array([docs], pa.list_(pa.int64()))], names=["file", "n_bytes", "doc_ids"])
 
         for b in batches:
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                ids = np.append(chunks(t.as_py() or ""), np.uint32(end_id)).astype("<u2")
+            texts = common.encoded(b.column("text"))
+            found = (x for a, z in common.steps(texts) for x in chunks.many(texts[a:z]))
+            for d, x in zip(b.column("doc_id").to_pylist(), found):
+                ids = np.append(x, np.uint32(end_id)).astype("<u2")
                 if docs and size + len(ids) > FILE_TOKENS:
                     yield flush()
                     docs, parts, size = [], [], 0
