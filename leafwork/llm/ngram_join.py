@@ -272,9 +272,9 @@ def join(documents: DataFrame, scratch: common.Scratch | None = None, block: int
 def keep_one(documents: DataFrame) -> DataFrame:
     """The documents but for all of each class except the one with the least doc_id. Rows without doc_id stay."""
     done = join(documents)
-    stay = done.filter("doc_id = class_id").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    own = documents.withColumn("_digest2", digest())
-    kept = own.join(stay, (own["doc_id"] == stay["_id"]) & (own["_digest2"] == stay["_digest"]), "left_semi").drop("_digest2")
+    stay = done.filter("doc_id = class_id").select(F.col("doc_id").alias("_key_id"), F.col("digest").alias("_key_digest")).distinct()
+    own = documents.withColumn("_own_digest", digest())
+    kept = own.join(stay, (own["doc_id"] == stay["_key_id"]) & (own["_own_digest"] == stay["_key_digest"]), "left_semi").drop("_own_digest")
     return kept.dropDuplicates(["doc_id", "text"]).unionByName(documents.filter("doc_id is null"))
 
 

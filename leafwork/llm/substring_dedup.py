@@ -147,14 +147,14 @@ def without(text: str, spans: list[dict]) -> str:
 
 def cut_repeats(documents: DataFrame) -> DataFrame:
     """The documents with later occurrences of repeated passages cut out of text, and n_chars to match."""
-    cuts = find(documents).filter(F.size("cut") > 0).select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid"), "cut").dropDuplicates(["_id", "_tid"])
+    cuts = find(documents).filter(F.size("cut") > 0).select(F.col("doc_id").alias("_key_id"), F.col("tid").alias("_key_tid"), F.col("cut").alias("_cut_spans")).dropDuplicates(["_key_id", "_key_tid"])
     own = documents.withColumn("_own_tid", F.xxhash64(F.col("text").cast("string")))
-    both = own.join(cuts, own["doc_id"].cast("long").eqNullSafe(cuts["_id"]) & (own["_own_tid"] == cuts["_tid"]), "left").drop("_id", "_tid", "_own_tid")
+    both = own.join(cuts, own["doc_id"].cast("long").eqNullSafe(cuts["_key_id"]) & (own["_own_tid"] == cuts["_key_tid"]), "left").drop("_key_id", "_key_tid", "_own_tid")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = [without(t, c) if c and t else t for t, c in zip(batch.column("text").to_pylist(), batch.column("cut").to_pylist())]
+        texts = [without(t, c) if c and t else t for t, c in zip(batch.column("text").to_pylist(), batch.column("_cut_spans").to_pylist())]
         changed = {"text": pa.array(texts, pa.string())}
-        names = [n for n in batch.schema.names if n != "cut"]
+        names = [n for n in batch.schema.names if n != "_cut_spans"]
         yield pa.RecordBatch.from_arrays([changed.get(n, batch.column(n)) for n in names], names=names)
 
     out = both.mapInArrow(common.by_batch(run), documents.schema)
