@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, STRIDE = 32, 16
-POSITIVE, NEGATIVE, SAMPLE_CHARS = 1500, 2500, 30_000
+POSITIVE, NEGATIVE, SAMPLE_CHARS = 1200, 2000, 20_000
 BUCKETS = 1 << 15
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 16, 12, 8
 EPOCHS, BATCH, RATE = 6, 256, 0.01
@@ -47,16 +47,17 @@ class Words:
         s, e = starts[at] - 1, ends[at] + 1
         grams, counts = [], []
         for n in GRAMS:
-            rolled = np.zeros(max(0, len(data) - n + 1), np.uint64)
-            for k in range(n):
-                rolled += data[k : k + len(rolled)].astype(np.uint64) * np.uint64(pow(0x9E3779B97F4A7C15, k + n, 1 << 64))
             size = np.maximum(0, e - s - n + 1)
-            grams.append((common.mix(rolled[_ranges(s, size)]) >> np.uint64(49)).astype(np.int64))
+            place = _ranges(s, size)
+            rolled = np.zeros(len(place), np.uint64)
+            for k in range(n):
+                rolled += data[place + k].astype(np.uint64) * np.uint64(pow(0x9E3779B97F4A7C15, k + n, 1 << 64))
+            grams.append((common.mix(rolled) >> np.uint64(49)).astype(np.int32))
             counts.append(size)
         # One list of n-grams for each word: those of 3 bytes, then 4, then 5.
         total = np.sum(counts, axis=0)
         self.gram_first = np.concatenate(([0], np.cumsum(total)))
-        self.grams = np.zeros(self.gram_first[-1], np.int64)
+        self.grams = np.zeros(self.gram_first[-1], np.int32)
         place = self.gram_first[:-1].copy()
         for g, size in zip(grams, counts):
             self.grams[_ranges(place, size)] = g
@@ -98,10 +99,15 @@ class Network:
         of = np.arange(len(w.bucket)) if of is None else of
         size = np.diff(w.gram_first)[of]
         grams = w.grams[_ranges(w.gram_first[:-1][of], size)]
-        some = np.flatnonzero(size)
+        ends = np.cumsum(size)
         chars = np.zeros((len(of), CHAR_DIM), np.float32)
-        if len(some):
-            chars[some] = np.add.reduceat(self.p["char"][grams], (np.cumsum(size) - size)[some]) / size[some, None]
+        for a in range(0, len(of), 16_384):  # n-grams of so many words at once
+            n = size[a : a + 16_384]
+            some = np.flatnonzero(n)
+            if len(some):
+                first = ends[a : a + 16_384] - n
+                own = self.p["char"][grams[first[0] : first[-1] + n[-1]]]
+                chars[a + some] = np.add.reduceat(own, (first - first[0])[some]) / n[some, None]
         return np.concatenate((self.p["word"][w.bucket[of]], chars), axis=1), (of, size, grams)
 
     def forward(self, projected: np.ndarray, places: np.ndarray, keep: bool = False):
