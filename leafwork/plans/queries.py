@@ -80,17 +80,25 @@ changes AS (
 states AS (
   SELECT session_id, page_no, arg_max(status, (ts, event_id)) AS status, coalesce(arg_max(warnings, (ts, event_id)) FILTER (warnings IS NOT NULL), []) AS warnings FROM changes GROUP BY ALL
 )"""
-S_PAIRS = """
-firsts AS (SELECT doc_id, string_split(text, chr(10))[1] AS source FROM documents),
+S_PAIRS = (
+    S_BLOCKS
+    + """,
 pairs AS (
-  SELECT doc_id, source, CASE doc_id % 6 WHEN 0 THEN source WHEN 1 THEN repeat('译', 20) WHEN 2 THEN '' WHEN 3 THEN source || chr(10) || repeat('文', 12) WHEN 4 THEN 'terms=' || source ELSE repeat('长', 400) END AS translated FROM firsts
+  SELECT doc_id, block_index, text AS source, CASE (doc_id + block_index) % 6 WHEN 0 THEN text WHEN 1 THEN repeat('译', 20) WHEN 2 THEN '' WHEN 3 THEN text || chr(10) || repeat('文', 12) WHEN 4 THEN 'terms=' || text ELSE repeat('长', 400) END AS translated FROM blocks
 )"""
-S_LABELLED = """
-firsts AS (SELECT doc_id, string_split(text, chr(10))[1] AS s FROM documents),
+)
+S_LABELLED = (
+    S_BLOCKS
+    + """,
 labelled AS (
-  SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN s WHEN 1 THEN 'Table ' || doc_id || ' lists ' || s WHEN 2 THEN 'TABLE ' || doc_id WHEN 3 THEN '[' || (doc_id % 90) || '] Smith, J. et al. IEEE vol. 3, 2019'
-         WHEN 4 THEN 'Algorithm 1' || chr(10) || 'Input: x' || chr(10) || '1) if x then y' WHEN 5 THEN 'x = ' || doc_id WHEN 6 THEN 'https://example.org/' || doc_id ELSE 'References' END AS text FROM firsts
+  SELECT doc_id, block_index, CASE (doc_id + block_index) % 8 WHEN 0 THEN text WHEN 1 THEN 'Table ' || doc_id || ' lists ' || text WHEN 2 THEN 'TABLE ' || doc_id WHEN 3 THEN '[' || (doc_id % 90) || '] Smith, J. et al. IEEE vol. 3, 2019'
+         WHEN 4 THEN 'Algorithm 1' || chr(10) || 'Input: x' || chr(10) || '1) if x then y' WHEN 5 THEN 'x = ' || doc_id WHEN 6 THEN 'https://example.org/' || doc_id ELSE 'References' END AS text, (doc_id + block_index) % 8 AS kind FROM blocks
 )"""
+)
+S_ECHO = f"""v AS (SELECT doc_id, block_index, lower({s_flat('source')}) AS s, lower({s_flat('translated')}) AS t, len(regexp_extract_all({s_flat('source')}, '[A-Za-z]')) AS latin FROM pairs),
+    c AS (SELECT *, {s_words('s')} AS sw, {s_words('t')} AS tw, {s_cjk('t')} AS zh FROM v),
+    e AS (SELECT doc_id, block_index, CASE WHEN s = '' OR t = '' THEN false WHEN s = t THEN latin >= 10 WHEN sw < 3 OR tw < 4 OR zh >= 4 THEN false ELSE contains(s, t) OR contains(t, s) END AS echo FROM c)"""
+S_ITEM = "'(?:^|[\\n\\r;；,，。：:\\.]\\s*)(?:[（(]?\\d{1,2}[）)]|\\d{1,2}[\\.、:：])'"
 
 
 # Inputs ---------------------------------------------------------------------------------------------------------------
@@ -124,20 +132,24 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    s, k = F.col("source"), F.col("doc_id") % 6
-    out = docs(spark, d).select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("source"))
+    """Every block as a source, with translations of six kinds."""
+    s, k = F.col("source"), (F.col("doc_id") + F.col("block_index")) % 6
     target = F.when(k == 0, s).when(k == 1, F.repeat(F.lit("译"), 20)).when(k == 2, "").when(k == 3, F.concat(s, F.lit("\n"), F.repeat(F.lit("文"), 12))).when(k == 4, F.concat(F.lit("terms="), s)).otherwise(F.repeat(F.lit("长"), 400))
-    return out.withColumn("translated", target)
+    return blocks(spark, d).select("doc_id", "block_index", F.col("text").alias("source")).withColumn("translated", target)
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
-    i, k, s = F.col("doc_id").cast("string"), F.col("doc_id") % 8, F.get(F.split("text", "\n"), F.lit(0))
+    """Every block, with its text or one of seven others in its place."""
+    i, k, s = F.col("doc_id").cast("string"), (F.col("doc_id") + F.col("block_index")) % 8, F.col("text")
     text = (
         F.when(k == 0, s).when(k == 1, F.concat(F.lit("Table "), i, F.lit(" lists "), s)).when(k == 2, F.concat(F.lit("TABLE "), i))
         .when(k == 3, F.concat(F.lit("["), (F.col("doc_id") % 90).cast("string"), F.lit("] Smith, J. et al. IEEE vol. 3, 2019"))).when(k == 4, F.lit("Algorithm 1\nInput: x\n1) if x then y"))
         .when(k == 5, F.concat(F.lit("x = "), i)).when(k == 6, F.concat(F.lit("https://example.org/"), i)).otherwise("References")
     )
-    return docs(spark, d).select("doc_id", text.alias("text"))
+    return blocks(spark, d).select("doc_id", "block_index", text.alias("text"))
+
+
+KEY = ["doc_id", "block_index"]
 
 
 # Text -----------------------------------------------------------------------------------------------------------------
@@ -177,39 +189,35 @@ def _(spark, d):
 
 @query(
     "text_scalars",
-    f"""WITH {S_PAIRS} SELECT doc_id, {s_flat('source')} AS flat, lower({s_flat('source')}) AS label, trim(regexp_split_to_array({s_flat('source')}, '[.!?;:]\\s+')[1]) AS first_sentence, sha1(source) AS fp, {s_words('source')}::INTEGER AS n_words,
+    f"""WITH {S_PAIRS} SELECT doc_id, block_index, {s_flat('source')} AS flat, lower({s_flat('source')}) AS label, trim(regexp_split_to_array({s_flat('source')}, '[.!?;:]\\s+')[1]) AS first_sentence, sha1(source) AS fp, {s_words('source')}::INTEGER AS n_words,
     {s_marks('source', '.?!;:')}::INTEGER AS n_marks FROM pairs""",
 )
 def _(spark, d):
     s = F.col("source")
-    return pairs(spark, d).select("doc_id", collapse(s).alias("flat"), label(s).alias("label"), first_sentence(collapse(s)).alias("first_sentence"), fingerprint(s).alias("fp"), words(s).cast("int").alias("n_words"), view(s).punct.cast("int").alias("n_marks"))
+    return pairs(spark, d).select(*KEY, collapse(s).alias("flat"), label(s).alias("label"), first_sentence(collapse(s)).alias("first_sentence"), fingerprint(s).alias("fp"), words(s).cast("int").alias("n_words"), view(s).punct.cast("int").alias("n_marks"))
 
 
 @query("clean_text")
 def _(spark, d):
     from ..functions.text import clean_extracted, compact
 
-    return labelled(spark, d).select("doc_id", clean_extracted(F.col("text")).alias("cleaned"), compact(F.col("text")).alias("compact"))
+    return labelled(spark, d).select(*KEY, clean_extracted(F.col("text")).alias("cleaned"), compact(F.col("text")).alias("compact"))
 
 
 @query(
     "truncate_sentences",
     """
-WITH p AS (SELECT doc_id, trim(text) AS x FROM (SELECT doc_id, string_split(text, chr(10))[1] AS text FROM documents)),
-q AS (SELECT doc_id, x, list_filter(list_transform(regexp_extract_all(x, '[^!?;]*[!?;]+|[^!?;]+$'), lambda s: trim(s)), lambda s: s <> '') AS ps FROM p WHERE NOT regexp_matches(x, '[!?;]'))
-SELECT doc_id, CASE WHEN length(x) <= 60 THEN x WHEN len(ps) > 0 THEN ps[1] ELSE '' END AS cut FROM q""",
+WITH p AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS x FROM documents),
+q AS (SELECT doc_id, x, list_filter(list_transform(regexp_extract_all(x, '[^。！？!?；;]*[。！？!?；;]|[^。！？!?；;]+$'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS ps FROM p)
+SELECT doc_id, CASE WHEN length(x) <= 400 THEN x WHEN len(ps) = 0 THEN '' ELSE array_to_string(list_filter(ps, lambda s, i: i = 1 OR list_sum(list_transform(ps[1:i], lambda t: length(t))) <= 400), '') END AS cut FROM q""",
 )
 def _(spark, d):
-    s = F.get(F.split("text", "\n"), F.lit(0))
-    return docs(spark, d).select("doc_id", s.alias("s")).filter(~F.col("s").rlike("[!?;]")).select("doc_id", truncated(F.col("s"), F.lit(60)).alias("cut"))
+    return docs(spark, d).select("doc_id", truncated(F.col("text"), F.lit(400)).alias("cut"))
 
 
-@query(
-    "item_markers",
-    f"WITH {S_LABELLED} SELECT doc_id, len(regexp_extract_all(text || chr(10) || '1) a; 2) b', '(?:^|[\\n\\r;；,，。：:\\.]\\s*)(?:[（(]?\\d{{1,2}}[）)]|\\d{{1,2}}[\\.、:：])'))::INTEGER AS n_items FROM labelled",
-)
+@query("item_markers", f"WITH {S_LABELLED} SELECT doc_id, block_index, len(regexp_extract_all(text || chr(10) || '1) a; 2) b', {S_ITEM}))::INTEGER AS n_items FROM labelled")
 def _(spark, d):
-    return labelled(spark, d).select("doc_id", item_count(F.concat("text", F.lit("\n1) a; 2) b"))).cast("int").alias("n_items"))
+    return labelled(spark, d).select(*KEY, item_count(F.concat("text", F.lit("\n1) a; 2) b"))).cast("int").alias("n_items"))
 
 
 # Distinct texts and the memory ----------------------------------------------------------------------------------------
@@ -347,25 +355,24 @@ SQL["layout_rects"] = SQL["layout_rects"].replace("WHEN 1 THEN 70.0 ELSE 900.0",
 
 @query(
     "ocr_lines",
-    "SELECT doc_id, string_split(text, chr(10))[1] AS text, (doc_id % 50)::INTEGER AS x0, 10 AS y0, (doc_id % 50 + 40)::INTEGER AS x1, 30 AS y1 FROM documents",
+    "SELECT doc_id, text, (doc_id % 50)::INTEGER AS x0, 10 AS y0, (doc_id % 50 + 40)::INTEGER AS x1, 30 AS y1 FROM documents",
 )
 def _(spark, d):
     x = (F.col("doc_id") % 50).cast("double")
     point = lambda a, b: F.array(a, b)
     poly = F.array(point(x, F.lit(10.5)), point(x + 40.9, F.lit(12.0)), point(x + 40, F.lit(30.2)), point(x, F.lit(29.0)))
-    s = F.get(F.split("text", "\n"), F.lit(0))
-    return X.ocr_lines(docs(spark, d).select("doc_id", F.array(s, F.lit("no polygon")).alias("rec_texts"), F.array(poly).alias("rec_polys")), ["doc_id"])
+    return X.ocr_lines(docs(spark, d).select("doc_id", F.array(F.col("text"), F.lit("no polygon")).alias("rec_texts"), F.array(poly).alias("rec_polys")), ["doc_id"])
 
 
 @query(
     "ocr_markdown",
-    "SELECT doc_id, trim(string_split(text, chr(10))[1]) || chr(10) || chr(10) || 'end' AS markdown FROM documents WHERE trim(string_split(text, chr(10))[1]) <> ''",
+    "SELECT doc_id, CASE WHEN trim(text) = '' THEN '' ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10) || chr(10) END || 'end' AS markdown FROM documents",
 )
 def _(spark, d):
-    s = F.get(F.split("text", "\n"), F.lit(0))
+    s = F.col("text")
     part = lambda t: F.struct(F.struct(t.alias("text")).alias("markdown"))
     reply = F.to_json(F.struct(F.struct(F.array(part(s), part(F.lit(" end "))).alias("layoutParsingResults")).alias("result")))
-    jsonl = docs(spark, d).filter(F.trim(s) != "").select("doc_id", F.concat(reply, F.lit("\n{broken\n\n")).alias("raw"))
+    jsonl = docs(spark, d).select("doc_id", F.concat(reply, F.lit("\n{broken\n\n")).alias("raw"))
     return jsonl.select("doc_id", X.markdown_from_jsonl(F.col("raw")).alias("markdown"))
 
 
@@ -449,26 +456,26 @@ def _(spark, d):
 
 # Predicates -----------------------------------------------------------------------------------------------------------
 
-S_FLAGS = f"""WITH {S_LABELLED}, f AS (SELECT doc_id, text, {s_flat('text')} AS flat, lower({s_flat('text')}) AS low, {s_words('text')} AS w, {s_marks('text', '.?!;:')} AS p FROM labelled)"""
+S_FLAGS = f"""WITH {S_LABELLED}, f AS (SELECT doc_id, block_index, kind, text, {s_flat('text')} AS flat, lower({s_flat('text')}) AS low, {s_words('text')} AS w, {s_marks('text', '.?!;:')} AS p FROM labelled)"""
 
 
 @query(
     "watermark_filter",
-    f"""WITH {S_LABELLED}, t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text || ' Authorized Licensed use limited to: X' WHEN 1 THEN text || ' Downloaded on May 1 from IEEE Xplore. Restrictions apply.' ELSE text END AS text FROM labelled)
-    SELECT doc_id FROM t WHERE lower(text) LIKE '%authorized licensed use limited to%' OR (doc_id % 3 = 1 AND length({s_flat('text')}) <= 420)""",
+    f"""WITH {S_LABELLED}, t AS (SELECT doc_id, block_index, (doc_id + block_index) % 3 AS k, CASE (doc_id + block_index) % 3 WHEN 0 THEN text || ' Authorized Licensed use limited to: X' WHEN 1 THEN text || ' Downloaded on May 1 from IEEE Xplore. Restrictions apply.' ELSE text END AS text FROM labelled)
+    SELECT doc_id, block_index FROM t WHERE lower(text) LIKE '%authorized licensed use limited to%' OR (k = 1 AND length({s_flat('text')}) <= 420)""",
 )
 def _(spark, d):
-    k = F.col("doc_id") % 3
+    k = (F.col("doc_id") + F.col("block_index")) % 3
     t = labelled(spark, d).withColumn("text", F.when(k == 0, F.concat("text", F.lit(" Authorized Licensed use limited to: X"))).when(k == 1, F.concat("text", F.lit(" Downloaded on May 1 from IEEE Xplore. Restrictions apply."))).otherwise(F.col("text")))
-    return t.filter(is_.licence_watermark(view(F.col("text")))).select("doc_id")
+    return t.filter(is_.licence_watermark(view(F.col("text")))).select(*KEY)
 
 
 @query(
     "caption_filter",
-    S_FLAGS + " SELECT doc_id FROM f WHERE regexp_matches(flat, '(?i)^\\s*(fig(ure)?|table)\\s*[\\.\\-: ]*([ivxlcdm]+|\\d+)') AND doc_id % 8 IN (1, 2) AND NOT (w >= 6 AND low LIKE '% lists %') AND w < 36 AND NOT (p >= 2 AND w >= 14) AND NOT (w >= 12 AND p >= 1 AND contains(flat, ',')) AND NOT (w >= 8 AND contains(flat, ',')) AND w <= 12",
+    S_FLAGS + " SELECT doc_id, block_index FROM f WHERE regexp_matches(flat, '(?i)^\\s*(fig(ure)?|table)\\s*[\\.\\-: ]*([ivxlcdm]+|\\d+)') AND kind IN (1, 2) AND NOT (w >= 6 AND low LIKE '% lists %') AND w < 36 AND NOT (p >= 2 AND w >= 14) AND NOT (w >= 12 AND p >= 1 AND contains(flat, ',')) AND NOT (w >= 8 AND contains(flat, ',')) AND w <= 12",
 )
 def _(spark, d):
-    return labelled(spark, d).filter(is_.standalone_caption(view(F.col("text")))).select("doc_id")
+    return labelled(spark, d).filter(is_.standalone_caption(view(F.col("text")))).select(*KEY)
 
 
 @query("header_footer", f"WITH {S_BLOCKS}, t AS (SELECT doc_id, page_no, block_index, y0, y1, CASE block_index % 4 WHEN 0 THEN 'IEEE TRANSACTIONS' WHEN 1 THEN '17' WHEN 2 THEN 'all rights reserved' ELSE 'plain words here' END AS text FROM blocks) SELECT doc_id, page_no, block_index FROM t WHERE (y1 <= 167.2 AND block_index % 4 IN (0, 1)) OR (y0 >= 1584 AND block_index % 4 IN (1, 2))")
@@ -478,27 +485,27 @@ def _(spark, d):
     return t.filter(is_.running_header_footer(view(F.col("text")), F.col("y0"), F.col("y1"), F.lit(B.PAGE_HEIGHT))).select(*D.BLOCK)
 
 
-@query("reference_entries", S_FLAGS + " SELECT doc_id FROM f WHERE doc_id % 8 = 3")
+@query("reference_entries", S_FLAGS + " SELECT doc_id, block_index FROM f WHERE kind = 3")
 def _(spark, d):
-    return labelled(spark, d).filter(is_.reference_entry(view(F.col("text")))).select("doc_id")
+    return labelled(spark, d).filter(is_.reference_entry(view(F.col("text")))).select(*KEY)
 
 
-@query("reference_headings", S_FLAGS + " SELECT doc_id FROM f WHERE doc_id % 8 = 7")
+@query("reference_headings", S_FLAGS + " SELECT doc_id, block_index FROM f WHERE kind = 7")
 def _(spark, d):
-    return labelled(spark, d).filter(is_.reference_heading(view(F.col("text")))).select("doc_id")
+    return labelled(spark, d).filter(is_.reference_heading(view(F.col("text")))).select(*KEY)
 
 
-@query("algorithm_blocks", S_FLAGS + " SELECT doc_id FROM f WHERE doc_id % 8 = 4")
+@query("algorithm_blocks", S_FLAGS + " SELECT doc_id, block_index FROM f WHERE kind = 4")
 def _(spark, d):
-    return labelled(spark, d).filter(is_.algorithm_block(view(F.col("text")))).select("doc_id")
+    return labelled(spark, d).filter(is_.algorithm_block(view(F.col("text")))).select(*KEY)
 
 
 @query(
     "title_blocks",
-    S_FLAGS.replace("FROM labelled)", "FROM (SELECT doc_id, s AS text FROM firsts))") + f" SELECT doc_id FROM f WHERE flat <> '' AND w BETWEEN 6 AND 36 AND p <= 2 AND {s_cjk('flat')} <= 2 AND NOT regexp_matches(flat, '[=<>/\\[\\]{{}}_^$]') AND NOT contains(flat, 'doi') AND NOT contains(flat, 'arxiv') AND NOT contains(flat, chr(92)) AND NOT contains(flat, 'http://') AND NOT contains(flat, 'https://') AND length(trim(text)) >= 18",
+    f"WITH {S_BLOCKS}, f AS (SELECT doc_id, block_index, text, {s_flat('text')} AS flat, {s_words('text')} AS w, {s_marks('text', '.?!;:')} AS p FROM blocks) SELECT doc_id, block_index FROM f WHERE flat <> '' AND w BETWEEN 6 AND 36 AND p <= 2 AND {s_cjk('flat')} <= 2 AND NOT regexp_matches(flat, '[=<>/\\[\\]{{}}_^$]') AND NOT contains(flat, 'doi') AND NOT contains(flat, 'arxiv') AND NOT contains(flat, chr(92)) AND NOT contains(flat, 'http://') AND NOT contains(flat, 'https://') AND length(trim(text)) >= 18",
 )
 def _(spark, d):
-    return pairs(spark, d).filter(is_.title_block(view(F.col("source")))).select("doc_id")
+    return pairs(spark, d).filter(is_.title_block(view(F.col("source")))).select(*KEY)
 
 
 @query("predicate_flags")
@@ -510,14 +517,13 @@ def _(spark, d):
         "table_header": is_.table_header(v), "table_body": is_.table_body(v), "table_like": is_.table_like(v), "entry": is_.reference_entry(v), "title": is_.title_block(v), "notation": is_.notation_line(v.text), "retry": is_.force_retry(v),
         "translatable": is_.translatable(v), "target_heading": is_.target_heading(v.text), "logged": is_.worth_logging(v),
     }
-    return df.select("doc_id", *(t.alias(n) for n, t in tests.items()))
+    return df.select(*KEY, *(t.alias(n) for n, t in tests.items()))
 
 
 @query("skip_reason_histogram")
 def _(spark, d):
     b = blocks(spark, d)
-    text = labelled(spark, d).withColumnRenamed("text", "first")
-    b = b.join(text, "doc_id").withColumn("text", F.when(F.col("block_index") % 5 == 0, F.col("first")).otherwise(F.col("text"))).drop("first")
+    b = b.drop("text").join(labelled(spark, d), KEY)
     flags = D.flagged(b)
     return D.admission(flags, D.non_translatable(flags, B.regions_for(b))).groupBy(F.coalesce("skip_reason", F.lit("admitted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -525,53 +531,51 @@ def _(spark, d):
 # Gates ----------------------------------------------------------------------------------------------------------------
 
 
-@query(
-    "echo_gate",
-    f"""WITH {S_PAIRS}, v AS (SELECT doc_id, lower({s_flat('source')}) AS s, lower({s_flat('translated')}) AS t, len(regexp_extract_all({s_flat('source')}, '[A-Za-z]')) AS latin FROM pairs),
-    c AS (SELECT *, {s_words('s')} AS sw, {s_words('t')} AS tw, {s_cjk('t')} AS zh FROM v)
-    SELECT doc_id, CASE WHEN s = '' OR t = '' THEN false WHEN s = t THEN latin >= 10 WHEN sw < 3 OR tw < 4 OR zh >= 4 THEN false ELSE contains(s, t) OR contains(t, s) END AS echo FROM c""",
-)
+@query("echo_gate", f"WITH {S_PAIRS}, {S_ECHO} SELECT doc_id, block_index, echo FROM e")
 def _(spark, d):
-    return pairs(spark, d).select("doc_id", Q.echo(F.col("source"), F.col("translated")).alias("echo"))
+    return pairs(spark, d).select(*KEY, Q.echo(F.col("source"), F.col("translated")).alias("echo"))
 
 
 @query(
     "batch_echo",
-    f"""WITH {S_PAIRS}, v AS (SELECT doc_id // 20 AS batch, lower({s_flat('source')}) = lower({s_flat('translated')}) AND len(regexp_extract_all(source, '[A-Za-z]')) >= 10 AS e FROM pairs WHERE doc_id % 6 IN (0, 1, 2))
-    SELECT batch, count(*) AS n, count_if(e)::BIGINT AS bad, count_if(e) > 0 AND (count(*) = 1 OR count_if(e) >= greatest(2, count(*) // 2)) AS too_many FROM v GROUP BY 1""",
+    f"WITH {S_PAIRS}, {S_ECHO} SELECT doc_id, count(*) AS n, count_if(echo)::BIGINT AS bad, count_if(echo) > 0 AND (count(*) = 1 OR count_if(echo) >= greatest(2, count(*) // 2)) AS too_many FROM e GROUP BY 1",
 )
 def _(spark, d):
-    e = pairs(spark, d).filter("doc_id % 6 in (0, 1, 2)").select(F.floor(F.col("doc_id") / 20).alias("batch"), Q.echo(F.col("source"), F.col("translated")).alias("e"))
-    n = e.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.count_if("e").alias("bad"))
+    e = pairs(spark, d).select("doc_id", Q.echo(F.col("source"), F.col("translated")).alias("e"))
+    n = e.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("e").alias("bad"))
     return n.withColumn("too_many", Q.batch_echo(F.col("bad"), F.col("n")))
 
 
 @query(
     "length_gate",
-    f"""WITH {S_PAIRS}, v AS (SELECT doc_id, {s_flat('source')} AS s, {s_flat('translated')} AS t FROM pairs WHERE doc_id % 6 IN (1, 5)), c AS (SELECT *, length(s) AS sl, length(t) AS tl, {s_words('s')} AS sw, {s_cjk('t')} AS zh FROM v)
-    SELECT doc_id, s <> '' AND ((sw BETWEEN 4 AND 28 AND sl <= 200 AND zh >= greatest(70, sw * 5) AND tl >= greatest(170, floor(sl * 2.4))) OR (sw >= 24 AND sl >= 240 AND tl <= greatest(30, floor(sl * 0.2)) AND zh <= greatest(20, floor(sw * 0.55)))
-      OR (sw >= 55 AND sl >= 520 AND tl <= greatest(42, floor(sl * 0.14))) OR (sl <= 130 AND sw >= 5 AND ends_with(s, ',') AND zh >= 70 AND tl >= 150)) AS extreme FROM c""",
+    f"""WITH {S_PAIRS}, v AS (SELECT doc_id, block_index, {s_flat('source')} AS s, {s_flat('translated')} AS t FROM pairs), c AS (SELECT *, lower(s) AS sl, length(s) AS n, length(t) AS m, {s_words('s')} AS w, {s_cjk('s')} AS sz, {s_cjk('t')} AS z, {s_marks('t', '。！？.;')} AS p,
+      len(regexp_extract_all(s, {S_ITEM})) AS si, len(regexp_extract_all(t, {S_ITEM})) AS ti FROM v)
+    SELECT doc_id, block_index, s <> '' AND t <> '' AND ((sz <= 2 AND w BETWEEN 4 AND 28 AND n <= 200 AND z >= greatest(70, w * 5) AND m >= greatest(170, floor(n * 2.4))) OR (n <= 140 AND z >= 80 AND m >= 190 AND p >= 3)
+      OR (si >= 1 AND ti > si AND n <= 240) OR (si = 0 AND ti >= 2 AND n <= 180 AND w >= 6) OR (si >= 1 AND ti = 0 AND n <= 260 AND w >= 6 AND z >= 6)
+      OR (w >= 24 AND n >= 240 AND m <= greatest(30, floor(n * 0.2)) AND z <= greatest(20, floor(w * 0.55))) OR (w >= 55 AND n >= 520 AND m <= greatest(42, floor(n * 0.14)))
+      OR (n <= 180 AND w >= 5 AND p >= 3 AND m >= floor(n * 1.65) AND z >= 72)
+      OR (n <= 130 AND w >= 5 AND regexp_matches(sl, '( for both the| for the| of the| and the| to the| in the|,)$') AND z >= 70 AND m >= 150)
+      OR (n <= 200 AND regexp_matches(sl, '(-| and| of)$') AND p >= 2 AND z >= 55 AND m >= floor(n * 1.45)) OR (n <= 170 AND w >= 8 AND regexp_matches(s, '^\\p{{Ll}}') AND p >= 2 AND z >= 42 AND m >= floor(n * 1.18))) AS extreme FROM c""",
 )
 def _(spark, d):
-    p = pairs(spark, d).filter("doc_id % 6 in (1, 5)")
-    return p.select("doc_id", Q.extreme_length(view(collapse(F.col("source"))), view(collapse(F.col("translated")))).alias("extreme"))
+    return pairs(spark, d).select(*KEY, Q.extreme_length(view(collapse(F.col("source"))), view(collapse(F.col("translated")))).alias("extreme"))
 
 
 @query("quality_gate")
 def _(spark, d):
     df, s = with_view(pairs(spark, d), "source", "_s_")
     df = Q.judge(Q.judge(df, "source", "translated", "low_quality"), "source", "translated", "low_quality_lines", strict_lines=True)
-    return df.select("doc_id", "low_quality", "low_quality_lines", Q.residue(s.flat, F.col("translated")).alias("residue"))
+    return df.select(*KEY, "low_quality", "low_quality_lines", Q.residue(s.flat, F.col("translated")).alias("residue"))
 
 
 @query("normalise_translation")
 def _(spark, d):
-    return Q.normalise(pairs(spark, d), "source", "translated").select("doc_id", "normalised")
+    return Q.normalise(pairs(spark, d), "source", "translated").select(*KEY, "normalised")
 
 
-@query("meta_lines", f"WITH {S_PAIRS} SELECT doc_id, doc_id % 6 = 4 AND length({s_flat('translated')}) >= 8 AND {s_words('translated')} >= 3 AS meta FROM pairs WHERE doc_id % 6 IN (1, 4, 5)")
+@query("meta_lines", f"WITH {S_PAIRS} SELECT doc_id, block_index, (doc_id + block_index) % 6 = 4 AND length({s_flat('translated')}) >= 8 AND {s_words('translated')} >= 3 AS meta FROM pairs")
 def _(spark, d):
-    return pairs(spark, d).filter("doc_id % 6 in (1, 4, 5)").select("doc_id", Q.has_meta(F.col("translated")).alias("meta"))
+    return pairs(spark, d).select(*KEY, Q.has_meta(F.col("translated")).alias("meta"))
 
 
 @query(
