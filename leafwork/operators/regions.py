@@ -38,7 +38,8 @@ def max_coverage(blocks: DataFrame, regions: DataFrame, key: list[str]) -> DataF
     a, b = Rect.of(), Rect.of("r_")
     r = regions.select(*PAGE, *(F.col(n).alias(f"r_{n}") for n in RECT))
     both = blocks.select(*PAGE, *[k for k in key if k not in PAGE], *RECT).join(r, PAGE, "left")
-    return both.groupBy(*key).agg(F.coalesce(F.max(G.coverage(a, b)), F.lit(0.0)).alias("coverage"), F.coalesce(F.max(G.significant(a, b)), F.lit(False)).alias("in_region"))
+    some = F.col("r_x0").isNotNull()  # least and greatest pass over nulls
+    return both.groupBy(*key).agg(F.coalesce(F.max(F.when(some, G.coverage(a, b))), F.lit(0.0)).alias("coverage"), F.coalesce(F.max(F.when(some, G.significant(a, b))), F.lit(False)).alias("in_region"))
 
 
 def excluded(in_region: Column, coverage: Column, narrative: Column) -> Column:

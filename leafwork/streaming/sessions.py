@@ -35,7 +35,7 @@ class Expiry(StatefulProcessor):
         end = max(int(r["expires_at"].max().timestamp() * 1000) for r in rows)
         self.end.update((end, False))
         self._arm(timerValues.getCurrentProcessingTimeInMs())
-        yield pd.DataFrame({"session_id": [], "event": [], "ts": pd.to_datetime([])})
+        yield self._rows([], [], [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs()
@@ -51,7 +51,11 @@ class Expiry(StatefulProcessor):
 
     @staticmethod
     def _event(key, event: str, ms: int) -> pd.DataFrame:
-        return pd.DataFrame({"session_id": [key[0]], "event": [event], "ts": [pd.Timestamp(ms, unit="ms")]})
+        return Expiry._rows([key[0]], [event], [pd.Timestamp(ms, unit="ms")])
+
+    @staticmethod
+    def _rows(ids: list, events: list, times: list) -> pd.DataFrame:
+        return pd.DataFrame({"session_id": pd.Series(ids, dtype=object), "event": pd.Series(events, dtype=object), "ts": pd.Series(times, dtype="datetime64[ns]")})
 
     def close(self) -> None:
         pass

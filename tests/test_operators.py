@@ -31,7 +31,7 @@ def test_packing(spark, sizes):
 
 
 def block(k, y0, text, x0=100.0, h=16.0):
-    return (1, 1, k, x0, y0, x0 + 400, y0 + h, text, 12.0)
+    return (1, 1, k, x0, float(y0), x0 + 400, float(y0) + h, text, 12.0)
 
 
 BLOCK = "doc_id long, page_no int, block_index int, x0 double, y0 double, x1 double, y1 double, text string, base_font_size double"
@@ -42,14 +42,14 @@ def merged(spark, rows):
 
 
 def test_merging(spark):
-    rows = [block(0, 100, "frag-"), block(1, 120, "ment one"), block(2, 140, "and two"), block(3, 160, "and three")]
-    assert merged(spark, rows) == [(0, "fragment one\nand two", 3), (3, "and three", 1)]
+    rows = [block(0, 100, "frag-"), block(1, 120, "tured one"), block(2, 140, "and two"), block(3, 160, "and three")]
+    assert merged(spark, rows) == [(0, "fragtured one\nand two", 3), (3, "and three", 1)]
 
 
 @pytest.mark.parametrize(("gap", "n"), [(10.0, 1), (18.08, 1), (18.09, 2), (-2.5, 1), (-2.6, 2)])
 def test_gap_limits(spark, gap, n):
-    """The greatest gap is 0.38 x 16 + 12; overlaps need a continuation, which a capital isn't."""
-    assert len(merged(spark, [block(0, 100, "Some words"), block(1, 116 + gap, "More words")])) == n
+    """The greatest gap is 0.38 x 16 + 12; overlaps need a continuation, which a capital isn't; words that start like Roman numbers look like headings."""
+    assert len(merged(spark, [block(0, 100, "Some words"), block(1, 116 + gap, "Take words")])) == n
 
 
 def test_merging_keeps_columns_apart_and_headings(spark):
@@ -61,6 +61,11 @@ def rects(spark, rows):
     return spark.createDataFrame([(1, 1, *map(float, r)) for r in rows], "doc_id long, page_no int, x0 double, y0 double, x1 double, y1 double")
 
 
+def test_pages_without_regions(spark):
+    b = rects(spark, [(0, 0, 10, 10)]).withColumn("block_index", F.lit(0))
+    assert [tuple(r)[3:] for r in regions.max_coverage(b, rects(spark, []), ["doc_id", "page_no", "block_index"]).collect()] == [(0.0, False)]
+
+
 def test_suppression_is_idempotent(spark):
     df = rects(spark, [(0, 0, 100, 100), (0, 0, 100, 88), (0, 0, 100, 87), (300, 0, 400, 100)])
     once = regions.deduplicate(df, 0.88, ["doc_id", "page_no"])

@@ -68,7 +68,7 @@ def test_remote_ocr_and_image_text(spark, url):
     raw = json.dumps({"result": {"layoutParsingResults": [{"markdown": {"text": "The servers compute a sum of all the inputs"}}]}})
     remote = spark.createDataFrame([(1, 1, 0, raw), (1, 1, 1, raw)], "doc_id long, page_no int, image_index int, raw string")
     local = spark.createDataFrame([(1, 1, 0, ["Every party sends shares to the others", "no polygon"], [[[0.0, 0.0], [400.0, 40.0]]])], "doc_id long, page_no int, image_index int, rec_texts array<string>, rec_polys array<array<array<double>>>")
-    sizes = spark.createDataFrame([(1, 1, 0, 500, 300), (1, 1, 1, 500, 300)], "doc_id long, page_no int, image_index int, width int, height int")
+    sizes = spark.createDataFrame([(1, 1, 0, 500, 40), (1, 1, 1, 500, 40)], "doc_id long, page_no int, image_index int, width int, height int")
     lines = images.lines_of(local, remote, sizes)
     assert {(r.image_index, r.text[:5], r.x1) for r in lines.collect()} == {(0, "Every", 400), (1, "The s", 500)}
     out = images.translate_lines(lines, [translate.Stub("a", [None]), translate.Stub("b")], translate.Options()).collect()
