@@ -203,7 +203,7 @@ def _written(frequencies, folder: str, kind: str):
         if docs:
             yield flush()
 
-    return run
+    return common.frugal(run)
 
 
 MANIFEST = "shard long, part long, first_doc_id long, n_docs long, n_tokens long, n_bytes long, file string"

@@ -98,22 +98,27 @@ def connect(values: np.ndarray) -> np.ndarray:
     return root
 
 
-def shared(sets: list[np.ndarray]) -> np.ndarray:
-    """[row, row] of the sizes of intersections, exactly."""
-    n = len(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    often = counts > 1
-    number = np.cumsum(often) - 1
-    owner, column = owner[often[column]], number[column[often[column]]]
-    out, wide = np.zeros((n, n), np.float32), 4096
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    for a in range(0, int(often.sum()), wide):
-        lo, hi = np.searchsorted(column, [a, a + wide])
-        x = np.zeros((n, wide), np.float32)
-        x[owner[lo:hi], column[lo:hi] - a] = 1
-        out += x @ x.T
+def shared(sets: list[np.ndarray], at_once: int = 1 << 20) -> np.ndarray:
+    """[row, row] of the sizes of intersections, exactly, for about ``at_once`` shingles of a range of values at a time."""
+    n, wide = len(sets), 4096
+    out = np.zeros((n, n), np.float32)
+    parts = max(1, -(-sum(map(len, sets)) // at_once))
+    cuts = [np.searchsorted(s, np.array([k * (1 << 64) // parts for k in range(1, parts)], np.uint64)) for s in sets]
+    for k in range(parts):
+        own = [s[(c[k - 1] if k else 0) : (c[k] if k < parts - 1 else len(s))] for s, c in zip(sets, cuts)]
+        owner = np.repeat(np.arange(n), [len(s) for s in own])
+        _, column, counts = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        often = counts > 1
+        number = np.cumsum(often) - 1
+        keep = often[column]
+        owner, column = owner[keep], number[column[keep]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for a in range(0, int(often.sum()), wide):
+            lo, hi = np.searchsorted(column, [a, a + wide])
+            x = np.zeros((n, min(wide, int(often.sum()) - a)), np.float32)
+            x[owner[lo:hi], column[lo:hi] - a] = 1
+            out += x @ x.T
     return out.astype(np.int64)
 
 
@@ -165,7 +170,7 @@ def grouped(keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]
         if held:
             yield from work(pa.Table.from_batches(held))
 
-    return run
+    return common.frugal(run)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:

@@ -85,7 +85,7 @@ def write(documents: DataFrame, path: str, scratch: common.Scratch, end_id: int
         if docs:
             yield flush()
 
-    listing = scratch.write(common.row_key(documents).mapInArrow(run, "file string, n_bytes long, doc_ids array<long>"), "listing")
+    listing = scratch.write(common.row_key(documents).mapInArrow(common.frugal(run), "file string, n_bytes long, doc_ids array<long>"), "listing")
     return listing.select("file", "n_bytes"), listing.select("file", F.posexplode("doc_ids").alias("ordinal", "doc_id"))
 
 

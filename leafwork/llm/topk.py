@@ -101,7 +101,7 @@ def _score(k: int):
         if held:
             yield from done(held)
 
-    return run
+    return common.frugal(run)
 
 
 def search(queries: DataFrame, candidates: DataFrame, k: int = K, query_block: int = QUERY_BLOCK, candidate_block: int | None = None) -> DataFrame:

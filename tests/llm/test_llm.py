@@ -481,3 +481,13 @@ def test_pipeline(spark, data):
 def test_batches_of_arrow_views():
     a = pa.array([b"ab", b"", b"cde"], pa.binary())
     assert [bytes(x) for x in common.joined(a.slice(1))] == [b"cde"]
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 20])
+def test_intersections(at_once):
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 64, 30, np.uint64, endpoint=False)) for _ in range(6)]
+    sets += [np.unique(np.concatenate((sets[0][:20], sets[1][5:]))), np.zeros(0, np.uint64), np.array([0, (1 << 64) - 1], np.uint64), np.array([0], np.uint64)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    got = ngram_join.shared(sets, at_once)
+    assert all(got[i, j] == want[i][j] for i in range(len(sets)) for j in range(len(sets)) if i != j)
