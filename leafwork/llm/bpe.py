@@ -186,8 +186,8 @@ class Chunks:
     _STOP = np.isin(np.arange(256), np.frombuffer(b",.;:!?", np.uint8))
     _ALNUM = np.isin(np.arange(256), np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8))
 
-    def __init__(self, encode_all: Callable[[list[str]], list[list[int]]], sizes: np.ndarray | None = None):
-        self.encode_all, self.sizes = encode_all, sizes
+    def __init__(self, encode_all: Callable[[list[str]], list[list[int]]], sizes: np.ndarray | None = None, most: int = MOST):
+        self.encode_all, self.sizes, self.MOST = encode_all, sizes, most
         self._clear()
 
     def _clear(self) -> None:
@@ -357,7 +357,7 @@ def library_chunks(path: str, special: bool = True) -> Chunks:
         t.encode_special_tokens = not special
         of = worker_bytes(path)
         sizes = np.array([len(of.get(i, b"")) for i in range(max(of) + 1)], np.int64)
-        _made[path, "library", special] = Chunks(lambda texts: [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)], sizes)
+        _made[path, "library", special] = Chunks(lambda texts: [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)], sizes, 1_200_000)
     return _made[path, "library", special]
 
 
@@ -374,7 +374,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", libra
     def run(batch: pa.RecordBatch):
         chunks = (library_chunks if library else _dp_chunks)(path)
         texts = common.encoded(batch.column(text))
-        out = [x.astype(kind).tobytes() + tail for a, z in common.steps(texts) for x in chunks.many(texts[a:z])]
+        out = [x.astype(kind).tobytes() + tail for a, z in common.steps(texts, 2 * common.STEP_BYTES) for x in chunks.many(texts[a:z])]
         yield _with(batch, text, **{ids: pa.array(out, pa.binary())})
 
     schema = df.drop(text).withColumn(ids, F.lit(None).cast("binary")).schema
