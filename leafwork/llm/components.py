@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each larger neighbour of a vertex is linked to the least vertex of its neighbourhood."""
+def _large_star(edges: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
+    """Each larger neighbour of a vertex is linked to the least vertex of its neighbourhood.
+
+    The least ones are a written table, so that a vertex with very many neighbours is a skewed key of a plain join of two
+    shuffles, which Spark splits.
+    """
     both = edges.union(edges.select("b", "a"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = scratch.write(least, name)
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
@@ -31,7 +36,8 @@ def components(edges: DataFrame, scratch: common.Scratch, name: str) -> DataFram
     """
     now, before, k = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b"), None, 0
     while True:
-        now = scratch.write(_small_star(_large_star(now)), f"{name}-{k}")
+        now = scratch.write(_small_star(_large_star(now, scratch, f"{name}-{k}-least")), f"{name}-{k}")
+        scratch.drop(f"{name}-{k}-least")
         state = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
         if k:
             scratch.drop(f"{name}-{k - 1}")

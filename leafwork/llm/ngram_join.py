@@ -252,7 +252,9 @@ def join(documents: DataFrame, scratch: common.Scratch | None = None, block: int
     groups = scratch.write(components(near, scratch, "groups"), "members")
 
     # Groups with exact shingle sets.
-    sized = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").withColumnRenamed("id", "unit").withColumnRenamed("root", "grp")
+    # Tables that are joined on a group's or class's key are written first: a large one is then a skew that Spark splits.
+    sizes = scratch.write(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    sized = groups.join(sizes, "root").withColumnRenamed("id", "unit").withColumnRenamed("root", "grp")
     mine = units.select("unit", "doc_id", "digest", "sig").join(sized, "unit")
     texts = docs.join(mine.select("unit", "doc_id", "digest"), "doc_id").filter(digest() == F.col("digest")).select("unit", "text")
     sets = texts.mapInArrow(common.by_batch(_shingled), "unit long, shingles binary")
@@ -267,10 +269,11 @@ def join(documents: DataFrame, scratch: common.Scratch | None = None, block: int
 
     member = rows.select("doc_id", "digest", "n_shingles").join(per_unit, "digest", "left")
     named = per_unit.join(rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("d")), "digest").groupBy("root").agg(F.min("d").alias("class_id"))
+    named = scratch.write(named, "named")
     out = member.join(named, "root", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), "digest")
     void = docs.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("n_copies"), digest().alias("digest"))
     done = scratch.write(out.unionByName(void), "done")
-    scratch.drop("signatures", "units", "near", "members", "verified", "classes")
+    scratch.drop("signatures", "units", "near", "members", "sizes", "verified", "classes", "named")
     return done
 
 
