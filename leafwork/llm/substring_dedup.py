@@ -126,10 +126,11 @@ def find(documents: DataFrame, scratch: common.Scratch | None = None, min_words:
     twins = rows.select("own", "tid", "rid").join(again.select("own", "tid", F.col("rid").alias("head")), ["own", "tid"]).filter("rid <> head").select("rid")
     counted = each.join(twins, "rid", "left_anti") if not _empty(twins) else each
     twice = counted.groupBy("digest").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
+    twice = scratch.write(twice, "twice")  # so that a very common digest is a skew of a plain join, which Spark splits
     marks = each.select("rid", "at", "digest").join(twice, "digest").groupBy("rid").agg(F.collect_list(F.struct("at", "digest", "first")).alias("marks"))
     both = rows.select("rid", "own", "doc_id", "tid", "chars", "words").join(marks, "rid")
     done = scratch.write(both.mapInArrow(common.by_batch(_passages(min_words)), f"doc_id long, tid long, repeated {_SPANS}, cut {_SPANS}"), "done")
-    scratch.drop("chunks")
+    scratch.drop("chunks", "twice")
     return done
 
 
