@@ -73,20 +73,47 @@ def score_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarr
     return np.concatenate(out_q), np.concatenate(out_c), np.concatenate(out_s)
 
 
+def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best k of each query of several lists; equal entries count once."""
+    q, c, s = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((c, -s, q))
+    q, c, s = q[order], c[order], s[order]
+    if not len(q):
+        return q, c, s
+    new = np.concatenate(([True], (q[1:] != q[:-1]) | (c[1:] != c[:-1]) | (s[1:] != s[:-1])))
+    q, c, s = q[new], c[new], s[new]
+    first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+    best = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k
+    return q[best], c[best], s[best]
+
+
 def _score(k: int):
-    """For mapInArrow over rows sorted by pair of blocks."""
+    """For mapInArrow over rows sorted by pair of blocks: a list for each query block, merged over its candidate blocks here."""
+
+    def cell(parts: list[pa.RecordBatch]) -> tuple | None:
+        t = pa.Table.from_batches(parts)
+        ids, is_query = t.column("vec_id").to_numpy(), np.asarray(t.column("is_query").to_pylist(), bool)
+        if not is_query.any() or is_query.all():
+            return None
+        w = t.column("w").to_pylist()
+        m = _matrix(w, max(map(len, w)))
+        return score_block(ids[is_query], m[is_query], ids[~is_query], m[~is_query], k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(parts: list[pa.RecordBatch]):
-            t = pa.Table.from_batches(parts)
-            ids, is_query = t.column("vec_id").to_numpy(), np.asarray(t.column("is_query").to_pylist(), bool)
-            w = t.column("w").to_pylist()
-            m = _matrix(w, max(map(len, w)))
-            if is_query.any() and not is_query.all():
-                q, c, s = score_block(ids[is_query], m[is_query], ids[~is_query], m[~is_query], k)
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
-
-        held, now = [], None
+        held, now, lists = [], None, []
+
+        def close() -> None:
+            if held and (found := cell(held)) is not None:
+                lists.append(found)
+                if len(lists) >= 64:
+                    lists[:] = [merged(lists, k)]
+            held.clear()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if lists:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in merged(lists, k)], names=["query_id", "vec_id", "score"])
+            lists.clear()
+
         for b in batches:
             keys = np.stack([b.column("qb").to_numpy(), b.column("cb").to_numpy()], 1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
@@ -94,12 +121,13 @@ def _score(k: int):
                 if z > a:
                     key = tuple(keys[a])
                     if now is not None and key != now:
-                        yield from done(held)
-                        held = []
+                        close()
+                        if key[0] != now[0]:
+                            yield from out()
                     now = key
                     held.append(b.slice(a, z - a))
-        if held:
-            yield from done(held)
+        close()
+        yield from out()
 
     return common.frugal(run)
 
@@ -113,7 +141,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K, query_block: i
     q = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(nq)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)))).withColumn("is_query", F.lit(True))
     c = candidates.withColumn("cb", F.pmod(F.xxhash64("vec_id"), F.lit(nc)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).withColumn("is_query", F.lit(False))
     both = q.unionByName(c).repartition("qb", "cb").sortWithinPartitions("qb", "cb")
-    best = both.mapInArrow(_score(k), "query_id long, vec_id long, score long").distinct()
+    best = both.mapInArrow(_score(k), "query_id long, vec_id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
