@@ -1,12 +1,14 @@
 """Substring dedup: content-defined chunking with a gear rolling hash, and a digest for each chunk.
 
-A chunk ends where the gear hash of the last 32 bytes has ``BITS`` zero bits, unless another such place lies less than
-``LEAST`` bytes before: what ends a chunk depends only on the bytes around, so chunks of a passage are the same wherever it
-stands, and insertions shift nothing. Chunks average about 40 bytes and never break a character; they have no greatest size.
+A chunk ends before the word whose gear hash, that of the 8 bytes before it, is the least of some ``NEAR`` successive words, the
+last of equals: what ends a chunk depends only on the words around, so chunks of a passage are the same wherever it stands, and
+insertions shift nothing. Any ``NEAR`` words hold an end, whatever their bytes: a passage loses fewer than ``NEAR`` words and the
+words of 8 bytes at its start, and fewer than ``NEAR`` at its end. 50 words, be they of one letter, so keep ``MIN_WORDS`` in
+whole chunks. Chunks average seven words.
 
 Digests that occur more than once are found by counting (pre-aggregated in each task, so one common passage is one row of
-each). A run of repeated chunks with ``MIN_WORDS`` words or more is a repeated passage. Chunks lose up to their own length at
-both ends of a passage, so the least is well under the 50 words of the passages looked for. The occurrence that is kept is
+each). A run of repeated chunks with ``MIN_WORDS`` words or more is a repeated passage: the least is what is sure to be left
+of the 50 words of the passages looked for, and some shorter ones are reported too. The occurrence that is kept is
 that of the least doc_id, and the first in that document; later runs are cut. A single digest of 64 bits may collide once in
 10**7 chunks of a 100 TB corpus; a run takes several in a row.
 
@@ -26,9 +28,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW = 32
-BITS = 5
-LEAST = 8
+WINDOW = 8
+NEAR = 13
 MIN_WORDS = 20
 
 _GEAR = (common.mix(np.arange(256, dtype=np.uint64) + np.uint64(77)) >> np.uint64(32)).astype(np.uint32)
@@ -37,7 +38,7 @@ _LAST = (1 << 63) - 1
 
 
 def gear(data: np.ndarray) -> np.ndarray:
-    """At each byte: the sum over the last 32 bytes b of GEAR[b] << distance, modulo 2**32, by doubling the window."""
+    """At each byte: the sum over the last 8 bytes b of GEAR[b] << distance, modulo 2**32, by doubling the window."""
     h = _GEAR[data]
     width = 1
     while width < WINDOW:
@@ -46,17 +47,30 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _least(h: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Positions of the last least hash of any ``NEAR`` successive ones of a group."""
+    key = h.astype(np.uint64) << np.uint64(32) | np.arange(len(h), 0, -1, dtype=np.uint64)
+    width = 1
+    while width < NEAR:
+        step = min(width, NEAR - width)
+        key = np.minimum(key[:-step], key[step:])
+        width += step
+    key = key[group[: len(key)] == group[len(group) - len(key) :]]
+    return np.unique(len(h) - (key & np.uint64(0xFFFFFFFF)).astype(np.int64))
+
+
 def chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each text: digests, and lengths in characters and in words of its chunks. A word belongs to the chunk it starts in."""
     gap = b"\0" * WINDOW
     data = np.frombuffer(gap + gap.join(texts) + gap, np.uint8)
     inner = (data & 0xC0) != 0x80  # first bytes of characters
-    ends = np.flatnonzero(gear(data) >> np.uint32(32 - BITS) == 0) + 1
-    ends = ends[(ends < len(data)) & inner[np.minimum(ends, len(data) - 1)]]
-    ends = ends[np.concatenate(([True], np.diff(ends) >= LEAST))] if len(ends) else ends
     chars = np.concatenate(([0], np.cumsum(inner)))
     solid = data > 32
-    words = np.concatenate(([0], np.cumsum(solid & ~np.concatenate(([False], solid[:-1])))))
+    begins = solid & ~np.concatenate(([False], solid[:-1]))
+    words = np.concatenate(([0], np.cumsum(begins)))
+    begins = np.flatnonzero(begins)
+    sizes = np.array([len(t) + WINDOW for t in texts], np.int64)
+    ends = begins[_least(gear(data)[begins - 1], np.searchsorted(np.cumsum(sizes) + WINDOW, begins, "right"))]
     at = WINDOW
     for t in texts:
         stop = at + len(t)

@@ -406,6 +406,29 @@ def test_every_long_passage_is_caught(spark):
     assert substring_dedup.find(docs(spark, rows)).count() >= 236
 
 
+def missed(passages, glue=" "):
+    """Of passages that stand in two different contexts, those without a run of common chunks of enough words."""
+    rng, out = random.Random(12), []
+    for p in passages:
+        (a, _, _), (b, _, n) = substring_dedup.chunks([(words(rng, 60) + glue + p + glue + words(rng, 60)).encode() for _ in range(2)])
+        if not substring_dedup.runs(np.isin(b, a), n, substring_dedup.MIN_WORDS):
+            out.append(p)
+    return out
+
+
+def test_every_passage_of_50_words_is_caught(spark):
+    rng = random.Random(11)
+    for n in (50, 51, 55, 70):
+        assert not missed(words(rng, n) for _ in range(500))
+    letters = [" ".join(rng.choices("abcdefgh", k=50)) for _ in range(500)]
+    assert not missed(letters) and not missed(letters, "yy") and not missed(words(rng, 51, 30) for _ in range(500))
+    rows = []
+    for k in range(150):
+        p = words(rng, 51)
+        rows += [(2 * k, words(rng, 40) + " " + p + " " + words(rng, 40)), (2 * k + 1, words(rng, 40) + " " + p + " " + words(rng, 40))]
+    assert substring_dedup.find(docs(spark, rows)).count() == 300
+
+
 # 9 Decontamination ----------------------------------------------------------------------------------------------------
 
 
