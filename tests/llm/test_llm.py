@@ -429,6 +429,16 @@ def test_every_passage_of_50_words_is_caught(spark):
     assert substring_dedup.find(docs(spark, rows)).count() == 300
 
 
+def test_passages_of_one_line_are_caught(spark):
+    rng = random.Random(13)
+    lines = [words(rng, rng.randrange(1, 15)) for _ in range(400)]
+    repeated = ["\n".join([x] * max(20, -(-51 // len(x.split())))) for x in lines]
+    assert not missed(repeated, "\n") and not missed(["w5 " * 5000])
+    rows = [(2 * k + j, words(rng, 40) + "\n" + p + "\n" + words(rng, 40)) for k, p in enumerate(repeated[:100]) for j in range(2)]
+    found = {r.doc_id: r for r in substring_dedup.find(docs(spark, rows)).collect()}
+    assert len(found) == 200 and all(found[2 * k + 1].cut for k in range(100))
+
+
 # 9 Decontamination ----------------------------------------------------------------------------------------------------
 
 
