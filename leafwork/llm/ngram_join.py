@@ -278,12 +278,15 @@ def join(documents: DataFrame, scratch: common.Scratch | None = None, block: int
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents but for all of each class except the one with the least doc_id. Rows without doc_id stay."""
-    done = join(documents)
+    """The documents but for all of each class except the one with the least doc_id. Rows without doc_id come last, by a hash of
+    their text; those of them without words all stay."""
+    wordless = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike("[0-9A-Za-z]|[^\\x00-\\x7F]")
+    named = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseOR(F.lit(1 << 62)).bitwiseAND(F.lit((1 << 63) - 1)))
+    own = documents.filter(~wordless).withColumns({"_own_id": named, "_own_digest": digest()})
+    done = join(own.select(F.col("_own_id").alias("doc_id"), "text"))
     stay = done.filter("doc_id = class_id").select(F.col("doc_id").alias("_key_id"), F.col("digest").alias("_key_digest")).distinct()
-    own = documents.withColumn("_own_digest", digest())
-    kept = own.join(stay, (own["doc_id"] == stay["_key_id"]) & (own["_own_digest"] == stay["_key_digest"]), "left_semi").drop("_own_digest")
-    return kept.dropDuplicates(["doc_id", "text"]).unionByName(documents.filter("doc_id is null"))
+    kept = own.join(stay, (own["_own_id"] == stay["_key_id"]) & (own["_own_digest"] == stay["_key_digest"]), "left_semi").dropDuplicates(["_own_id", "text"])
+    return kept.drop("_own_id", "_own_digest").unionByName(documents.filter(wordless))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

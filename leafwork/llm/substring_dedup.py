@@ -13,8 +13,8 @@ that of the least doc_id, and the first in that document; later runs are cut. A
 10**7 chunks of a 100 TB corpus; a run takes several in a row.
 
 Null and empty texts have no chunks. Rows that repeat both doc_id and text count as one document: each gets the same result,
-and nothing of it counts as repeated on their account. Documents of different texts under one id count as one document.
-Rows with a null doc_id count as the last documents.
+and nothing of it counts as repeated on their account. Documents of different texts under one id follow each other by a hash
+of the text. Rows with a null doc_id count as the last documents, among each other by that hash too.
 """
 
 from __future__ import annotations
@@ -110,11 +110,11 @@ _SPANS_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), (
 def _passages(least: int):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows, found = [], [[], []]
-        for k, (own, chars, words, marks) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("own", "chars", "words", "marks")))):
+        for k, (own, tid, chars, words, marks) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("own", "tid", "chars", "words", "marks")))):
             repeated, later, seen = np.zeros(len(chars), bool), np.zeros(len(chars), bool), set()
             for m in sorted(marks, key=lambda m: m["at"]):
                 repeated[m["at"]] = True
-                later[m["at"]] = own > m["first"] or m["digest"] in seen
+                later[m["at"]] = own > m["first"] or (m["tie"] is not None and tid > m["tie"]) or m["digest"] in seen
                 seen.add(m["digest"])
             at, words = np.concatenate(([0], np.cumsum(chars))), np.array(words)
             spans = [[{"start": int(at[a]), "end": int(at[z]), "words": int(words[a:z].sum())} for a, z in runs(x, words, least)] for x in (repeated, later)]
@@ -141,10 +141,19 @@ def find(documents: DataFrame, scratch: common.Scratch | None = None, min_words:
     counted = each.join(twins, "rid", "left_anti") if not _empty(twins) else each
     twice = counted.groupBy("digest").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
     twice = scratch.write(twice, "twice")  # so that a very common digest is a skew of a plain join, which Spark splits
-    marks = each.select("rid", "at", "digest").join(twice, "digest").groupBy("rid").agg(F.collect_list(F.struct("at", "digest", "first")).alias("marks"))
+    found = each.select("rid", "own", "at", "digest").join(twice, "digest")
+    # Where several texts have one id, the least hash of those with a digest is its first.
+    several = scratch.write(rows.groupBy("own").agg(F.min("tid").alias("least"), F.max("tid").alias("most")).filter("least <> most").select("own"), "several")
+    if _empty(several):
+        found = found.withColumn("tie", F.lit(None).cast("long"))
+    else:
+        among = rows.join(several, "own").select("own", "tid", F.explode("digests").alias("digest"))
+        ties = scratch.write(among.groupBy("digest", "own").agg(F.min("tid").alias("tie")), "ties")
+        found = found.join(ties.withColumnRenamed("own", "first"), ["digest", "first"], "left").withColumn("tie", F.when(F.col("own") == F.col("first"), F.col("tie")))
+    marks = found.groupBy("rid").agg(F.collect_list(F.struct("at", "digest", "first", "tie")).alias("marks"))
     both = rows.select("rid", "own", "doc_id", "tid", "chars", "words").join(marks, "rid")
     done = scratch.write(both.mapInArrow(common.by_batch(_passages(min_words)), f"doc_id long, tid long, repeated {_SPANS}, cut {_SPANS}"), "done")
-    scratch.drop("chunks", "twice")
+    scratch.drop("chunks", "twice", "several", "ties")
     return done
 
 

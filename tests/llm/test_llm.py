@@ -122,6 +122,15 @@ def test_keep_one(spark):
     assert kept.columns == df.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, (1, 2, 3, None, 5)))
 
 
+def test_keep_one_without_ids(spark):
+    near = [t for _, t in near_copies(3, 100, 6, 1, 0)]
+    rows = [(None, t) for t in near + near[:2]] + [(None, "solo text here"), (None, None), (None, None), (None, "!!")] + [(4, "given id " * 9), (None, "given id " * 9)]
+    df = docs(spark, rows, True)
+    kept = [(r.doc_id, r.text) for r in ngram_join.keep_one(df).collect()]
+    assert sum(t in near for _, t in kept) == 1
+    assert sorted(map(str, (r for r in kept if r[1] not in near))) == sorted(map(str, rows[8:12] + [rows[12]]))
+
+
 def test_pruning_is_safe():
     """At 0.8, the chance to be dropped at any step is far below one in a million."""
     from math import comb
@@ -439,6 +448,14 @@ def test_passages_of_one_line_are_caught(spark):
     assert len(found) == 200 and all(found[2 * k + 1].cut for k in range(100))
 
 
+def test_rows_without_an_id_or_with_one_id_are_cut(spark):
+    rng = random.Random(14)
+    p, q = words(rng, 80), words(rng, 80)
+    rows = [(i, words(rng, 40) + " " + x + " " + words(rng, 40)) for i, x in ((None, p), (None, p), (None, p), (7, q), (7, q), (8, words(rng, 80)))]
+    after = [r.text for r in substring_dedup.cut_repeats(docs(spark, rows, True)).collect()]
+    assert [sum(x[90:-90] in t for t in after) for x in (p, q)] == [1, 1] and rows[5][1] in after
+
+
 # 9 Decontamination ----------------------------------------------------------------------------------------------------
 
 
