@@ -5,8 +5,8 @@ blocks by a hash of their ids; each pair of a query block and a candidate block
 weights of the query rows that have it are multiplied by the term's posting list and scattered into dense score arrays.
 Partition selection keeps the best k of each query in a block, and the blocks' lists are merged.
 
-A row's own id is no candidate for it. Ties go to the smaller id. Rows whose id is null or whose vector is null, empty, or
-has null or non-finite components take no part; a shorter vector has zeros for what it lacks. Rows repeated with id and
+A row's own id is no candidate for it. Ties go to the smaller id. Rows whose id is null or whose vector is null or
+has null or non-finite components take no part; a shorter vector has zeros for what it lacks, an empty one nothing but zeros. Rows repeated with id and
 vector count once; of different vectors under one id each is a candidate, and their queries' lists are merged under that id.
 """
 
@@ -30,7 +30,7 @@ QUERY_BLOCK = 512
 def weights(df: DataFrame, scale: float = SCALE) -> DataFrame:
     """vec_id and the integer weights floor(scale * x) of rows that take part."""
     x = F.transform("embedding", lambda v: v.cast("double"))
-    sound = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(float("inf"))))
+    sound = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(float("inf"))))
     return df.filter(sound).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(F.lit(scale) * v).cast("long")).alias("w"))
 
 

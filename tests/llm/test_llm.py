@@ -511,6 +511,15 @@ def test_topk_is_brute_force(spark):
     assert topk.search(v.limit(0), v).count() == 0 and topk.search(v.limit(1), v.limit(1)).count() == 0
 
 
+def test_empty_vectors_score_zero(spark):
+    df = spark.createDataFrame([(0, []), (1, [-1.0, 0.5]), (2, [1.0]), (50, [1.0, 0.0]), (51, [])], "vec_id long, embedding array<float>")
+    v = topk.weights(df)
+    got = sorted(map(tuple, topk.search(v.filter("vec_id % 50 = 0"), v).collect()))
+    assert got == [(0, 1, 1, 0), (0, 2, 2, 0), (0, 3, 50, 0), (0, 4, 51, 0), (50, 1, 2, 65536), (50, 2, 0, 0), (50, 3, 51, 0), (50, 4, 1, -65536)]
+    none = v.filter("vec_id in (0, 51)")
+    assert sorted(map(tuple, topk.search(none, none).collect())) == [(0, 1, 51, 0), (51, 1, 0, 0)]
+
+
 # Pipeline -------------------------------------------------------------------------------------------------------------
 
 
