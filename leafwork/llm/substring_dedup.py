@@ -4,7 +4,7 @@ A chunk ends before the word whose gear hash, that of the 8 bytes before it, is
 last of equals: what ends a chunk depends only on the words around, so chunks of a passage are the same wherever it stands, and
 insertions shift nothing. Any ``NEAR`` words hold an end, whatever their bytes: a passage loses fewer than ``NEAR`` words and the
 words of 8 bytes at its start, and fewer than ``NEAR`` at its end. 50 words, be they of one letter, so keep ``MIN_WORDS`` in
-whole chunks. Chunks average seven words.
+whole chunks. Chunks average about six words.
 
 Digests that occur more than once are found by counting (pre-aggregated in each task, so one common passage is one row of
 each). A run of repeated chunks with ``MIN_WORDS`` words or more is a repeated passage: the least is what is sure to be left
