@@ -4,18 +4,22 @@ A word's input is an embedding of the word and the mean of the embeddings of its
 bounds), both hashed. Windows of ``WINDOW`` words overlap by half; all of them are scored, and a text's score is that of its
 worst window. Inputs come from the text alone.
 
-Training looks at a bounded sample of labelled texts: the first ``POSITIVE`` and ``NEGATIVE`` in the order of a hash of their
-ids, each of at most ``SAMPLE_CHARS`` characters, never of the held-out fold. Labels are of whole texts, so the window that
-makes a text toxic is found in turns: where n-grams of toxic texts stand at first, then where the network itself looks.
-The bias is set last, so that 0.5 separates the sample's texts best.
-
-Null and empty texts, and texts without words, score 0. Repeated rows each get a row. Labels that are null, or contradict one
-another under one id, are not learnt from. Without texts of both labels, all scores are 0.
+Training looks at a bounded sample of labelled documents: the first ``POSITIVE`` and ``NEGATIVE`` that exist, in the order of a
+hash of their ids, never of the held-out fold, as far as ``SAMPLE_BYTES`` of text for each label reach. A text of any length
+can be drawn; of one beyond ``LONG`` characters, ``STRETCHES`` stretches spread evenly over the whole of it are learnt from.
+Labels are of whole texts, so the window that makes a text toxic is found in turns: where n-grams of toxic texts stand at
+first, then where the network itself looks. The bias is set last, so that 0.5 separates the sample's texts best. One task of
+an executor fits the network; the driver only passes its parameters (3 MB) on.
+
+Null and empty texts, and texts without words, score 0. Repeated rows each get a row. Of different texts under one id, the
+least is learnt from. Labels that are null, or contradict one another under one id, are not learnt from. Without texts of both
+labels, all scores are 0. An empty table gives an empty one. Other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,12 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, STRIDE = 32, 16
-POSITIVE, NEGATIVE, SAMPLE_CHARS = 1200, 2000, 20_000
+POSITIVE, NEGATIVE = 1200, 2000
+#: Bytes of text that training looks at, for each label.
+SAMPLE_BYTES = 6 << 20
+LONG, STRETCHES = 120_000, 60
+#: Labelled ids that are looked for among the documents first, for each that is wanted.
+DRAW = 8
 BUCKETS = 1 << 15
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 16, 12, 8
 EPOCHS, BATCH, RATE = 6, 256, 0.01
@@ -212,9 +221,9 @@ class Adam:
         rate *= np.sqrt(1 - 0.999**self.k) / (1 - 0.9**self.k)
         for n, x in g.items():
             if isinstance(x, tuple):  # rows of an embedding
-                rows, back = np.unique(x[0], return_inverse=True)
-                d = np.zeros((len(rows), x[1].shape[1]), np.float32)
-                np.add.at(d, back, x[1])
+                order = np.argsort(x[0], kind="stable")
+                heads = np.flatnonzero(np.diff(x[0][order], prepend=-1))
+                rows, d = x[0][order[heads]], np.add.reduceat(x[1][order], heads)
             else:
                 rows, d = slice(None), x
             m, v = self.m[n], self.v[n]
@@ -301,22 +310,55 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def sample(documents: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """The bounded sample of labelled texts that training looks at, in a fixed order."""
-    one = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").dropna().filter(~held_out(F.col("doc_id")))
-    one = one.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other")
-    ids = one.filter("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVE).unionByName(one.filter("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(NEGATIVE))
-    # At most POSITIVE + NEGATIVE ids, so the broadcast has a proven bound.
-    rows = common.row_key(documents).filter(F.length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(ids.select("doc_id", "toxic")), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).collect()
-    rows.sort()
-    return [r["text"].encode() for r in rows], np.array([r["toxic"] == 1 for r in rows], bool)
+def _drawn(documents: DataFrame, labels: DataFrame) -> list[tuple[int, int]]:
+    """(doc_id, toxic) of the sample: at most POSITIVE + NEGATIVE ids of documents that exist."""
+    one = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().filter(~held_out(F.col("doc_id")))
+    one = one.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other").select("doc_id", "toxic", F.xxhash64("doc_id").alias("at"))
+    present = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
+    out = []
+    for label, n in ((1, POSITIVE), (0, NEGATIVE)):
+        own = one.filter(F.col("toxic") == label)
+        some = own.orderBy("at", "doc_id").limit(DRAW * n)  # so the broadcast and what comes back have a proven bound
+        found = present.join(F.broadcast(some), "doc_id").select("at", "doc_id").distinct().orderBy("at", "doc_id").limit(n).collect()
+        if len(found) < n and some.count() == DRAW * n:  # too many labels without a document: look for all of them
+            found = own.join(present, "doc_id", "left_semi").orderBy("at", "doc_id").limit(n).select("at", "doc_id").collect()
+        out += [(r["doc_id"], label) for r in found]
+    return out
+
+
+def _excerpt(text: F.Column) -> F.Column:
+    """Texts of up to LONG characters, and stretches spread evenly over longer ones."""
+    n, size = F.length(text), LONG // STRETCHES
+    first = lambda k: (F.lit(1) + F.floor(k * (n - size) / F.lit(STRETCHES - 1))).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda k: F.substring(text, first(k), size))
+    return F.when(n <= LONG, text).otherwise(F.array_join(parts, " "))
+
 
+def sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, toxic of the bounded sample that training looks at."""
+    ids = documents.sparkSession.createDataFrame(_drawn(documents, labels), "doc_id long, toxic int")
+    rows = common.row_key(documents).filter("text is not null").join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", _excerpt(F.col("text")).alias("text"), "toxic")
 
-_here: dict = {}
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over the whole sample in a fixed order: one row, the parameters; none without both labels."""
+    texts, toxic, size = [], [], [0, 0]
+    for b in batches:
+        for text, y in zip(common.encoded(b.column("text")), b.column("toxic").to_pylist()):
+            if size[y] < SAMPLE_BYTES:
+                size[y] += len(text)
+                texts.append(text)
+                toxic.append(y == 1)
+    net = train(texts, np.array(toxic, bool)) if texts else None
+    if net:
+        out = BytesIO()
+        np.savez(out, **net.p)
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["parameters"])
 
-def scores(documents: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
-    """The columns keep (of text and others) and score of each row."""
+
+def scores(documents: DataFrame, net: Network | None, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns keep (of text and others) and the score of each row, as column ``name``."""
     spark = documents.sparkSession
     common.prepare(spark)
     shared = spark.sparkContext.broadcast(net.p if net else None)
@@ -333,22 +375,33 @@ def scores(documents: DataFrame, net: Network | None, keep: list[str]) -> DataFr
                     first = np.flatnonzero(np.concatenate(([True], np.diff(text) != 0)))
                     out[a + text[first]] = _sigmoid(np.maximum.reduceat(logit, first).astype(float))
         names = [n for n in batch.schema.names if n in keep]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.float64())], names=[*names, "score"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.float64())], names=[*names, name])
 
     source = documents.select(*keep, *([] if "text" in keep else [F.col("text").cast("string").alias("text")]))
-    schema = source.select(*keep).withColumn("score", F.lit(None).cast("double")).schema
+    schema = source.select(*keep).withColumn(name, F.lit(None).cast("double")).schema
     return source.mapInArrow(common.by_batch(run), schema)
 
 
 def fitted(documents: DataFrame, labels: DataFrame) -> Network | None:
-    return train(*sample(documents, labels))
+    """The network, fitted by one task and written to the shared folder before it is used."""
+    scratch = common.Scratch(documents.sparkSession, "toxicity")
+    one = sample(documents, labels).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    found = scratch.write(one.select("text", "toxic").mapInArrow(common.frugal(_fit), "parameters binary"), "network").first()
+    scratch.drop("network")
+    if found is None:
+        return None
+    net = Network.__new__(Network)
+    with np.load(BytesIO(found["parameters"])) as p:
+        net.p = dict(p)
+    return net
+
+
+_SCORE = "_leafwork_toxicity"
 
 
 def clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents without those that score 0.5 or more."""
-    if "score" in documents.columns:
-        raise ValueError("documents have a column score already")
-    return scores(documents, fitted(documents, labels), documents.columns).filter("score < 0.5").drop("score")
+    """The documents, with all their columns, without those that score 0.5 or more."""
+    return scores(documents, fitted(documents, labels), documents.columns, _SCORE).filter(F.col(_SCORE) < 0.5).drop(_SCORE)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -550,3 +550,43 @@ def test_intersections(at_once):
     want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
     got = ngram_join.shared(sets, at_once)
     assert all(got[i, j] == want[i][j] for i in range(len(sets)) for j in range(len(sets)) if i != j)
+
+
+def planted(rng, n, size, copies=1):
+    rows, labels = [], []
+    for k in range(n):
+        t = words(rng, rng.randrange(*size), 800).split()
+        toxic = k % 4 == 0
+        for _ in range(2 * copies * toxic):
+            t.insert(rng.randrange(len(t) + 1), f"vile{rng.choice(['', 'st', 'ness', 'ly'])}")
+        rows.append((k, " ".join(t)))
+        labels.append((k, int(toxic)))
+    return rows, labels
+
+
+def test_toxic_texts_of_any_length_are_learnt_from(spark):
+    rng = random.Random(21)
+    rows, labels = planted(rng, 60, (4600, 5200), 5)
+    rows = [(i, t) for i, t in rows if i % 4 == 0] + [(i, t[:600]) for i, t in rows if i % 4]
+    assert all(len(t) > 20_000 for i, t in rows if i % 4 == 0)
+    df, lab = docs(spark, rows, True), spark.createDataFrame(labels, "doc_id long, toxic int")
+    kept = toxicity.clean(df, lab)
+    assert kept.columns == df.columns
+    ids = {r.doc_id for r in kept.collect()}
+    assert sum(i % 4 > 0 for i in ids) >= 43 and sum(i % 4 == 0 for i in ids) <= 2
+
+
+def test_sample_is_of_documents_that_exist(spark, monkeypatch):
+    rng = random.Random(22)
+    rows, labels = planted(rng, 80, (5, 40))
+    rows += [(3, rows[3][1]), (None, "no id"), (200, None), (201, "z " * 400_000)]
+    labels += [(k, k % 2) for k in range(1000, 3000)] + [(200, 1), (201, 1)]
+    monkeypatch.setattr(toxicity, "DRAW", 1)
+    monkeypatch.setattr(toxicity, "POSITIVE", 15)
+    monkeypatch.setattr(toxicity, "NEGATIVE", 50)
+    got = toxicity.sample(docs(spark, rows, True), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    texts = dict(rows[:80])
+    train = [i for i in range(80) if zlib.crc32(str(i).encode()) % 5]
+    assert sum(r.toxic for r in got) <= 15 and sum(not r.toxic for r in got) == min(50, sum(i % 4 > 0 for i in train))
+    assert sum(r.toxic for r in got) >= 14 and all(r.text == texts[r.doc_id] for r in got if r.doc_id < 200)
+    assert all(len(r.text) <= toxicity.LONG + toxicity.STRETCHES for r in got)
