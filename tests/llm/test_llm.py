@@ -590,3 +590,61 @@ def test_sample_is_of_documents_that_exist(spark, monkeypatch):
     assert sum(r.toxic for r in got) <= 15 and sum(not r.toxic for r in got) == min(50, sum(i % 4 > 0 for i in train))
     assert sum(r.toxic for r in got) >= 14 and all(r.text == texts[r.doc_id] for r in got if r.doc_id < 200)
     assert all(len(r.text) <= toxicity.LONG + toxicity.STRETCHES for r in got)
+
+
+BODY = "<p>One sentence, and more of it, with words enough.</p><p>Another, longer sentence, so that the article has some points to show.</p>"
+JUNK = "<p>Junk one, with commas, many, many, and text, and words, and more of them here.</p><p>Junk two, with commas, and yet more text, and words, and so on, and on.</p>"
+WANT = "One sentence, and more of it, with words enough. Another, longer sentence, so that the article has some points to show."
+
+
+@pytest.mark.parametrize("name", ["page-sidebar", "main-nav", "entry-comments", "post-share", "content-ad", "page-footer", "story-related", "main-menu", "post-comments", "pageSidebar", "cookie-notice", "comment-body", "page-header", "site-header"])
+def test_furniture_is_left_out_in_and_beside_the_article(name):
+    for page in (f'<div class="article">{BODY}<div class="{name}">{JUNK}</div></div>', f'<div class="article">{BODY}</div><div id="{name}">{JUNK}</div>', f"<div class='{name} wide'>{JUNK}</div><article>{BODY}</article>", f"<article>{BODY}<section class={name}>{JUNK}</section></article>"):
+        assert html_extract.extract(f"<html><body>{page}</body></html>") == WANT
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "post comments-open", "article tag-page", "no-ads", "ad-free", "banner-content", "entry-header", "shared", "headers", "additional"])
+def test_names_that_only_look_like_furniture(name):
+    assert html_extract.extract(f'<body><div class="{name}">{BODY}</div></body>') == WANT
+
+
+def test_html_details():
+    x = html_extract.extract
+    assert x("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math>, <object>shown</object> <audio>heard</audio> <svg><text>drawn</text></svg></p>") == "if x=1, shown heard drawn"
+    assert x("<p><b>&am</b>p; &amp;lt; &lt;b&gt;</p>") == "&amp; &lt; <b>"
+    assert x(f"<body><div>{BODY}</div><p>Short end.</p><p>No end</p><p><a href=x>Link end.</a></p></body>") == WANT + " Short end."
+    assert x(f"<body><article><h1>Title</h1><div>{BODY}</div><p>by me</p></article><div class=footer>f</div></body>") == f"Title {WANT} by me"
+    assert x(f"<body><div>{BODY}</div><h2>Next</h2><div>{BODY}</div></body>") == f"{WANT} Next {WANT}"
+    assert x("<div><a href=/x/>in</a> a link's text, <a title='a>b' href=\"'\">two</a> and more text of it.</div>") == "in a link's text, two and more text of it."
+    # Containers of equal scores: the first wins, and its equal sibling is near it.
+    assert x("<body><section><div><p>aa, bb</p></div></section><section><div><p>cc, dd</p></div></section></body>") == "aa, bb"
+
+
+@pytest.mark.parametrize("shape", ["<blockquote>xx ", "<svg/>", "</x>", "<textarea>", "<p a='", "<!--", "<div><p>a, ", "&amp", "<", "<a b=c "])
+def test_hostile_pages_take_time_by_their_length(shape):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        start = time.perf_counter()
+        html_extract.extract(shape * n)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 0.5 + 8 * took[0]
+
+
+def test_html_without_article_elements(spark, data):
+    import html
+    import re
+
+    for r in spark.read.parquet(f"{data}/pages.parquet").collect():
+        inner = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S)[1]
+        parts = re.split(r"</?(?:p|br|h1)\b[^>]*>", inner)
+        want = " ".join(x for x in (re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", p))).strip() for p in parts) if x)
+        for opened in ("<div class=story>", "<div>", "<section><div id='main-text'>"):
+            page = r.html.replace("<article>", opened).replace("</article>", "</div>" + "</section>" * opened.startswith("<section>"))
+            assert html_extract.extract(page) == want
+
+
+def test_html_beside_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "<p>x</p>", 3), (2, None, 4)], "page_id long, html string, n int")
+    assert sorted(map(tuple, html_extract.texts(df, "html", "n").collect()), key=str) == [("<p>x</p>", 3, "x", 1), (None, 4, "", 0)]
