@@ -648,3 +648,19 @@ def test_html_without_article_elements(spark, data):
 def test_html_beside_clashing_columns(spark):
     df = spark.createDataFrame([(1, "<p>x</p>", 3), (2, None, 4)], "page_id long, html string, n int")
     assert sorted(map(tuple, html_extract.texts(df, "html", "n").collect()), key=str) == [("<p>x</p>", 3, "x", 1), (None, 4, "", 0)]
+
+
+def test_one_vector_under_many_ids_and_many_vectors_under_one_id(spark):
+    same = [(k, [1.0, 2.0]) for k in range(60)] + [(0, [1.0, 2.0])] * 40 + [(7, [float(k), 1.0]) for k in range(40)]
+    v = topk.weights(spark.createDataFrame(same, "vec_id long, embedding array<float>"))
+    got = sorted(map(tuple, topk.search(v.filter("vec_id % 50 = 0"), v, query_block=2, candidate_block=8).collect()))
+    assert got == [(q, r, 7, s) for q in (0, 50) for r, s in zip(range(1, 6), [(39 - j + 2) * 65536 for j in range(5)])]
+
+
+def test_weights_beyond_64_bits(spark):
+    v = topk.weights(spark.createDataFrame([(0, [1e300, 1.0]), (1, [-1e300, 0.0]), (50, [3e38])], "vec_id long, embedding array<double>"))
+    w = {r.vec_id: r.w for r in v.collect()}
+    assert w[0] == [(1 << 63) - 1, 256] and w[1] == [-(1 << 63), 0] and w[50] == [(1 << 63) - 1]
+    wrapped = lambda x: (x + (1 << 63)) % (1 << 64) - (1 << 63)
+    got = {(r.query_id, r.vec_id): r.score for r in topk.search(v.filter("vec_id % 50 = 0"), v).collect()}
+    assert got[0, 50] == wrapped(((1 << 63) - 1) ** 2) and got[0, 1] == wrapped(-((1 << 63) - 1) * (1 << 63))
