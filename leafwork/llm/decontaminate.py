@@ -1,22 +1,27 @@
 """Benchmark decontamination: Wu-Manber search of documents for windows of benchmark words.
 
-Symbols are words. Windows of equal length m form one search: a table of word pairs gives how far the search may shift when
-a pair ends at the place it looks at (a pair in no window allows m - 1); a shift of 0 selects a bucket of windows by the pair
-they end with, and direct comparison confirms each. Long texts with nothing in common with a benchmark are read at one look
-for every m - 1 words.
+Symbols are words. Windows of equal length m form one search: a table, indexed by a hash of two successive words, gives how far
+the search may shift when these end at the place it looks at (words in no window allow m - 1; where hashes meet, the lesser
+shift holds, which is safe). A shift of 0 selects the bucket of the windows that end with these words, a range of arrays sorted
+by suffix hash and window hash, and direct comparison with the benchmark's own text confirms each. Long texts with nothing in
+common with a benchmark are read at one look for every m - 1 words.
 
-Benchmarks of more than ``MAX_BLOCK_BYTES`` are searched in blocks of at most that size, one after another in the same pass
-over the documents, each with tables of its own; the occurrences are united before they are counted.
+The tables are flat arrays of about 55 bytes a benchmark word. Benchmarks with tables of more than ``MAX_TABLE_BYTES`` are
+searched in blocks of at most that size, one after another; the occurrences are united before they are counted. At most
+``CHAIN`` blocks are searched in one pass; what they found is written to the shared folder before the next.
 
 Null and empty texts have no words. An item without words has no window. Items with equal windows each count. Repeated rows
-each get a row. Item ids that are null are void.
+each get a row. Item ids that are null are void. Empty tables on either side are no error. Other columns, whatever their names,
+are left alone.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from array import array
+from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,58 +29,79 @@ from pyspark.sql import functions as F
 from . import common
 
 WIDTH = 10
-MAX_BLOCK_BYTES = 16 << 20
+MAX_TABLE_BYTES = 32 << 20
+#: Bytes of tables for each word, at most: places, hashes, shifts.
+WORD_BYTES = 64
+CHAIN = 2
 FOUND = "array<struct<first:int,last:int,item:string>>"
 
 
 class Search:
-    """Tables for all windows of one length."""
-
-    def __init__(self, length: int):
-        self.length = length
-        self.block = min(2, length)
-        self.shift: dict = {}
-        self.buckets: dict = defaultdict(dict)
-
-    def add(self, window: tuple[bytes, ...], item: str) -> None:
-        m, b = self.length, self.block
-        for end in range(b, m + 1):
-            key = window[end - b : end]
-            self.shift[key] = min(self.shift.get(key, m), m - end)
-        items = self.buckets[window[m - b :]].setdefault(window, [])
-        if item not in items:
-            items.append(item)
+    """Tables for all windows of one length: items are (item id, words) of at least that many words, or exactly that many where they are shorter than a window."""
+
+    def __init__(self, length: int, items: list[tuple[str, list[bytes]]]):
+        m = self.length = length
+        b = self.block = min(2, m)
+        self.items = [i for i, _ in items]
+        self.text = b" ".join(w for _, words in items for w in words)
+        sizes = np.fromiter((len(w) for _, words in items for w in words), np.int64) + 1
+        self.ends = array("q", (np.cumsum(sizes) - 1).tobytes())
+        n = np.array([len(words) for _, words in items])
+        first = np.cumsum(n) - n
+        ending = np.fromiter((hash(tuple(words[e - b : e])) for _, words in items for e in range(b, len(words) + 1)), np.int64)
+        place = np.concatenate([np.arange(b, k + 1) for k in n])  # words up to the end of each
+        bits = max(10, int(len(ending) * 16 - 1).bit_length())
+        self.mask = (1 << min(bits, 26)) - 1
+        shift = np.full(self.mask + 1, m - b + 1, np.uint8)
+        np.minimum.at(shift, ending & self.mask, np.maximum(0, m - place).astype(np.uint8))
+        self.shift = shift.tobytes()
+        whole = np.fromiter((hash(tuple(words[a : a + m])) for _, words in items for a in range(len(words) - m + 1)), np.int64)
+        suffix = ending[place >= m]
+        start = np.concatenate([f + np.arange(k - m + 1) for f, k in zip(first, n)])
+        item = np.repeat(np.arange(len(items)), n - m + 1)
+        order = np.lexsort((item, whole, suffix))
+        self.suffix, self.whole = array("q", suffix[order].tobytes()), array("q", whole[order].tobytes())
+        self.start, self.item = array("q", start[order].tobytes()), array("i", item[order].astype(np.int32).tobytes())
+
+    def _confirm(self, words: list[bytes], at: int, h: int, found: list[tuple[int, int, str]]) -> None:
+        first = at - self.length + 1
+        k = bisect_left(self.suffix, h)
+        if k == len(self.suffix) or self.suffix[k] != h:
+            return
+        window = words[first : at + 1]
+        whole = hash(tuple(window))
+        k = bisect_left(self.whole, whole, k, bisect_left(self.suffix, h + 1, k) if h < (1 << 63) - 1 else len(self.suffix))
+        text, seen = b" ".join(window), set()
+        while k < len(self.whole) and self.whole[k] == whole and self.suffix[k] == h:
+            a, i = self.start[k], self.item[k]
+            if i not in seen and self.text[self.ends[a - 1] + 1 if a else 0 : self.ends[a + self.length - 1]] == text:
+                seen.add(i)
+                found.append((first, at, self.items[i]))
+            k += 1
 
     def run(self, words: list[bytes], found: list[tuple[int, int, str]]) -> None:
-        m, n, shift, buckets = self.length, len(words), self.shift, self.buckets
-        far = m - self.block + 1
-        at = m - 1
+        at, n, shift, mask = self.length - 1, len(words), self.shift, self.mask
         if self.block == 1:
             for at in range(n):
-                if key := buckets.get((words[at],)):
-                    found += [(at, at, x) for items in key.values() for x in items]
+                h = hash((words[at],))
+                if not shift[h & mask]:
+                    self._confirm(words, at, h, found)
             return
-        get = shift.get
         while at < n:
-            step = get((words[at - 1], words[at]), far)
-            if step:
+            h = hash((words[at - 1], words[at]))
+            if step := shift[h & mask]:
                 at += step
-                continue
-            first = at - m + 1
-            items = buckets[words[at - 1], words[at]].get(tuple(words[first : at + 1]))
-            if items:
-                found += [(first, at, x) for x in items]
-            at += 1
+            else:
+                self._confirm(words, at, h, found)
+                at += 1
 
 
 def searches(items: list[tuple[str, str]], width: int = WIDTH) -> list[Search]:
-    by: dict[int, Search] = {}
+    by: dict[int, list] = {}
     for item, text in items:
-        words = common.words_of(text)
-        m = min(width, len(words))
-        for i in range(len(words) - m + 1 if m else 0):
-            by.setdefault(m, Search(m)).add(tuple(words[i : i + m]), item)
-    return list(by.values())
+        if words := common.words_of(text):
+            by.setdefault(min(width, len(words)), []).append((item, words))
+    return [Search(m, own) for m, own in by.items()]
 
 
 _tables: dict = {}
@@ -99,27 +125,31 @@ class Block:
 
 
 def blocks(spark: SparkSession, benchmark: DataFrame, most: int) -> list[Block]:
-    """The benchmark in blocks of bounded size; it streams through the driver, which holds one block at a time."""
+    """The benchmark in blocks whose tables have a bounded size; it streams through the driver, which holds one block at a time."""
     out, now, size = [], [], 0
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).dropna().distinct()
     for i, t in rows.toLocalIterator():
         now.append((i, t))
-        size += len(t) + 64
+        size += len(t.encode()) + WORD_BYTES * (1 + len(common.words_of(t)))
         if size > most:
             out.append(Block(spark, now, len(out)))
             now, size = [], 0
     return [*out, Block(spark, now, len(out))] if now or not out else out
 
 
-def find(documents: DataFrame, benchmark: DataFrame, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
-    """doc_id, text, found (first and last word of each occurrence, item), n_words, n_hit, n_items, items_sha256, contaminated for each row."""
+def find(documents: DataFrame, benchmark: DataFrame, max_table_bytes: int = MAX_TABLE_BYTES) -> DataFrame:
+    """doc_id, found (first and last word of each occurrence, item), n_words, n_hit, n_items, items_sha256, contaminated for each row."""
     spark = documents.sparkSession
     common.prepare(spark)
-    parts = blocks(spark, benchmark, max_block_bytes)
-    df = common.row_key(documents)
+    parts = blocks(spark, benchmark, max_table_bytes)
+    df, scratch = common.row_key(documents), None
     for k, part in enumerate(parts[:-1]):
         df = df.mapInArrow(_partial(part, k > 0), f"doc_id long, text string, found {FOUND}")
-    last = f"doc_id long, text string, found {FOUND}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+        if k % CHAIN == CHAIN - 1:
+            scratch = scratch or common.Scratch(spark, "decontaminate")
+            df = scratch.write(df, f"found-{k}")
+            scratch.drop(f"found-{k - CHAIN}")
+    last = f"doc_id long, found {FOUND}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     return df.mapInArrow(_final(parts[-1], len(parts) > 1), last)
 
 
@@ -161,12 +191,12 @@ def _final(part: Block, more: bool):
             items = sorted({x for _, _, x in row})
             counts.append((len(words), hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0))
         cols = [pa.array(c, t) for c, t in zip(zip(*counts), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), _spans(found), *cols], names=["doc_id", "text", "found", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), _spans(found), *cols], names=["doc_id", "found", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return common.by_batch(run)
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
+def clean(documents: DataFrame, benchmark: DataFrame, max_table_bytes: int = MAX_TABLE_BYTES) -> DataFrame:
     """The documents, with all their columns, in which no window of the benchmark occurs."""
     spark = documents.sparkSession
     common.prepare(spark)
@@ -187,7 +217,12 @@ def clean(documents: DataFrame, benchmark: DataFrame, max_block_bytes: int = MAX
 
         return common.by_batch(run)
 
-    for part in blocks(spark, benchmark, max_block_bytes):
+    scratch = None
+    for k, part in enumerate(blocks(spark, benchmark, max_table_bytes)):
+        if k and k % CHAIN == 0:
+            scratch = scratch or common.Scratch(spark, "decontaminate")
+            documents = scratch.write(documents, f"kept-{k}")
+            scratch.drop(f"kept-{k - CHAIN}")
         documents = documents.mapInArrow(kept(part), documents.schema)
     return documents
 
