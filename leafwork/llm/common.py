@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; arrays of eight bytes for each of them are made.
@@ -67,6 +67,19 @@ class Scratch:
             pass
 
 
+def running(df: DataFrame, order: str, value: str, name: str, scratch: Scratch) -> DataFrame:
+    """Adds the exclusive prefix sum of a column in the order of another, whose values are distinct.
+
+    Two levels: ranges of the order, each summed by its own task, and then the ranges, of which there are as many as tasks.
+    """
+    before = Window.unboundedPreceding, -1
+    ranged = scratch.write(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), f"ranged-{name}")
+    totals = ranged.groupBy("_range").agg(F.sum(value).alias("_n"))
+    base = totals.withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(*before)), F.lit(0))).select("_range", "_base")
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(*before)), F.lit(0))
+    return ranged.withColumn("_own", own).join(base, "_range").withColumn(name, F.col("_base") + F.col("_own")).drop("_range", "_base", "_own")
+
+
 def filesystem(uri: str):
     """(file system, path) with which a Python worker reads and writes files in the shared folder."""
     from pyarrow import fs

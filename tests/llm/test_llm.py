@@ -664,3 +664,67 @@ def test_weights_beyond_64_bits(spark):
     wrapped = lambda x: (x + (1 << 63)) % (1 << 64) - (1 << 63)
     got = {(r.query_id, r.vec_id): r.score for r in topk.search(v.filter("vec_id % 50 = 0"), v).collect()}
     assert got[0, 50] == wrapped(((1 << 63) - 1) ** 2) and got[0, 1] == wrapped(-((1 << 63) - 1) * (1 << 63))
+
+
+def brute_separators(ids, end):
+    out, now, at = [], 0, 0
+    for k, i in enumerate(ids):
+        if i == end:
+            out.append((now, at, True))
+            now, at = 0, k + 1
+        else:
+            now += 1
+    return out + ([(now, at, False)] if now else [])
+
+
+@pytest.mark.parametrize("run", [1, 3, 1024])
+def test_separators_across_many_blocks(spark, monkeypatch, run):
+    """One file is cut into many rows and tasks; documents lie across several cuts, blocks without separators among them."""
+    monkeypatch.setattr(token_counts, "RUN", run)
+    rng = np.random.default_rng(7)
+    files = {"long": np.concatenate([rng.integers(0, 50, 900), np.full(300, 1), [9, 9], rng.integers(0, 50, 100)]), "open": np.array([1, 2, 3]), "none": np.zeros(0, int), "ends": np.array([9, 9, 1, 9])}
+    rows = []
+    for name, ids in files.items():
+        cuts = [0, *sorted(rng.integers(0, len(ids) + 1, 40).tolist()), len(ids)] if name == "long" else [0, len(ids)]
+        rows += [(name, k, ids[a:z].astype("<u2").tobytes()) for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:]))]
+    rows.append(("empty", 0, None))
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(a, int(b), bytes(c) if c is not None else None) for a, b, c in rows], token_counts.BLOCKS).repartition(7)
+    got = token_counts.placed(token_counts.count(df, 9, 5)).collect()
+    start = 0
+    for name in sorted(files):
+        mine = [(r.n_tokens, r.offset, r.closed) for r in sorted(got, key=lambda r: r.ordinal) if r.file == name]
+        assert mine == brute_separators(files[name].tolist(), 9), name
+        for r in sorted((r for r in got if r.file == name), key=lambda r: r.ordinal):
+            assert r.start == start
+            start += r.n_tokens
+
+
+def test_raw_files(spark, tmp_path):
+    ids = np.array([5, 6, 9, 9, 7, 9, 8])
+    (tmp_path / "a.u16").write_bytes(ids.astype("<u2").tobytes())
+    (tmp_path / "b.u16").write_bytes(b"")
+    got = token_counts.count(token_counts.blocks_of(spark, str(tmp_path)), 9)
+    assert sorted((r.n_tokens, r.offset, r.closed) for r in got.collect()) == sorted(brute_separators(ids.tolist(), 9))
+
+
+def test_flat_blocks_are_cut_anywhere(spark, library):
+    rng = random.Random(31)
+    rows = [(k, words(rng, rng.randrange(60))) for k in range(200)]
+    scratch = common.Scratch(spark, "t")
+    files, order = token_counts.write(docs(spark, rows), PATH, scratch, block=64)
+    assert files.groupBy("file").count().agg(F.max("count")).first()[0] > 20
+    got = sorted((r.doc_id, r.n_tokens) for r in token_counts.count(files).join(order, ["file", "ordinal"]).collect())
+    assert got == [(i, len(library.encode(t, add_special_tokens=False).ids)) for i, t in rows]
+
+
+def test_ids_beyond_16_bits_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "library_chunks", lambda *a, **k: type("C", (), {"many": lambda self, t: [np.array([70_000], np.uint32)] * len(t)})())
+    source = docs(spark, [(1, "x")])
+    captured = {}
+    monkeypatch.setattr(common, "frugal", lambda f: captured.setdefault("run", f))
+    with pytest.raises(Exception):
+        token_counts.write(source, PATH, type("S", (), {"write": lambda *a, **k: 1 / 0})())
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["x"], "task": [0]})
+    with pytest.raises(ValueError, match="70000"):
+        list(captured["run"]([batch]))
