@@ -7,10 +7,13 @@ stretches between checkpoints of a file are decoded side by side. Each block has
 
 File: magic, then a header of JSON (with the name of the table), then per-document sizes and ids, then blocks' directory,
 checkpoints and words, each deflated or raw as the header says. Documents are in ascending doc_id order, within a file and
-over the files in the order of the manifest.
+over the files in the order of the manifest. A file is a row of a table in the shared folder (its name and its bytes), written
+by Spark's own writer: it reaches any store that Spark reaches, and lost attempts leave nothing behind.
 
 The frequency table sums to 2**20, each symbol of the vocabulary has at least 1, so any id can be coded.
-Null and empty texts have the end id only. Rows with a null doc_id come first; equal doc_ids are ordered by their text.
+Null and empty texts have the end id only. Rows with a null doc_id come first; rows of one doc_id are in the order of their
+texts' first ``TIE_CHARS`` characters, then of a hash of the text, so ranges may split them; repeated rows each are a document.
+An empty table gives no files. Other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe, common
@@ -33,6 +36,8 @@ LANES = 64
 EVERY = 1 << 13
 #: Tokens of a file; a longer document is not split.
 FILE_TOKENS = 4 << 20
+#: Characters of a text that order rows of one doc_id.
+TIE_CHARS = 64
 MAGIC = b"LWANS001"
 _LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
@@ -174,29 +179,34 @@ def _counted(n: int, kind: str):
     return run
 
 
-def _written(frequencies, folder: str, kind: str):
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over one range in order: adds the ids that come before each document in its range."""
+    at = 0
+    for b in batches:
+        n = b.column("n").to_numpy()
+        ends = at + np.cumsum(n)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ends - n, pa.int64())], names=[*b.schema.names, "before"])
+        at = int(ends[-1]) if len(ends) else at
+
+
+def _written(frequencies, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, shard, docs, ids, size = Coder(frequencies.value), None, [], [], 0
+        coder, shard, before, docs, ids, size = Coder(frequencies.value), None, 0, [], [], 0
 
         def flush():
-            first = docs[0]
             sizes = np.array([len(x) for x in ids], np.int64)
-            data = pack(coder, docs, sizes, np.concatenate(ids), "frequencies.bin")
-            from uuid import uuid4
-
-            name = f"{folder}/tokens-{shard:06d}-{uuid4().hex}.ans"  # another name for each attempt: the manifest has the one that counts
-            common.put_file(name, data)
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int64()), (part[0], pa.int64()), (first, pa.int64()), (len(docs), pa.int64()), (int(sizes.sum()), pa.int64()), (len(data), pa.int64()), (name, pa.string()))], names=["shard", "part", "first_doc_id", "n_docs", "n_tokens", "n_bytes", "file"])
+            data = pack(coder, docs, sizes, np.concatenate(ids), "frequencies")
+            values = (f"tokens-{shard:08d}-{before:016d}.ans", shard, before, docs[0], len(docs), int(sizes.sum()), len(data), data)
+            kinds = (pa.string(), *[pa.int64()] * 6, pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds)], names=["file", "shard", "before", "first_doc_id", "n_docs", "n_tokens", "n_bytes", "data"])
 
-        part = [0]
         for b in batches:
-            for s, p, d, x in zip(b.column("shard").to_pylist(), b.column("place").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids")):
+            for s, p, d, x in zip(b.column("shard").to_pylist(), b.column("before").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids")):
                 if docs and (s != shard or size >= FILE_TOKENS):
                     yield flush()
                     docs, ids, size = [], [], 0
                 if not docs:
-                    part[0] = p
-                shard = s
+                    shard, before = s, p
                 docs.append(d)
                 ids.append(np.frombuffer(x.as_buffer(), kind))
                 size += len(ids[-1])
@@ -206,53 +216,63 @@ def _written(frequencies, folder: str, kind: str):
     return common.frugal(run)
 
 
-MANIFEST = "shard long, part long, first_doc_id long, n_docs long, n_tokens long, n_bytes long, file string"
+MANIFEST = "file string, shard long, before long, first_doc_id long, n_docs long, n_tokens long, n_bytes long, data binary"
 
 
 def write(documents: DataFrame, path: str, scratch: common.Scratch) -> tuple[DataFrame, np.ndarray]:
-    """Encodes and writes all texts in ascending doc_id order. (manifest of the files, frequency table)."""
+    """Encodes and writes all texts in ascending doc_id order. (table of the files, frequency table).
+
+    shard is the range of doc_ids that a file belongs to, before the ids that come before it in that range.
+    """
     spark = documents.sparkSession
-    rows = common.row_key(documents)
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    text = F.coalesce("text", F.lit(""))
+    rows = common.row_key(documents).withColumns({"_near": F.substring(text, 1, TIE_CHARS), "_hash": F.xxhash64(text), "_row": F.monotonically_increasing_id()})
+    order = [F.asc_nulls_first("doc_id"), F.asc("_near"), F.asc("_hash")]
+    ordered = rows.repartitionByRange(*order, F.asc("_row")).sortWithinPartitions(*order).drop("_near", "_hash", "_row")
     n = max(bpe.worker_bytes(path)) + 1
     kind = "<u2" if n <= 1 << 16 else "<u4"
-    ids = bpe.encode(ordered.withColumn("shard", F.spark_partition_id().cast("long")).withColumn("place", F.monotonically_increasing_id()), path, library=True, kind=kind, end=END_ID)
-    held = scratch.write(ids, "ids")
+    ids = bpe.encode(ordered.withColumn("shard", F.spark_partition_id().cast("long")), path, library=True, kind=kind, end=END_ID)
+    sized = ids.withColumn("n", F.length("ids").cast("long") / F.lit(np.dtype(kind).itemsize)).withColumn("n", F.col("n").cast("long"))
+    held = scratch.write(sized.mapInArrow(_starts, "doc_id long, shard long, ids binary, n long, before long"), "ids")
     counts = np.zeros(n, np.int64)
     for i, c in held.select("ids").mapInArrow(_counted(n, kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
         counts[i] = c
     f = quantised(counts)
-    folder = f"{scratch.path}/files"
     shared = spark.sparkContext.broadcast(f)
-    manifest = scratch.write(held.mapInArrow(_written(shared, folder, kind), MANIFEST), "manifest")
-    common.put_file(f"{folder}/frequencies.bin", f.astype("<u4").tobytes())
+    files = scratch.write(held.select("doc_id", "shard", "ids", "before").mapInArrow(_written(shared, kind), MANIFEST), "files", codec="none")
+    scratch.write(spark.createDataFrame([(f.astype("<u4").tobytes(),)], "frequencies binary"), "frequencies")
     scratch.drop("ids")
-    return manifest, f
+    return files, f
+
 
+def read(files: DataFrame, frequencies: np.ndarray) -> DataFrame:
+    """doc_id, start (ids of all documents before it), ids (binary, with the end id) from the files, wherever they lie.
 
-def read(manifest: DataFrame, frequencies: np.ndarray) -> DataFrame:
-    """doc_id, start (ids of all documents before it), ids (binary, with the end id) from the files of a manifest, a task for a file or a few."""
-    spark = manifest.sparkSession
-    sizes = sorted((r["shard"], r["part"], r["n_tokens"], r["file"]) for r in manifest.select("shard", "part", "n_tokens", "file").collect())  # a row for each file
-    starts = np.concatenate(([0], np.cumsum([s[2] for s in sizes], dtype=np.int64)))[: len(sizes)]
-    files = spark.createDataFrame([(i, int(a), s[3]) for i, (a, s) in enumerate(zip(starts, sizes))], "k long, base long, file string")
+    A range's start is the sum of those before it; there is a row for each range, as many as tasks, and Spark joins them by
+    broadcast only below its own threshold of size.
+    """
+    spark = files.sparkSession
+    ranges = files.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    base = ranges.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("shard", "base")
     shared = spark.sparkContext.broadcast(frequencies)
 
     def run(batches):
         coder = Coder(shared.value)
         for b in batches:
-            for base, name in zip(b.column("base").to_pylist(), b.column("file").to_pylist()):
-                docs, n, ids = unpack(coder, common.get_file(name))
-                ends = np.cumsum(n)
+            for shard, before, data in zip(b.column("shard").to_pylist(), b.column("before").to_pylist(), b.column("data")):
+                docs, n, ids = unpack(coder, data.as_buffer().to_pybytes())
+                ends = before + np.cumsum(n)
                 for a in range(0, len(docs), 500):
                     k = range(a, min(a + 500, len(docs)))
-                    yield pa.RecordBatch.from_arrays([pa.array([docs[i] for i in k], pa.int64()), pa.array([base + int(ends[i] - n[i]) for i in k], pa.int64()), pa.array([ids[ends[i] - n[i] : ends[i]].astype("<u4").tobytes() for i in k], pa.binary())], names=["doc_id", "start", "ids"])
+                    columns = ([docs[i] for i in k], [shard] * len(k), [int(ends[i] - n[i]) for i in k], [ids[ends[i] - n[i] - before : ends[i] - before].astype("<u4").tobytes() for i in k])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "shard", "before", "ids"])
 
-    return files.repartition(max(1, min(len(sizes), 4096)), "k").mapInArrow(run, "doc_id long, start long, ids binary")
+    found = files.select("shard", "before", "data").mapInArrow(common.frugal(run), "doc_id long, shard long, before long, ids binary")
+    return found.join(base, "shard").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "ids")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = common.Scratch(spark, "ans")
-    manifest, f = write(common.table(spark, sf_dir, "documents"), bpe.tokenizer_path(), scratch)
-    back = read(manifest, f)
+    files, f = write(common.table(spark, sf_dir, "documents"), bpe.tokenizer_path(), scratch)
+    back = read(files, f)
     return back.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").cast("long").alias("ids_crc32"))

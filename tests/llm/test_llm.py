@@ -728,3 +728,24 @@ def test_ids_beyond_16_bits_are_an_error(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["x"], "task": [0]})
     with pytest.raises(ValueError, match="70000"):
         list(captured["run"]([batch]))
+
+
+def test_rows_of_one_id_can_be_split(spark, library, monkeypatch):
+    """All rows share an id; they still go to several ranges, and every place is right."""
+    monkeypatch.setattr(ans_output, "FILE_TOKENS", 100)
+    rng = random.Random(41)
+    rows = [(None if k % 3 else 5, words(rng, rng.randrange(1, 30))) for k in range(120)] + [(5, "same")] * 60
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows become one partition
+    try:
+        files, f = ans_output.write(docs(spark, rows, True).repartition(6), PATH, common.Scratch(spark, "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.select("shard").distinct().count() == 4 and files.count() > 12
+    got = ans_output.read(files, f).orderBy("start").collect()
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += len(r.ids) // 4
+    ids = lambda t: np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: -1 if i is None else i)
+    assert sorted((str(r.doc_id), bytes(r.ids)) for r in got) == sorted((str(i), ids(t)) for i, t in rows)
