@@ -1,20 +1,25 @@
 """Substring dedup: content-defined chunking with a gear rolling hash, and a digest for each chunk.
 
-A chunk ends before the word whose gear hash, that of the 8 bytes before it, is the least of some ``NEAR`` successive words, the
-last of equals: what ends a chunk depends only on the words around, so chunks of a passage are the same wherever it stands, and
-insertions shift nothing. Any ``NEAR`` words hold an end, whatever their bytes: a passage loses fewer than ``NEAR`` words and the
-words of 8 bytes at its start, and fewer than ``NEAR`` at its end. 50 words, be they of one letter, so keep ``MIN_WORDS`` in
-whole chunks. Chunks average about six words.
-
-Digests that occur more than once are found by counting (pre-aggregated in each task, so one common passage is one row of
-each). A run of repeated chunks with ``MIN_WORDS`` words or more is a repeated passage: the least is what is sure to be left
-of the 50 words of the passages looked for, and some shorter ones are reported too. The occurrence that is kept is
-that of the least doc_id, and the first in that document; later runs are cut. A single digest of 64 bits may collide once in
-10**7 chunks of a 100 TB corpus; a run takes several in a row.
+1. A chunk ends before the word whose gear hash, that of the 8 bytes before it, is the least of some ``NEAR`` successive words,
+   the last of equals: what ends a chunk depends only on the words around, so chunks of a passage are the same wherever it
+   stands, and insertions shift nothing. Any ``NEAR`` words hold an end, whatever their bytes: a passage loses fewer than ``NEAR``
+   words and the words of 8 bytes (``MARGIN`` in all) at its start, and fewer than ``NEAR`` at its end. ``PASSAGE`` words, be
+   they of one letter, so keep ``MIN_WORDS`` in whole chunks. Chunks average about six words.
+2. Digests that occur more than once are found by counting (pre-aggregated in each task, so one common passage is one row of
+   each). A run of repeated chunks with ``MIN_WORDS`` words or more is a candidate, with ``MARGIN`` words on both sides of it;
+   most documents have none.
+3. Candidates are checked exactly: their windows of ``PASSAGE`` words are counted in the same way, by 64-bit hashes. Words that
+   lie in a window that occurs more than once are repeated passages. So every repeated passage of ``PASSAGE`` words or more is
+   found, word by word, and shorter ones are left alone. ``PASSAGE`` is a little less than the 50 words looked for, as the
+   words at a passage's ends may be joined to others.
+
+The occurrence of a window that is kept is that of the least doc_id, and the first in that document; words of later ones are
+cut, with the white space behind them.
 
 Null and empty texts have no chunks. Rows that repeat both doc_id and text count as one document: each gets the same result,
 and nothing of it counts as repeated on their account. Documents of different texts under one id follow each other by a hash
-of the text. Rows with a null doc_id count as the last documents, among each other by that hash too.
+of the text. Rows with a null doc_id count as the last documents, among each other by that hash too. An empty table gives an
+empty one. Other columns, whatever their names, are left alone, but for n_chars, which follows the text.
 """
 
 from __future__ import annotations
@@ -30,7 +35,9 @@ from . import common
 
 WINDOW = 8
 NEAR = 13
-MIN_WORDS = 20
+PASSAGE = 48
+MARGIN = 18
+MIN_WORDS = PASSAGE - MARGIN - NEAR + 1
 
 _GEAR = (common.mix(np.arange(256, dtype=np.uint64) + np.uint64(77)) >> np.uint64(32)).astype(np.uint32)
 _GEAR[0] = 0
@@ -87,13 +94,13 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
 
 def _chunked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     texts = common.encoded(batch.column("text"))
-    out: list[list] = [[], [], []]
+    out: list[list] = [[], []]
     for a, z in common.steps(texts):
-        for parts in chunks(texts[a:z]):
-            for column, part in zip(out, parts):
-                column.append(part)
-    kinds = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())
-    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), *(pa.array(c, k) for c, k in zip(out, kinds))], names=["doc_id", "tid", "digests", "chars", "words"])
+        for digests, _, words in chunks(texts[a:z]):
+            out[0].append(digests)
+            out[1].append(np.concatenate(([0], np.cumsum(words))) if len(words) else words)
+    kinds = pa.list_(pa.int64()), pa.list_(pa.int32())
+    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), *(pa.array(c, k) for c, k in zip(out, kinds))], names=["doc_id", "tid", "digests", "words"])
 
 
 def runs(flags: np.ndarray, words: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -103,57 +110,140 @@ def runs(flags: np.ndarray, words: np.ndarray, least: int) -> list[tuple[int, in
     return [(a, z) for a, z in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)) if total[z] - total[a] >= least]
 
 
+def _candidates(least: int, margin: int):
+    """Of the repeated chunks of each document, the runs with enough words: ranges of words, with a margin."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rids, ranges = [], []
+        for rid, marks in zip(batch.column("rid").to_pylist(), batch.column("marks")):
+            m = marks.values
+            at, first, end = (m.field(n).to_numpy() for n in ("at", "first", "end"))
+            order = np.argsort(at)
+            at, first, end = at[order], first[order], end[order]
+            cut = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))
+            lo, hi = first[cut], end[np.append(cut[1:], len(at)) - 1]
+            own = [[int(max(0, a - margin)), int(z + margin)] for a, z in zip(lo, hi) if z - a >= least]
+            if own:
+                rids.append(rid)
+                ranges.append([x for pair in own for x in pair])
+        yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(ranges, pa.list_(pa.int32()))], names=["rid", "ranges"])
+
+    return run
+
+
+def windows(text: bytes, ranges: list[int], size: int) -> tuple[np.ndarray, ...]:
+    """Of the words in these ranges: number, first character, first character of the next word; and hashes of the windows of
+    ``size`` successive words of them, in order."""
+    data = np.frombuffer(text, np.uint8)
+    solid = np.concatenate(([False], data > 32, [False]))
+    starts, ends = np.flatnonzero(solid[1:] & ~solid[:-1]), np.flatnonzero(~solid[1:] & solid[:-1])
+    wanted = np.zeros(len(starts) + 1, np.int32)
+    for a, z in zip(ranges[::2], ranges[1::2]):
+        wanted[min(a, len(starts))] += 1
+        wanted[min(z, len(starts))] -= 1
+    number = np.flatnonzero(np.cumsum(wanted)[:-1] > 0)
+    chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    following = chars[np.append(starts[1:], len(data))]
+    h = common.span_hash(data, starts[number], ends[number])
+    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * common.powers(len(h)), dtype=np.uint64)))
+    n = max(0, len(h) - size + 1)
+    rolled = common.mix((prefix[size : size + n] - prefix[:n]) * common.powers(max(1, n), True)[:n])
+    whole = number[size - 1 :] - number[:n] == size - 1 if n else np.zeros(0, bool)
+    return number, chars[starts[number]], following[number], rolled[whole].view(np.int64)
+
+
+def _windowed(size: int):
+    kinds = {"number": pa.int32(), "start": pa.int32(), "behind": pa.int32(), "hashes": pa.int64()}
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out = [windows(t, r, size) for t, r in zip(common.encoded(batch.column("text")), batch.column("ranges").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("tid"), *(pa.array([x[k] for x in out], pa.list_(t)) for k, t in enumerate(kinds.values()))], names=["own", "tid", *kinds])
+
+    return common.by_batch(run)
+
+
 _SPANS = "array<struct<start:int,end:int,words:int>>"
 _SPANS_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
 
 
-def _passages(least: int):
+def _passages(size: int):
+    def spans(flags: np.ndarray, first: np.ndarray, number: np.ndarray, start: np.ndarray, behind: np.ndarray) -> list[dict]:
+        """Words covered by the flagged windows, as runs of successive words."""
+        edge = np.zeros(len(number) + 1, np.int32)
+        np.add.at(edge, first[flags], 1)
+        np.add.at(edge, first[flags] + size, -1)
+        covered = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+        if not len(covered):
+            return []
+        cut = np.flatnonzero(np.concatenate(([True], np.diff(number[covered]) > 1)))
+        last = np.append(cut[1:], len(covered)) - 1
+        return [{"start": int(start[covered[a]]), "end": int(behind[covered[z]]), "words": int(z - a + 1)} for a, z in zip(cut, last)]
+
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows, found = [], [[], []]
-        for k, (own, tid, chars, words, marks) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("own", "tid", "chars", "words", "marks")))):
-            repeated, later, seen = np.zeros(len(chars), bool), np.zeros(len(chars), bool), set()
-            for m in sorted(marks, key=lambda m: m["at"]):
-                repeated[m["at"]] = True
-                later[m["at"]] = own > m["first"] or (m["tie"] is not None and tid > m["tie"]) or m["digest"] in seen
-                seen.add(m["digest"])
-            at, words = np.concatenate(([0], np.cumsum(chars))), np.array(words)
-            spans = [[{"start": int(at[a]), "end": int(at[z]), "words": int(words[a:z].sum())} for a, z in runs(x, words, least)] for x in (repeated, later)]
-            if spans[0]:
-                rows.append(k)
-                for column, s in zip(found, spans):
-                    column.append(s)
+        for k, (own, tid, number, start, behind, marks) in enumerate(zip(*(batch.column(n) for n in ("own", "tid", "number", "start", "behind", "marks")))):
+            own, tid = own.as_py(), tid.as_py()
+            number, start, behind = (x.values.to_numpy() for x in (number, start, behind))
+            n = len(number) - size + 1
+            first = np.flatnonzero(number[size - 1 :] - number[:n] == size - 1)  # the word that each window begins with
+            m = marks.values
+            at, h, least, tie = m.field("at").to_numpy(), m.field("hash").to_numpy(), m.field("first").to_numpy(), m.field("tie").to_pylist()
+            repeated, later = np.zeros(len(first), bool), np.zeros(len(first), bool)
+            repeated[at] = True
+            again = np.ones(len(at), bool)
+            order = np.argsort(at)
+            again[order[np.unique(h[order], return_index=True)[1]]] = False
+            later[at] = (own > least) | again | np.array([t is not None and tid > t for t in tie], bool)
+            both = [spans(x, first, number, start, behind) for x in (repeated, later)]
+            rows.append(k)
+            for column, s in zip(found, both):
+                column.append(s)
         kept = batch.take(pa.array(rows, pa.int64()))
-        yield pa.RecordBatch.from_arrays([kept.column("doc_id"), kept.column("tid"), *(pa.array(c, _SPANS_ARROW) for c in found)], names=["doc_id", "tid", "repeated", "cut"])
+        yield pa.RecordBatch.from_arrays([kept.column("own"), kept.column("tid"), *(pa.array(c, _SPANS_ARROW) for c in found)], names=["own", "tid", "repeated", "cut"])
 
-    return run
+    return common.by_batch(run)
 
 
-def find(documents: DataFrame, scratch: common.Scratch | None = None, min_words: int = MIN_WORDS) -> DataFrame:
+def find(documents: DataFrame, scratch: common.Scratch | None = None, passage: int = PASSAGE) -> DataFrame:
     """doc_id, tid (a hash of the text), repeated and cut (spans in characters, with their words) of documents with a repeated passage."""
     scratch = scratch or common.Scratch(documents.sparkSession, "substring")
     docs = common.row_key(documents).withColumn("tid", F.xxhash64("text"))
-    cut = docs.mapInArrow(common.by_batch(_chunked), "doc_id long, tid long, digests array<long>, chars array<int>, words array<int>")
-    rows = scratch.write(cut.withColumn("own", F.coalesce("doc_id", F.lit(_LAST))).withColumn("rid", F.monotonically_increasing_id()), "chunks")
-    each = rows.select("rid", "own", F.posexplode("digests").alias("at", "digest"))
-    # Rows repeated with id and text have equal (own, tid): only the first of them is counted.
+    cut = docs.mapInArrow(common.by_batch(_chunked), "doc_id long, tid long, digests array<long>, words array<int>")
+    own = F.coalesce("doc_id", F.lit(_LAST)).alias("own")
+    rows = scratch.write(cut.select(own, "tid", "digests", "words", F.monotonically_increasing_id().alias("rid")), "chunks")
+    each = rows.select("rid", "words", F.posexplode("digests").alias("at", "digest")).select("rid", "at", "digest", F.col("words")[F.col("at")].alias("first"), F.col("words")[F.col("at") + 1].alias("end"))
+    # Rows repeated with id and text have equal (own, tid): only the first of them is looked at.
     again = rows.groupBy("own", "tid").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    twins = rows.select("own", "tid", "rid").join(again.select("own", "tid", F.col("rid").alias("head")), ["own", "tid"]).filter("rid <> head").select("rid")
-    counted = each.join(twins, "rid", "left_anti") if not _empty(twins) else each
-    twice = counted.groupBy("digest").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    twice = scratch.write(twice, "twice")  # so that a very common digest is a skew of a plain join, which Spark splits
-    found = each.select("rid", "own", "at", "digest").join(twice, "digest")
-    # Where several texts have one id, the least hash of those with a digest is its first.
-    several = scratch.write(rows.groupBy("own").agg(F.min("tid").alias("least"), F.max("tid").alias("most")).filter("least <> most").select("own"), "several")
+    twins = scratch.write(rows.select("own", "tid", "rid").join(again.select("own", "tid", F.col("rid").alias("head")), ["own", "tid"]).filter("rid <> head").select("rid"), "twins")
+    repeats = not _empty(twins)
+    if repeats:
+        each = each.join(twins, "rid", "left_anti")
+    # Written, so that a very common digest is a skew of a plain join, which Spark splits.
+    twice = scratch.write(each.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "twice")
+    marks = each.join(twice, "digest").groupBy("rid").agg(F.collect_list(F.struct("at", "first", "end")).alias("marks"))
+    ranges = scratch.write(marks.mapInArrow(common.by_batch(_candidates(passage - MARGIN - NEAR + 1, MARGIN)), "rid long, ranges array<int>"), "ranges")
+
+    # The texts of the candidates, and their windows.
+    keyed = rows.select("rid", "own", "tid").join(ranges, "rid").select("own", "tid", "ranges")
+    texts = docs.select(own, "tid", "text").join(keyed, ["own", "tid"])
+    texts = texts.dropDuplicates(["own", "tid"]) if repeats else texts
+    held = scratch.write(texts.mapInArrow(_windowed(passage), "own long, tid long, number array<int>, start array<int>, behind array<int>, hashes array<long>").withColumn("wid", F.monotonically_increasing_id()), "windows")
+    each = held.select("wid", "own", "tid", F.posexplode("hashes").alias("at", "hash"))
+    twice = each.groupBy("hash").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "first")
+    found = each.drop("tid").join(scratch.write(twice, "again"), "hash")
+    # Where several texts have one id, the least hash of those with a window is its first.
+    several = scratch.write(held.groupBy("own").agg(F.min("tid").alias("least"), F.max("tid").alias("most")).filter("least <> most").select("own"), "several")
     if _empty(several):
         found = found.withColumn("tie", F.lit(None).cast("long"))
     else:
-        among = rows.join(several, "own").select("own", "tid", F.explode("digests").alias("digest"))
-        ties = scratch.write(among.groupBy("digest", "own").agg(F.min("tid").alias("tie")), "ties")
-        found = found.join(ties.withColumnRenamed("own", "first"), ["digest", "first"], "left").withColumn("tie", F.when(F.col("own") == F.col("first"), F.col("tie")))
-    marks = found.groupBy("rid").agg(F.collect_list(F.struct("at", "digest", "first", "tie")).alias("marks"))
-    both = rows.select("rid", "own", "doc_id", "tid", "chars", "words").join(marks, "rid")
-    done = scratch.write(both.mapInArrow(common.by_batch(_passages(min_words)), f"doc_id long, tid long, repeated {_SPANS}, cut {_SPANS}"), "done")
-    scratch.drop("chunks", "twice", "several", "ties")
+        ties = scratch.write(each.join(several, "own").groupBy("hash", "own").agg(F.min("tid").alias("tie")), "ties")
+        found = found.join(ties.withColumnRenamed("own", "first"), ["hash", "first"], "left").withColumn("tie", F.when(F.col("own") == F.col("first"), F.col("tie")))
+    marks = found.groupBy("wid").agg(F.collect_list(F.struct("at", "hash", "first", "tie")).alias("marks"))
+    passages = held.drop("hashes").join(marks, "wid").mapInArrow(_passages(passage), f"own long, tid long, repeated {_SPANS}, cut {_SPANS}")
+    if repeats:
+        passages = rows.select("own", "tid").join(scratch.write(passages, "passages"), ["own", "tid"])
+    done = scratch.write(passages.select(F.when(F.col("own") != _LAST, F.col("own")).alias("doc_id"), "tid", "repeated", "cut"), "done")
+    scratch.drop("chunks", "twins", "twice", "ranges", "windows", "again", "several", "ties", "passages")
     return done
 
 

@@ -749,3 +749,52 @@ def test_rows_of_one_id_can_be_split(spark, library, monkeypatch):
     ids = lambda t: np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()
     assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: -1 if i is None else i)
     assert sorted((str(r.doc_id), bytes(r.ids)) for r in got) == sorted((str(i), ids(t)) for i, t in rows)
+
+
+def brute_repeats(rows, size):
+    """doc -> (covered words, words to cut), by windows of words over distinct (id, text) rows."""
+    documents = sorted({(i, t) for i, t in rows})
+    seen, first = {}, {}
+    for i, t in documents:
+        w = t.split()
+        for a in range(len(w) - size + 1):
+            key = tuple(w[a : a + size])
+            seen[key] = seen.get(key, 0) + 1
+            first.setdefault(key, (i, a))
+    out = {}
+    for i, t in documents:
+        w, repeated, later = t.split(), set(), set()
+        for a in range(len(w) - size + 1):
+            key = tuple(w[a : a + size])
+            if seen[key] > 1:
+                repeated |= set(range(a, a + size))
+                if first[key] != (i, a):
+                    later |= set(range(a, a + size))
+        if repeated:
+            out[i] = len(repeated), len(later), [x for k, x in enumerate(w) if k not in later]
+    return out
+
+
+def test_repeats_are_brute_force(spark):
+    rng = random.Random(51)
+    passages = [words(rng, n) for n in (30, 40, 46, 47, 48, 49, 50, 51, 60, 200)] + [" ".join(rng.choices("ab", k=70)), " ".join(["abc"] * 60), "\n".join([words(rng, 9)] * 8)]
+    rows = []
+    for k in range(150):
+        parts = [words(rng, rng.randrange(1, 60))]
+        for p in rng.sample(passages, rng.randrange(3)):
+            parts += [p, words(rng, rng.randrange(60))]
+        rows.append((k, rng.choice([" ", "\n", "  "]).join(parts)))
+    rows += [rows[7], rows[9], rows[9]]
+    want = brute_repeats(rows, substring_dedup.PASSAGE)
+    df = docs(spark, rows, True)
+    got = {r.doc_id: (sum(s.words for s in r.repeated), sum(s.words for s in r.cut)) for r in substring_dedup.find(df).collect()}
+    assert got == {i: x[:2] for i, x in want.items()} and len(got) > 70
+    for r in substring_dedup.cut_repeats(df).collect():
+        assert r.text.split() == (want[r.doc_id][2] if r.doc_id in want else dict(rows)[r.doc_id].split())
+
+
+def test_windows_of_words():
+    text = "é a b  c\nd e f\tg".encode()
+    number, start, behind, hashes = substring_dedup.windows(text, [0, 3, 4, 90], 3)
+    assert number.tolist() == [0, 1, 2, 4, 5, 6, 7] and start.tolist() == [0, 2, 4, 9, 11, 13, 15] and behind.tolist() == [2, 4, 7, 11, 13, 15, 16] and len(hashes) == 3
+    assert [len(x) for x in substring_dedup.windows(b"", [0, 5], 3)] == [0, 0, 0, 0]
