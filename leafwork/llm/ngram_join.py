@@ -38,8 +38,8 @@ BANDS, ROWS = 28, 4
 VALUES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-7
-#: Units of one block of a large bucket or group.
-BLOCK = 512
+#: Units of one block of a large bucket or group, and bytes of their shingle sets.
+BLOCK, BLOCK_BYTES = 512, 32 << 20
 
 _A = common.mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -195,7 +195,7 @@ def _verify_groups(t: pa.Table) -> Iterator[pa.RecordBatch]:
     t = t.take(pa.array(first))
     sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
     side = t.column("side").to_numpy()
-    linked = links(_matrix(t.column("sig")), sets, side if side.any() else None)
+    linked = links(_matrix(t.column("sig")), sets, side if t.column("block_a")[0] != t.column("block_b")[0] else None)
     n, root = linked.sum(axis=1), spread(linked)
     at = np.flatnonzero(n)
     if len(at):
@@ -219,9 +219,9 @@ def _shingled(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(sets, pa.binary())], names=["unit", "shingles"])
 
 
-def _blocks(df: DataFrame, size: str, block: int) -> DataFrame:
-    """Rows of a group of ``size`` for each pair of its blocks: block_a <= block_b, side 1 for rows of the second of two."""
-    n = F.ceil(F.col(size) / F.lit(block)).cast("int")
+def _blocks(df: DataFrame, size: str, block: int, weight: F.Column | None = None) -> DataFrame:
+    """Rows of a group of ``size`` (and weight in bytes) for each pair of its blocks: block_a <= block_b, side 1 for rows of the second of two."""
+    n = F.ceil(F.greatest(F.col(size) / F.lit(block), (F.lit(0) if weight is None else weight) / F.lit(BLOCK_BYTES))).cast("int")
     df = df.withColumn("_n", n).withColumn("_own", F.pmod(F.xxhash64("unit"), F.col("_n")).cast("int"))
     df = df.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     return df.withColumns({"block_a": F.least("_own", "_other"), "block_b": F.greatest("_own", "_other"), "side": (F.col("_own") > F.col("_other")).cast("int")}).drop("_n", "_own", "_other", size)
@@ -239,8 +239,8 @@ def join(documents: DataFrame, scratch: common.Scratch | None = None, block: int
     known = docs.filter("doc_id is not null").withColumn("digest", digest())
     signed = known.mapInArrow(common.by_batch(_signed), "doc_id long, digest binary, n_shingles int, sig binary")
     rows = scratch.write(signed.withColumn("rid", F.monotonically_increasing_id()), "signatures")
-    one = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("rid", "doc_id", "sig")).alias("x"), F.count(F.lit(1)).alias("n_copies"))
-    units = scratch.write(one.select("digest", F.col("x.rid").alias("unit"), F.col("x.doc_id").alias("doc_id"), F.col("x.sig").alias("sig"), "n_copies"), "units")
+    one = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("rid", "doc_id", "sig", "n_shingles")).alias("x"), F.count(F.lit(1)).alias("n_copies"))
+    units = scratch.write(one.select("digest", F.col("x.rid").alias("unit"), F.col("x.doc_id").alias("doc_id"), F.col("x.sig").alias("sig"), F.col("x.n_shingles").alias("n_shingles"), "n_copies"), "units")
 
     # Units that share a band key, with their signatures; most units share none.
     bands = units.select("unit", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(sig, b * 8 + 1, 8)))")).alias("band", "key"))
@@ -253,14 +253,15 @@ def join(documents: DataFrame, scratch: common.Scratch | None = None, block: int
 
     # Groups with exact shingle sets.
     # Tables that are joined on a group's or class's key are written first: a large one is then a skew that Spark splits.
-    sizes = scratch.write(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    weighed = groups.join(units.select(F.col("unit").alias("id"), "n_shingles"), "id")
+    sizes = scratch.write(weighed.groupBy("root").agg(F.count(F.lit(1)).alias("n"), (8 * F.sum(F.col("n_shingles").cast("long"))).alias("bytes")), "sizes")
     sized = groups.join(sizes, "root").withColumnRenamed("id", "unit").withColumnRenamed("root", "grp")
     mine = units.select("unit", "doc_id", "digest", "sig").join(sized, "unit")
     texts = docs.join(mine.select("unit", "doc_id", "digest"), "doc_id").filter(digest() == F.col("digest")).select("unit", "text")
     sets = texts.mapInArrow(common.by_batch(_shingled), "unit long, shingles binary")
     by = ["grp", "block_a", "block_b"]
-    whole = mine.select("unit", "sig", "grp", "n").join(sets, "unit")
-    tasks = _blocks(whole, "n", block).select(*by, "side", "unit", "sig", "shingles").repartition(*by).sortWithinPartitions(*by)
+    whole = mine.select("unit", "sig", "grp", "n", "bytes").join(sets, "unit")
+    tasks = _blocks(whole, "n", block, F.col("bytes")).select(*by, "side", "unit", "sig", "shingles").repartition(*by).sortWithinPartitions(*by)
     verified = scratch.write(tasks.mapInArrow(grouped(by, _verify_groups), "unit long, root long, n_links long"), "verified")
     classes = components(verified.select(F.col("unit").alias("a"), F.col("root").alias("b")), scratch, "classes")
     counts = verified.groupBy("unit").agg(F.sum("n_links").alias("n_links"))

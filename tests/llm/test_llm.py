@@ -798,3 +798,18 @@ def test_windows_of_words():
     number, start, behind, hashes = substring_dedup.windows(text, [0, 3, 4, 90], 3)
     assert number.tolist() == [0, 1, 2, 4, 5, 6, 7] and start.tolist() == [0, 2, 4, 9, 11, 13, 15] and behind.tolist() == [2, 4, 7, 11, 13, 15, 16] and len(hashes) == 3
     assert [len(x) for x in substring_dedup.windows(b"", [0, 5], 3)] == [0, 0, 0, 0]
+
+
+def test_join_in_blocks_of_few_bytes(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 4000)
+    rng = random.Random(61)
+    rows = near_copies(62, 200, 30, 6, 0) + [(100 + k, words(rng, 50)) for k in range(10)] + near_copies(63, 2000, 4, 20, 200)
+    got = sorted(map(tuple, ngram_join.join(docs(spark, rows)).select("doc_id", "class_id", "n_links", "n_copies").collect()))
+    assert got == brute_join(rows)
+
+
+def test_recall_against_all_pairs(spark, data):
+    """Every document of the table against every other, exactly."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    got = sorted(map(tuple, QUERIES["op1_ngram_join"](spark, data).collect()))
+    assert got == brute_join(rows)
