@@ -8,7 +8,11 @@ that built them. The last token of every prefix is stored; back-pointers from th
 Pieces are what the tokenizer's own split pattern gives; added special tokens are cut out first, as the library does. Work on
 repeated words is saved by a bounded cache of chunks between spaces (see ``Chunks``).
 
-Null and empty texts have no ids. Very long texts are encoded whole. Repeated rows each get a row.
+The file's own settings decide: a byte-level BPE without a normaliser, whose pieces are split by the usual pattern, is what this
+operator encodes; any other setting is an error, never wrong ids.
+
+Null and empty texts have no ids. Very long texts are encoded whole. Repeated rows, and rows with a null doc_id, each get a row.
+An empty table gives an empty one. Other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -32,6 +36,30 @@ TOKENIZER = "byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: The settings of a tokenizer file that this operator encodes by; what is left out there counts as given here.
+SETTINGS = {
+    "normalizer": {None: None}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True},
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False},
+    "added_tokens": {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False},
+}
+
+
+def checked(spec: dict) -> dict:
+    """The content of a tokenizer file; a ValueError where it asks for something else than SETTINGS."""
+
+    def compare(what: str, found: dict | None) -> None:
+        for key, value in SETTINGS[what].items():
+            if key is None and found or key is not None and (found or {}).get(key, value if key != "type" else None) not in (value, "" if value is None else value):
+                raise ValueError(f"tokenizer files with {what} {key or found}: {(found or {}).get(key)!r} aren't supported" if key else f"tokenizer files with a {what} aren't supported")
+
+    compare("normalizer", spec.get("normalizer"))
+    compare("pre_tokenizer", spec.get("pre_tokenizer"))
+    compare("model", {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")})
+    for token in spec.get("added_tokens", []):
+        compare("added_tokens", token)
+    return spec
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -50,7 +78,7 @@ class Vocabulary:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            spec = checked(json.load(f))
         of = byte_of_char()
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes: dict[int, bytes] = {i: s.encode() for s, i in self.special.items()}
@@ -386,14 +414,38 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text", keep_
     common.prepare(df.sparkSession)
 
     def run(batch: pa.RecordBatch):
-        of = worker_bytes(path)
-        texts = [b"".join(map(of.__getitem__, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
+        decoder = worker_decoder(path)
+        texts = [decoder(np.frombuffer(x or b"", "<u4")).decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
         yield _with(batch, "" if keep_ids else ids, **{text: pa.array(texts, pa.string())})
 
     out = df if keep_ids else df.drop(ids)
     return df.mapInArrow(common.by_batch(run), out.withColumn(text, F.lit(None).cast("string")).schema)
 
 
+class Decoder:
+    """Bytes of many ids at once: the tokens' bytes lie behind one another, and a gather by offsets joins those asked for."""
+
+    def __init__(self, of: dict[int, bytes]):
+        n = max(of) + 1
+        self.known = np.zeros(n, bool)
+        self.known[list(of)] = True
+        parts = [of.get(i, b"") for i in range(n)]
+        self.size = np.array([len(p) for p in parts], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(parts), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        if len(ids) and (int(ids.max()) >= len(self.known) or not self.known[ids].all()):
+            raise KeyError("an id that no token has")
+        return self.data[_ranges(self.start[ids], self.size[ids])].tobytes()
+
+
+def worker_decoder(path: str) -> Decoder:
+    if (path, "decoder") not in _made:
+        _made[path, "decoder"] = Decoder(worker_bytes(path))
+    return _made[path, "decoder"]
+
+
 def worker_bytes(path: str) -> dict[int, bytes]:
     """Only the bytes of the tokens, for decoding."""
     if (path, "bytes") not in _made:
@@ -410,12 +462,12 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
     common.prepare(df.sparkSession)
 
     def run(batch: pa.RecordBatch):
-        chunks, of = _dp_chunks(path), worker_bytes(path)
+        chunks, decoder = _dp_chunks(path), worker_decoder(path)
         texts, out, back = common.encoded(batch.column(text)), [], []
         for a, z in common.steps(texts):
             for x in chunks.many(texts[a:z]):
                 out.append(x.astype("<u4").tobytes())
-                back.append(b"".join(map(of.__getitem__, x.tolist())).decode("utf-8", "replace"))
+                back.append(decoder(x).decode("utf-8", "replace"))
         yield _with(batch, text, **{ids: pa.array(out, pa.binary()), decoded: pa.array(back, pa.string())})
 
     schema = df.drop(text).withColumns({ids: F.lit(None).cast("binary"), decoded: F.lit(None).cast("string")}).schema

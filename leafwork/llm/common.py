@@ -28,10 +28,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. One of our own only where the cluster names none."""
+    """The folder that the driver and all executors share. One of our own only on a local master: a cluster has to name it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="leafwork-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -80,28 +82,6 @@ def running(df: DataFrame, order: str, value: str, name: str, scratch: Scratch)
     return ranged.withColumn("_own", own).join(base, "_range").withColumn(name, F.col("_base") + F.col("_own")).drop("_range", "_base", "_own")
 
 
-def filesystem(uri: str):
-    """(file system, path) with which a Python worker reads and writes files in the shared folder."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{os.path.abspath(uri)}")
-
-
-def put_file(uri: str, data: bytes) -> None:
-    """Write a whole file under its final name only once it is complete."""
-    system, path = filesystem(uri)
-    system.create_dir(path.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(path + ".part") as out:
-        out.write(data)
-    system.move(path + ".part", path)
-
-
-def get_file(uri: str) -> bytes:
-    system, path = filesystem(uri)
-    with system.open_input_stream(path) as src:
-        return src.read()
-
-
 def steps(texts: list[bytes] | list[str], most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """(first, end) of runs of texts of about ``most`` bytes; a longer text is a run of its own."""
     first = size = 0

@@ -10,7 +10,10 @@ urls and rules needs only a stack of the rules that are open now.
   with more than a range's share are spread over all ranges that this key spans.
 
 Null or malformed urls have an empty host and path, fit no rule, and get the default verdict. Repeated rows each get a row.
-Of rules that fit, the longest (host and path together) wins; on a tie the longer host, then ``block`` before ``allow``.
+Of rules that fit, the longest (host and path together) wins; on a tie the longer host, then ``block`` before ``allow``. Rules
+that are repeated count once, rules with nulls are void. Empty tables on either side are no error: without rules every url gets
+the default. Columns that the caller keeps, whatever their names, are returned as they are; a kept column named like a result
+(host, path, rule, verdict) is an error, as there would be two.
 """
 
 from __future__ import annotations
@@ -132,6 +135,8 @@ def judge(pages: DataFrame, rules: DataFrame, keep: list[str], max_rule_bytes: i
     """
     spark = pages.sparkSession
     common.prepare(spark)
+    if twice := {"host", "path", "rule", "verdict"} & set(keep):
+        raise ValueError(f"kept columns {sorted(twice)} are results too")
     rules = rules.select("verdict", F.translate("host", _UPPER, _UPPER.lower()).alias("host"), "path").dropna().distinct()
     urls = split_url(pages.select(*keep, *(["url"] if "url" not in keep else []))).withColumn("_key", reversed_host("host"))
     urls = urls.select(*keep, "host", "path", "_key")

@@ -813,3 +813,45 @@ def test_recall_against_all_pairs(spark, data):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     got = sorted(map(tuple, QUERIES["op1_ngram_join"](spark, data).collect()))
     assert got == brute_join(rows)
+
+
+def test_other_tokenizers_are_an_error(tmp_path):
+    import json
+
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": {**spec["model"], "ignore_merges": True}}, {"added_tokens": [{"id": 1, "content": "x", "lstrip": True}]}):
+        with pytest.raises(ValueError, match="supported"):
+            bpe.checked({**spec, **change})
+    assert bpe.checked(spec) is spec
+    with pytest.raises(ValueError):
+        bpe.Vocabulary(PATH.replace("byte_bpe_50k", "word_bpe_49k"))
+
+
+def test_decoder(library):
+    d = bpe.Decoder(bpe.worker_bytes(PATH))
+    ids = np.random.default_rng(1).integers(0, 50_257, 5000)
+    assert d(ids).decode("utf-8", "replace") == library.decode(ids.tolist(), skip_special_tokens=False) and d(ids[:0]) == b""
+    with pytest.raises(KeyError):
+        d(np.array([50_257]))
+
+
+def test_kept_columns_named_like_results(spark):
+    df = spark.createDataFrame([(1, "http://a.net/", "x")], "page_id long, url string, host string")
+    rules = spark.createDataFrame(url_rules.RULES, "verdict string, host string, path string")
+    with pytest.raises(ValueError, match="host"):
+        url_rules.judge(df, rules, ["page_id", "host"])
+    assert [tuple(r) for r in url_rules.judge(df.withColumnRenamed("host", "n"), rules, ["n", "url"]).collect()] == [("x", "http://a.net/", "a.net", "/", "net/", "block")]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session())
