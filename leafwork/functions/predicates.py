@@ -9,12 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import View, all_of, any_of, cjk, collapse, contains_any, count, decide, hits, matches, occurrences, ratio, strip, view, words
+from .text import View, all_of, any_of, cjk, collapse, contains_any, count, decide, hits, matches, occurrences, ratio, staged, strip, view, words
 
 YES, NO = True, False
 
 #: A hyphen or slash counts as an operator next to a digit, a bracket, a space, an end, or another operator.
-_MATH_SYMBOL = "[" + P.MATH_CHARS + r"]|[=+*^_<>]|(?:(?<=[\d)\]} _=+*/^<>-])|(?<![\s\S]))[-/]|[-/](?=[\d(\[{ _=+*/^<>-]|(?![\s\S]))"
+#: The look ahead passes over letters and spaces quickly.
+_MATH_SYMBOL = "(?![a-zA-Z0-9 ])(?:[" + P.MATH_CHARS + r"]|[=+*^_<>]|(?:(?<=[\d)\]} _=+*/^<>-])|(?<![\s\S]))[-/]|[-/](?=[\d(\[{ _=+*/^<>-]|(?![\s\S])))"
 
 
 def math_symbols(c: Column) -> Column:
@@ -27,28 +28,42 @@ def short_tokens(c: Column) -> Column:
 
 def formula(c: Column) -> Column:
     """An assignment, LaTeX, a call, or many operators with little else."""
-    x = strip(c)
-    n, size = math_symbols(x), F.length(x)
+    return _formula(strip(c), math_symbols(strip(c)))
+
+
+def _formula(x: Column, n: Column) -> Column:
+    size = F.length(x)
     return (x != "") & any_of(
-        matches(x, P.FORMULA),
-        matches(x, P.LATEX_COMMAND),
         (n >= 2) & (size <= 220) & ((count(x, r"(?U)\d") >= 1) | (short_tokens(x) >= 3)),
         (n >= 2) & (size <= 180) & (words(x) <= 5),
-        matches(x, P.CALL) & (size <= 160),
+        matches(x, P.FORMULA),
+        matches(x, P.LATEX_COMMAND),
+        (size <= 160) & matches(x, P.CALL),
     )
 
 
 def formula_line(c: Column) -> Column:
-    x = strip(c)
-    n = math_symbols(x)
+    return _formula_line(strip(c), math_symbols(strip(c)))
+
+
+def _formula_line(x: Column, n: Column) -> Column:
+    """x: the stripped line, n: its operators."""
     return (x != "") & any_of(
-        formula(x),
-        matches(x, P.DISPLAY_EQUATION) & matches(x, P.MATH_STRUCTURE),
-        matches(x, P.OPTIMUM) & (n >= 1),
         (n >= 3) & (F.length(x) <= 260) & (n / F.length(x) >= 0.08),
+        _formula(x, n),
+        (n >= 1) & matches(x, P.OPTIMUM),
+        matches(x, P.DISPLAY_EQUATION) & matches(x, P.MATH_STRUCTURE),
     )
 
 
+@staged
+def line_facts(v: View) -> Column:
+    """For each line: whether it is a formula, and its words. Two steps, so that nothing is counted twice."""
+    counted = F.transform(v.lines, lambda x: F.struct(x.alias("x"), math_symbols(x).alias("n"), words(x).alias("words")))
+    return F.transform(counted, lambda s: F.struct(_formula_line(s["x"], s["n"]).alias("formula"), s["words"].alias("words")))
+
+
+@staged
 def formula_narrative(v: View) -> Column:
     """Prose about formulas."""
     n, hints = math_symbols(v.flat), count(v.flat, P.NARRATIVE_HINT)
@@ -58,22 +73,25 @@ def formula_narrative(v: View) -> Column:
     return (v.n_lines > 0) & (few | many)
 
 
+@staged
 def formula_block(v: View) -> Column:
-    found = v.count_lines(formula_line)
-    prose = F.filter(v.lines, lambda x: ~formula_line(x) & (words(x) >= 6))
-    prose_words = F.aggregate(prose, F.lit(0), lambda a, x: a + words(x))
-    in_lines = F.aggregate(v.lines, F.lit(0), lambda a, x: a + words(x))
+    facts = line_facts(v)
+    found = F.size(F.filter(facts, lambda x: x["formula"]))
+    prose = F.filter(facts, lambda x: ~x["formula"] & (x["words"] >= 6))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x["words"])
     return decide(
         ((v.n_lines < 2) | (found == 0), NO),
-        ((prose_words >= 8) | formula_narrative(v) | (in_lines >= 10), NO),
+        ((total(prose) >= 8) | formula_narrative(v) | (total(facts) >= 10), NO),
         otherwise=(found >= 2) | ((v.n_lines <= 4) & (F.size(prose) <= 1)),
     )
 
 
+@staged
 def formula_narrative_fragment(v: View) -> Column:
     return (v.words >= 4) & matches(v.flat, P.FRAGMENT_VERB) & (matches(v.flat, r"[=<>≤≥+\-*/^_()]") | matches(v.flat, P.FRAGMENT_NOUN))
 
 
+@staged
 def standalone_caption(v: View) -> Column:
     upper = ratio(count(v.flat, r"\p{Lu}"), count(v.flat, r"\p{L}"))
     that, comma = v.lower.contains(" that "), v.flat.contains(",")
@@ -88,6 +106,7 @@ def standalone_caption(v: View) -> Column:
     )
 
 
+@staged
 def skipped(v: View) -> Column:
     """Text that needs no translation: numbers, urls, citations, captions, code, formulas."""
     x = strip(v.text)
@@ -118,6 +137,7 @@ def force_retry(compacted: View) -> Column:
     return (v.flat != "") & ~skipped(v) & F.when(v.cjk > 0, mixed).otherwise(plain)
 
 
+@staged
 def licence_watermark(v: View) -> Column:
     signals = hits(*(v.lower.contains(s) for s in P.LICENCE_SIGNALS), v.lower.contains("republication/redistribution") | v.lower.contains("republication redistribution"), matches(v.flat, P.LICENCE))
     return v.lower.contains("authorized licensed use limited to") | ((signals >= 3) & (v.length <= 420))
@@ -137,6 +157,7 @@ def running_header_footer(v: View, y0: Column, y1: Column, page_height: Column)
     return (page_height > 0) & (v.flat != "") & (((y1 <= page_height * 0.095) & top) | ((y0 >= page_height * 0.90) & bottom))
 
 
+@staged
 def numbered_narrative_list(v: View) -> Column:
     numbered = F.filter(v.rows, lambda x: matches(x, P.NUMBERED_LINE))
     n = F.size(numbered)
@@ -146,6 +167,7 @@ def numbered_narrative_list(v: View) -> Column:
     return (v.n_lines >= 3) & (n >= 2) & (v.words >= 16) & ~references & (matches(v.flat, P.LIST_LEAD_IN) | ((n >= 3) & (average >= 4)))
 
 
+@staged
 def narrative_prose(v: View) -> Column:
     labelled = v.first_rows(lambda x: matches(x, P.ACADEMIC_LABEL)) & (v.words >= 5)
     bullets = v.count_rows(lambda x: matches(x, P.BULLET) & (words(x) >= 6))
@@ -160,11 +182,13 @@ def narrative_prose(v: View) -> Column:
     )
 
 
+@staged
 def paragraph_block(v: View) -> Column:
     ends = occurrences(v.text, ".?!;")
     return (v.n_lines > 0) & F.when(v.n_lines < 3, (ends >= 1) & (v.words >= 8)).otherwise((v.avg_line > 48) | (ends >= 2))
 
 
+@staged
 def algorithm_block(v: View, prose: Column | None = None) -> Column:
     prose = narrative_prose(v) if prose is None else prose
     io = v.count_lines(lambda x: matches(x, P.ALGORITHM_IO) & ((F.length(collapse(x)) <= 88) | matches(x, P.ALGORITHM_IO_COLON)))
@@ -192,11 +216,13 @@ def algorithm_block(v: View, prose: Column | None = None) -> Column:
     return (v.n_lines > 0) & ~exempt & (headed | shaped)
 
 
+@staged
 def _explains(v: View) -> Column:
     """Sentences about symbols or examples, which narrow lines make look like table rows."""
     return (v.punct >= 1) & (((v.words >= 10) & matches(v.flat, P.TABLE_CONTINUATION)) | ((v.words >= 8) & v.lower.contains("example")))
 
 
+@staged
 def table_caption(v: View) -> Column:
     return decide(
         ((v.n_lines == 0) | ~matches(F.get(v.rows, F.lit(0)), P.TABLE_CAPTION), NO),
@@ -211,6 +237,7 @@ def table_caption(v: View) -> Column:
     )
 
 
+@staged
 def table_header(v: View, prose: Column | None = None) -> Column:
     prose = narrative_prose(v) if prose is None else prose
     tokens = F.regexp_extract_all(v.lower, F.lit(r"[a-z][a-z0-9\-]{1,}"), F.lit(0))
@@ -233,6 +260,7 @@ def _lead(x: Column) -> Column:
     return F.when((n < 2) | (n > 18) | (lead == "") | ~symbol, 0).when(n <= 14, 2).otherwise(1)
 
 
+@staged
 def table_body(v: View, prose: Column | None = None) -> Column:
     prose = narrative_prose(v) if prose is None else prose
     ends = F.aggregate(v.lines, F.lit(0), lambda a, x: a + occurrences(x, ".?!"))
@@ -251,6 +279,7 @@ def _flat_header(v: View) -> Column:
     return table_header(View(v.flat, one, F.size(one), one, v.flat, v.lower, v.length, v.words, v.cjk, v.latin, v.punct, v.length.cast("double"), v.length.cast("double"), v.alpha))
 
 
+@staged
 def table_like(v: View, prose: Column | None = None) -> Column:
     prose = narrative_prose(v) if prose is None else prose
     rows = v.count_rows(lambda x: _row(x) | ((count(x, P.NUMBER) >= 3) & (F.length(x) <= 96)))

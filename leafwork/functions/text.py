@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
-from functools import reduce
+from collections.abc import Callable
+from dataclasses import dataclass, field, fields, replace
+from functools import reduce, wraps
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,9 +28,14 @@ def sub(c: Column, pattern: str, to: str = "") -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(to))
 
 
+#: White space as Unicode has it, and the four separators of ASCII; as a class of characters and one by one.
+BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANKS = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind (trim() takes spaces only) at both ends."""
-    return sub(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def rstrip_of(c: Column, chars: str) -> Column:
@@ -37,8 +43,11 @@ def rstrip_of(c: Column, chars: str) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """White space runs become one space; none at the ends."""
-    return strip(sub(c, r"(?U)[\s\x1c-\x1f]+", " "))
+    """White space runs become one space; none at the ends.
+
+    Single spaces, which most runs are, are not matched at all; a look ahead passes over ASCII's other characters quickly.
+    """
+    return strip(sub(c, f"(?![!-~])(?: {BLANK}+|(?! ){BLANK}+)", " "))
 
 
 def words(c: Column) -> Column:
@@ -110,6 +119,7 @@ class View:
     avg_line: Column
     avg_row: Column
     alpha: Column  # share of letters in flat
+    known: dict[str, Column] = field(default_factory=dict)  # results of predicates that are columns already
 
     def first_rows(self, condition) -> Column:
         return F.exists(F.slice(self.rows, 1, 2), condition)
@@ -148,7 +158,25 @@ def with_view(df: DataFrame, column: str, prefix: str = "_v_") -> tuple[DataFram
             f"{prefix}punct": occurrences(flat, ".?!;:"), f"{prefix}avg_line": mean(c("lines")), f"{prefix}avg_row": mean(c("rows")), f"{prefix}alpha": ratio(count(flat, r"\p{L}"), F.length(flat)),
         }
     )
-    return df, View(**{f.name: c(f.name) for f in fields(View)})
+    return df, View(**{f.name: c(f.name) for f in fields(View) if f.name != "known"})
+
+
+def staged(predicate: Callable[..., Column]) -> Callable[..., Column]:
+    """A predicate that takes its result from the view where with_known has made it a column."""
+
+    @wraps(predicate)
+    def run(v: View, *more) -> Column:
+        return v.known[predicate.__name__] if predicate.__name__ in v.known else predicate(v, *more)
+
+    return run
+
+
+def with_known(df: DataFrame, v: View, *predicates: Callable[[View], Column], prefix: str = "_v_") -> tuple[DataFrame, View]:
+    """df with a column for each of these, one after another, and a view by which later predicates find them."""
+    for f in predicates:
+        df = df.withColumn(f"{prefix}{f.__name__}", f(v))
+        v = replace(v, known={**v.known, f.__name__: F.col(f"{prefix}{f.__name__}")})
+    return df, v
 
 
 def drop_view(df: DataFrame, prefix: str = "_v_") -> DataFrame:

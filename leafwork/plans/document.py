@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import predicates as is_
 from ..functions.geometry import Rect
-from ..functions.text import View, compact, decide, drop_view, view, with_view
+from ..functions.text import View, compact, decide, drop_view, view, with_known, with_view
 from ..operators import grouping, layout, regions, translate
 from ..sources.blocks import PAGE_HEIGHT, PAGE_WIDTH
 
@@ -25,6 +25,7 @@ REASONS = [
 def flagged(blocks: DataFrame) -> DataFrame:
     """Blocks with the flags of their text: what later steps, joins and windows look at. Each is computed once."""
     df, v = with_view(blocks, "text")
+    df, v = with_known(df, v, is_.narrative_prose, is_._explains, is_.table_caption, is_.table_header, is_.table_body)
     df = df.withColumns({"prose": is_.narrative_prose(v), "heading": is_.reference_heading(v), "is_entry": is_.reference_entry(v), "starts": is_.reference_starts(v) > 0, "paragraph": is_.paragraph_block(v)})
     df = df.withColumns(
         {
@@ -36,6 +37,7 @@ def flagged(blocks: DataFrame) -> DataFrame:
     )
     df = df.withColumns({"entry": F.col("is_entry") | F.col("starts"), "table": F.col("caption") | F.col("body"), "narrative": F.col("paragraph") | F.col("prose") | F.col("fragment")})
     df, c = with_view(drop_view(df).withColumn("compact", compact(F.col("text"))), "compact", "_c_")
+    df, c = with_known(df, c, is_.line_facts, is_.formula_narrative, is_.skipped, prefix="_c_")
     return drop_view(df.withColumn("wanted", is_.translatable(c)), "_c_")
 
 

@@ -16,7 +16,7 @@ from ..functions import patterns as P
 from ..functions import predicates as is_
 from ..functions import quality as Q
 from ..functions.geometry import Rect
-from ..functions.text import cjk, collapse, fingerprint, first_sentence, item_count, label, truncated, view, with_view, words
+from ..functions.text import cjk, collapse, fingerprint, first_sentence, item_count, label, truncated, view, with_known, with_view, words
 from ..operators import glossary, grouping, layout, regions, translate
 from ..sources import blocks as B
 from ..sources import external as X
@@ -511,6 +511,7 @@ def _(spark, d):
 @query("predicate_flags")
 def _(spark, d):
     df, v = with_view(labelled(spark, d), "text")
+    df, v = with_known(df, v, is_.line_facts, is_.formula_narrative, is_.formula_block, is_.standalone_caption, is_.skipped, is_.numbered_narrative_list, is_.narrative_prose, is_._explains, is_.table_caption, is_.table_header, is_.table_body)
     tests = {
         "formula": is_.formula(v.text), "formula_line": is_.formula_line(v.text), "formula_block": is_.formula_block(v), "narrative": is_.formula_narrative(v), "fragment": is_.formula_narrative_fragment(v), "caption": is_.standalone_caption(v),
         "skipped": is_.skipped(v), "prose": is_.narrative_prose(v), "numbered": is_.numbered_narrative_list(v), "paragraph": is_.paragraph_block(v), "algorithm": is_.algorithm_block(v), "table_caption": is_.table_caption(v),
