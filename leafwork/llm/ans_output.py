@@ -35,7 +35,9 @@ BLOCK = 1 << 16
 LANES = 64
 EVERY = 1 << 13
 #: Tokens of a file; a longer document is not split.
-FILE_TOKENS = 4 << 20
+FILE_TOKENS = 2 << 20
+#: Ranges whose starts are broadcast.
+MOST_RANGES = 1 << 18
 #: Characters of a text that order rows of one doc_id.
 TIE_CHARS = 64
 MAGIC = b"LWANS001"
@@ -248,8 +250,8 @@ def write(documents: DataFrame, path: str, scratch: common.Scratch) -> tuple[Dat
 def read(files: DataFrame, frequencies: np.ndarray) -> DataFrame:
     """doc_id, start (ids of all documents before it), ids (binary, with the end id) from the files, wherever they lie.
 
-    A range's start is the sum of those before it; there is a row for each range, as many as tasks, and Spark joins them by
-    broadcast only below its own threshold of size.
+    A range's start is the sum of those before it. There is a row of 16 bytes for each range, of which there are at most as
+    many as shuffle partitions: they are broadcast up to ``MOST_RANGES``, and joined by a shuffle beyond.
     """
     spark = files.sparkSession
     ranges = files.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
@@ -267,6 +269,8 @@ def read(files: DataFrame, frequencies: np.ndarray) -> DataFrame:
                     columns = ([docs[i] for i in k], [shard] * len(k), [int(ends[i] - n[i]) for i in k], [ids[ends[i] - n[i] - before : ends[i] - before].astype("<u4").tobytes() for i in k])
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "shard", "before", "ids"])
 
+    if int(spark.conf.get("spark.sql.shuffle.partitions")) <= MOST_RANGES:
+        base = F.broadcast(base)
     found = files.select("shard", "before", "data").mapInArrow(common.frugal(run), "doc_id long, shard long, before long, ids binary")
     return found.join(base, "shard").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "ids")
 
