@@ -855,3 +855,48 @@ def test_shared_folder_is_asked_for_on_a_cluster():
 
     with pytest.raises(ValueError, match="checkpoint"):
         common.shared_dir(Session())
+
+
+def corpus(spark, at, rows, labels, items):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return str(at)
+
+
+def test_pipeline_is_brute_force(spark, tmp_path, library):
+    """All stages behind the network against plain versions of them, on what the network keeps; nulls, empties, repeats and a clashing column."""
+    import corpus_pipeline as p
+
+    rng = random.Random(71)
+    passage, item = words(rng, 80), words(rng, 14)
+    texts, labels = planted(rng, 120, (20, 90))
+    rows = [(i, t) for i, t in texts] + [(200 + i, t) for i, t in near_copies(72, 120, 6, 1, 0)]
+    rows += [(300 + k, words(rng, 30) + " " + passage + " " + words(rng, 30)) for k in range(4)] + [(400, words(rng, 20) + " " + item + " end"), (401, None), (402, ""), (403, "?!"), (404, words(rng, 4000, 800)), (1, texts[1][1])]
+    full = [(i, t, "en", None, len(t) if t is not None else None, "x") for i, t in rows]
+    d = corpus(spark, tmp_path, full, [(i, 1, y) for i, y in labels], [(1, item), (2, None), (3, "")])
+    got = sorted(map(tuple, p.run(spark, d).collect()))
+
+    docs_ = spark.read.parquet(f"{d}/documents.parquet")
+    first = p.STAGES[0][1](spark, docs_, d)
+    assert first.columns == docs_.columns
+    left = {}
+    for r in first.collect():
+        left[r.doc_id] = r.text
+    kept = {i: left[i] for i, c, _, _ in brute_join(list(left.items())) if i == c}
+    cuts = brute_repeats([(i, t or "") for i, t in kept.items()], substring_dedup.PASSAGE)
+    after = {i: " ".join(cuts[i][2]) if i in cuts and cuts[i][1] else t for i, t in kept.items()}
+    clean = {i: t for i, t in after.items() if not brute_hits(t, [(1, item)])[-1]}
+    assert {r[0] for r in got} == set(clean) and sum(i in clean for i in range(300, 304)) == 4 and 400 not in clean and {401, 402, 403} <= set(clean)
+    for i, n, ids_sha, text_sha in got:
+        if not (i in cuts and cuts[i][1]):
+            ids = library.encode(clean[i] or "", add_special_tokens=False).ids
+            assert (n, ids_sha, text_sha) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((clean[i] or "").encode()).hexdigest())
+        else:
+            assert n < len(library.encode(kept[i], add_special_tokens=False).ids) - 60
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline as p
+
+    assert p.run(spark, corpus(spark, tmp_path, [], [], [])).count() == 0
