@@ -1,7 +1,13 @@
 """A corpus pipeline: documents in, the training corpus' token ids out.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
-and read again as the next one's docs. All but the last return the columns of docs.
+and read again as the next one's docs. All but the last return the columns of docs, whatever they are called.
+
+Null and empty texts, and texts without words, pass all stages: they score 0, are copies of nothing, hold no passage and no
+window, and have no ids. Of rows that repeat id and text one stays; rows without a doc_id are judged by their text. Texts of
+any length are judged whole. Empty tables give an empty result; without labels of both kinds nothing counts as toxic, and
+without a benchmark nothing as contaminated. Ties: of a class of copies the least doc_id stays, and the first occurrence of a
+passage in the least doc_id.
 """
 
 from __future__ import annotations
