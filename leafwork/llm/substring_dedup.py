@@ -8,10 +8,11 @@
 2. Digests that occur more than once are found by counting (pre-aggregated in each task, so one common passage is one row of
    each). A run of repeated chunks with ``MIN_WORDS`` words or more is a candidate, with ``MARGIN`` words on both sides of it;
    most documents have none.
-3. Candidates are checked exactly: their windows of ``PASSAGE`` words are counted in the same way, by 64-bit hashes. Words that
-   lie in a window that occurs more than once are repeated passages. So every repeated passage of ``PASSAGE`` words or more is
-   found, word by word, and shorter ones are left alone. ``PASSAGE`` is a little less than the 50 words looked for, as the
-   words at a passage's ends may be joined to others.
+3. Candidates are checked exactly: windows of ``LEAST`` words are counted in the same way, by 64-bit hashes. Of any ``SPREAD``
+   successive windows at least that of the least hash is among them, so equal passages show equal windows, and a passage of
+   ``PASSAGE`` words or more shows one. Words that lie in a window that occurs more than once are repeated passages. So every
+   repeated passage of ``PASSAGE`` words is found, but for fewer than ``SPREAD`` words at each of its ends, and none of less
+   than ``LEAST``. Both are a little below the 50 words looked for, as the words at a passage's ends may be joined to others.
 
 The occurrence of a window that is kept is that of the least doc_id, and the first in that document; words of later ones are
 cut, with the white space behind them.
@@ -35,7 +36,8 @@ from . import common
 
 WINDOW = 8
 NEAR = 13
-PASSAGE = 48
+PASSAGE, SPREAD = 48, 4
+LEAST = PASSAGE - SPREAD + 1
 MARGIN = 18
 MIN_WORDS = PASSAGE - MARGIN - NEAR + 1
 
@@ -54,12 +56,12 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def _least(h: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Positions of the last least hash of any ``NEAR`` successive ones of a group."""
+def _least(h: np.ndarray, group: np.ndarray, near: int = NEAR) -> np.ndarray:
+    """Positions of the last least hash of any ``near`` successive ones of a group."""
     key = h.astype(np.uint64) << np.uint64(32) | np.arange(len(h), 0, -1, dtype=np.uint64)
     width = 1
-    while width < NEAR:
-        step = min(width, NEAR - width)
+    while width < near:
+        step = min(width, near - width)
         key = np.minimum(key[:-step], key[step:])
         width += step
     key = key[group[: len(key)] == group[len(group) - len(key) :]]
@@ -110,30 +112,24 @@ def runs(flags: np.ndarray, words: np.ndarray, least: int) -> list[tuple[int, in
     return [(a, z) for a, z in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)) if total[z] - total[a] >= least]
 
 
-def _candidates(least: int, margin: int):
-    """Of the repeated chunks of each document, the runs with enough words: ranges of words, with a margin."""
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rids, ranges = [], []
-        for rid, marks in zip(batch.column("rid").to_pylist(), batch.column("marks")):
-            m = marks.values
-            at, first, end = (m.field(n).to_numpy() for n in ("at", "first", "end"))
-            order = np.argsort(at)
-            at, first, end = at[order], first[order], end[order]
-            cut = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))
-            lo, hi = first[cut], end[np.append(cut[1:], len(at)) - 1]
-            own = [[int(max(0, a - margin)), int(z + margin)] for a, z in zip(lo, hi) if z - a >= least]
-            if own:
-                rids.append(rid)
-                ranges.append([x for pair in own for x in pair])
-        yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(ranges, pa.list_(pa.int32()))], names=["rid", "ranges"])
-
-    return run
-
-
-def windows(text: bytes, ranges: list[int], size: int) -> tuple[np.ndarray, ...]:
-    """Of the words in these ranges: number, first character, first character of the next word; and hashes of the windows of
-    ``size`` successive words of them, in order."""
+def _candidates(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Of the places of each document's repeated chunks, the runs with enough words: ranges of words, with a margin."""
+    rids, ranges = [], []
+    for rid, marks in zip(batch.column("rid").to_pylist(), batch.column("marks")):
+        place = np.sort(marks.values.to_numpy())
+        first, end = place >> 31, place & ((1 << 31) - 1)
+        cut = np.flatnonzero(np.concatenate(([True], first[1:] != end[:-1])))
+        lo, hi = first[cut], end[np.append(cut[1:], len(end)) - 1]
+        long_ = hi - lo >= MIN_WORDS
+        if long_.any():
+            rids.append(rid)
+            ranges.append(np.stack([np.maximum(0, lo - MARGIN), hi + MARGIN], 1)[long_].ravel())
+    yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(ranges, pa.list_(pa.int32()))], names=["rid", "ranges"])
+
+
+def windows(text: bytes, ranges: list[int], size: int = LEAST) -> tuple[np.ndarray, ...]:
+    """Of these ranges of words: words in each run of them; first characters of its words and of what follows; and of chosen
+    windows of ``size`` words within a run, the first word (counted over all runs) and the hash."""
     data = np.frombuffer(text, np.uint8)
     solid = np.concatenate(([False], data > 32, [False]))
     starts, ends = np.flatnonzero(solid[1:] & ~solid[:-1]), np.flatnonzero(~solid[1:] & solid[:-1])
@@ -142,76 +138,79 @@ def windows(text: bytes, ranges: list[int], size: int) -> tuple[np.ndarray, ...]
         wanted[min(a, len(starts))] += 1
         wanted[min(z, len(starts))] -= 1
     number = np.flatnonzero(np.cumsum(wanted)[:-1] > 0)
+    if not len(number):
+        return (np.zeros(0, np.int64),) * 4
+    run = np.cumsum(np.diff(number, prepend=number[0]) > 1)
+    sizes = np.bincount(run)
     chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    following = chars[np.append(starts[1:], len(data))]
+    last = np.cumsum(sizes)
+    following = chars[np.append(starts, len(data))[number[last - 1] + 1]]
+    bounds = np.insert(chars[starts[number]], last, following)
     h = common.span_hash(data, starts[number], ends[number])
     prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * common.powers(len(h)), dtype=np.uint64)))
     n = max(0, len(h) - size + 1)
-    rolled = common.mix((prefix[size : size + n] - prefix[:n]) * common.powers(max(1, n), True)[:n])
-    whole = number[size - 1 :] - number[:n] == size - 1 if n else np.zeros(0, bool)
-    return number, chars[starts[number]], following[number], rolled[whole].view(np.int64)
+    at = np.flatnonzero(run[size - 1 :] == run[:n])
+    rolled = common.mix((prefix[at + size] - prefix[at]) * common.powers(len(h), True)[at])
+    chosen = _least((rolled >> np.uint64(32)).astype(np.uint32), run[at], SPREAD)
+    few = np.flatnonzero(np.bincount(run[at], minlength=len(sizes)) < SPREAD) if len(at) else []
+    short = [int(own[np.argmin(rolled[own])]) for r in few if len(own := np.flatnonzero(run[at] == r))]
+    chosen = np.union1d(chosen, np.array(short, np.int64)).astype(np.int64)
+    return sizes, bounds, at[chosen], rolled[chosen].view(np.int64)
 
 
-def _windowed(size: int):
-    kinds = {"number": pa.int32(), "start": pa.int32(), "behind": pa.int32(), "hashes": pa.int64()}
+_WINDOWS = "own long, tid long, sizes array<int>, bounds array<int>, windows array<struct<at:int,hash:long>>"
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out = [windows(t, r, size) for t, r in zip(common.encoded(batch.column("text")), batch.column("ranges").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("tid"), *(pa.array([x[k] for x in out], pa.list_(t)) for k, t in enumerate(kinds.values()))], names=["own", "tid", *kinds])
 
-    return common.by_batch(run)
+def _windowed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    out = [windows(t, r) for t, r in zip(common.encoded(batch.column("text")), batch.column("ranges").to_pylist())]
+    offsets = pa.array(np.concatenate(([0], np.cumsum([len(x[2]) for x in out]))), pa.int32())
+    flat = [np.concatenate([x[k] for x in out]) for k in (2, 3)]
+    found = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(flat[0], pa.int32()), pa.array(flat[1], pa.int64())], names=["at", "hash"]))
+    yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("tid"), *(pa.array([x[k] for x in out], pa.list_(pa.int32())) for k in (0, 1)), found], names=["own", "tid", "sizes", "bounds", "windows"])
 
 
 _SPANS = "array<struct<start:int,end:int,words:int>>"
 _SPANS_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
 
 
-def _passages(size: int):
-    def spans(flags: np.ndarray, first: np.ndarray, number: np.ndarray, start: np.ndarray, behind: np.ndarray) -> list[dict]:
-        """Words covered by the flagged windows, as runs of successive words."""
-        edge = np.zeros(len(number) + 1, np.int32)
-        np.add.at(edge, first[flags], 1)
-        np.add.at(edge, first[flags] + size, -1)
-        covered = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
-        if not len(covered):
-            return []
-        cut = np.flatnonzero(np.concatenate(([True], np.diff(number[covered]) > 1)))
-        last = np.append(cut[1:], len(covered)) - 1
-        return [{"start": int(start[covered[a]]), "end": int(behind[covered[z]]), "words": int(z - a + 1)} for a, z in zip(cut, last)]
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows, found = [], [[], []]
-        for k, (own, tid, number, start, behind, marks) in enumerate(zip(*(batch.column(n) for n in ("own", "tid", "number", "start", "behind", "marks")))):
-            own, tid = own.as_py(), tid.as_py()
-            number, start, behind = (x.values.to_numpy() for x in (number, start, behind))
-            n = len(number) - size + 1
-            first = np.flatnonzero(number[size - 1 :] - number[:n] == size - 1)  # the word that each window begins with
-            m = marks.values
-            at, h, least, tie = m.field("at").to_numpy(), m.field("hash").to_numpy(), m.field("first").to_numpy(), m.field("tie").to_pylist()
-            repeated, later = np.zeros(len(first), bool), np.zeros(len(first), bool)
-            repeated[at] = True
-            again = np.ones(len(at), bool)
-            order = np.argsort(at)
-            again[order[np.unique(h[order], return_index=True)[1]]] = False
-            later[at] = (own > least) | again | np.array([t is not None and tid > t for t in tie], bool)
-            both = [spans(x, first, number, start, behind) for x in (repeated, later)]
-            rows.append(k)
-            for column, s in zip(found, both):
-                column.append(s)
-        kept = batch.take(pa.array(rows, pa.int64()))
-        yield pa.RecordBatch.from_arrays([kept.column("own"), kept.column("tid"), *(pa.array(c, _SPANS_ARROW) for c in found)], names=["own", "tid", "repeated", "cut"])
-
-    return common.by_batch(run)
-
-
-def find(documents: DataFrame, scratch: common.Scratch | None = None, passage: int = PASSAGE) -> DataFrame:
+def _passages(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    found: list[list] = [[], []]
+    for own, tid, sizes, bounds, marks in zip(*(batch.column(n) for n in ("own", "tid", "sizes", "bounds", "marks"))):
+        own, tid = own.as_py(), tid.as_py()
+        sizes, bounds = sizes.values.to_numpy(), bounds.values.to_numpy()
+        behind_run = np.cumsum(sizes + 1) - 1
+        start, behind = np.delete(bounds, behind_run), np.delete(bounds, behind_run - sizes)
+        number = np.arange(len(start)) + np.repeat(np.arange(len(sizes)), sizes)
+        m = marks.values
+        names = [f.name for f in m.type]
+        at, h, first = m.field("at").to_numpy(), m.field("hash").to_numpy(), m.field("first").to_numpy()
+        later = np.ones(len(at), bool)
+        order = np.argsort(at)
+        later[order[np.unique(h[order], return_index=True)[1]]] = False  # each hash's first place in this text
+        later |= own > first
+        if "tie" in names:
+            later |= np.array([t is not None and tid > t for t in m.field("tie").to_pylist()], bool)
+        for column, places in zip(found, (at, at[later])):
+            edge = np.zeros(len(start) + 1, np.int32)
+            np.add.at(edge, places, 1)
+            np.add.at(edge, places + LEAST, -1)
+            covered = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+            cut = np.flatnonzero(np.diff(number[covered], prepend=-2) > 1)
+            last = np.append(cut[1:], len(covered)) - 1
+            column.append([{"start": int(start[covered[a]]), "end": int(behind[covered[z]]), "words": int(z - a + 1)} for a, z in zip(cut, last)])
+    yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("tid"), *(pa.array(c, _SPANS_ARROW) for c in found)], names=["own", "tid", "repeated", "cut"])
+
+
+def find(documents: DataFrame, scratch: common.Scratch | None = None) -> DataFrame:
     """doc_id, tid (a hash of the text), repeated and cut (spans in characters, with their words) of documents with a repeated passage."""
     scratch = scratch or common.Scratch(documents.sparkSession, "substring")
     docs = common.row_key(documents).withColumn("tid", F.xxhash64("text"))
     cut = docs.mapInArrow(common.by_batch(_chunked), "doc_id long, tid long, digests array<long>, words array<int>")
     own = F.coalesce("doc_id", F.lit(_LAST)).alias("own")
     rows = scratch.write(cut.select(own, "tid", "digests", "words", F.monotonically_increasing_id().alias("rid")), "chunks")
-    each = rows.select("rid", "words", F.posexplode("digests").alias("at", "digest")).select("rid", "at", "digest", F.col("words")[F.col("at")].alias("first"), F.col("words")[F.col("at") + 1].alias("end"))
+    # place: the words before a chunk, and those before the next; where one chunk ends its successor begins.
+    each = rows.select("rid", "words", F.posexplode("digests").alias("at", "digest"))
+    each = each.select("rid", "digest", F.shiftleft(F.col("words")[F.col("at")].cast("long"), 31).bitwiseOR(F.col("words")[F.col("at") + 1].cast("long")).alias("place"))
     # Rows repeated with id and text have equal (own, tid): only the first of them is looked at.
     again = rows.groupBy("own", "tid").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     twins = scratch.write(rows.select("own", "tid", "rid").join(again.select("own", "tid", F.col("rid").alias("head")), ["own", "tid"]).filter("rid <> head").select("rid"), "twins")
@@ -220,30 +219,32 @@ def find(documents: DataFrame, scratch: common.Scratch | None = None, passage: i
         each = each.join(twins, "rid", "left_anti")
     # Written, so that a very common digest is a skew of a plain join, which Spark splits.
     twice = scratch.write(each.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "twice")
-    marks = each.join(twice, "digest").groupBy("rid").agg(F.collect_list(F.struct("at", "first", "end")).alias("marks"))
-    ranges = scratch.write(marks.mapInArrow(common.by_batch(_candidates(passage - MARGIN - NEAR + 1, MARGIN)), "rid long, ranges array<int>"), "ranges")
+    marks = each.join(twice, "digest").groupBy("rid").agg(F.collect_list("place").alias("marks"))
+    ranges = marks.mapInArrow(common.by_batch(_candidates), "rid long, ranges array<int>")
+    ranges = scratch.write(ranges.join(rows.select("rid", "own", "tid"), "rid").drop("rid"), "ranges")
+    several = scratch.write(rows.groupBy("own").agg(F.min("tid").alias("least"), F.max("tid").alias("most")).filter("least <> most").select("own"), "several")
+    again = scratch.write(rows.select("own", "tid"), "rows") if repeats else None
+    scratch.drop("chunks", "twins", "twice")
 
     # The texts of the candidates, and their windows.
-    keyed = rows.select("rid", "own", "tid").join(ranges, "rid").select("own", "tid", "ranges")
-    texts = docs.select(own, "tid", "text").join(keyed, ["own", "tid"])
+    texts = docs.select(own, "tid", "text").join(ranges, ["own", "tid"])
     texts = texts.dropDuplicates(["own", "tid"]) if repeats else texts
-    held = scratch.write(texts.mapInArrow(_windowed(passage), "own long, tid long, number array<int>, start array<int>, behind array<int>, hashes array<long>").withColumn("wid", F.monotonically_increasing_id()), "windows")
-    each = held.select("wid", "own", "tid", F.posexplode("hashes").alias("at", "hash"))
-    twice = each.groupBy("hash").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "first")
-    found = each.drop("tid").join(scratch.write(twice, "again"), "hash")
+    held = scratch.write(texts.mapInArrow(common.by_batch(_windowed), _WINDOWS).withColumn("wid", F.monotonically_increasing_id()), "windows")
+    scratch.drop("ranges")
+    each = held.select("wid", "own", "tid", F.inline("windows"))
+    firsts = each.groupBy("hash").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "first")
+    found, mark = each.drop("tid").join(scratch.write(firsts, "firsts"), "hash"), ["at", "hash", "first"]
     # Where several texts have one id, the least hash of those with a window is its first.
-    several = scratch.write(held.groupBy("own").agg(F.min("tid").alias("least"), F.max("tid").alias("most")).filter("least <> most").select("own"), "several")
-    if _empty(several):
-        found = found.withColumn("tie", F.lit(None).cast("long"))
-    else:
+    if not _empty(several):
         ties = scratch.write(each.join(several, "own").groupBy("hash", "own").agg(F.min("tid").alias("tie")), "ties")
         found = found.join(ties.withColumnRenamed("own", "first"), ["hash", "first"], "left").withColumn("tie", F.when(F.col("own") == F.col("first"), F.col("tie")))
-    marks = found.groupBy("wid").agg(F.collect_list(F.struct("at", "hash", "first", "tie")).alias("marks"))
-    passages = held.drop("hashes").join(marks, "wid").mapInArrow(_passages(passage), f"own long, tid long, repeated {_SPANS}, cut {_SPANS}")
+        mark.append("tie")
+    marks = found.groupBy("wid").agg(F.collect_list(F.struct(*mark)).alias("marks"))
+    passages = held.drop("windows").join(marks, "wid").mapInArrow(common.by_batch(_passages), f"own long, tid long, repeated {_SPANS}, cut {_SPANS}")
     if repeats:
-        passages = rows.select("own", "tid").join(scratch.write(passages, "passages"), ["own", "tid"])
+        passages = again.join(scratch.write(passages, "passages"), ["own", "tid"])
     done = scratch.write(passages.select(F.when(F.col("own") != _LAST, F.col("own")).alias("doc_id"), "tid", "repeated", "cut"), "done")
-    scratch.drop("chunks", "twins", "twice", "ranges", "windows", "again", "several", "ties", "passages")
+    scratch.drop("several", "rows", "windows", "firsts", "ties", "passages")
     return done
 
 
