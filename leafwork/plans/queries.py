@@ -16,7 +16,7 @@ from ..functions import patterns as P
 from ..functions import predicates as is_
 from ..functions import quality as Q
 from ..functions.geometry import Rect
-from ..functions.text import cjk, collapse, fingerprint, first_sentence, item_count, label, truncated, view, with_known, with_view, words
+from ..functions.text import cjk, collapse, fingerprint, first_sentence, item_count, item_positions, label, strip_fence, style, truncated, view, with_known, with_view, words
 from ..operators import glossary, grouping, layout, regions, translate
 from ..sources import blocks as B
 from ..sources import external as X
@@ -283,7 +283,7 @@ def _(spark, d):
 
 @query(
     "region_iou_pairs",
-    f"""WITH {S_BLOCKS}, {S_REGIONS}, p AS (SELECT b.doc_id, b.page_no, b.k AS a, r.k AS b, {S_INTER} AS i, (b.x1 - b.x0) * (b.y1 - b.y0) AS s, (r.x1 - r.x0) * (r.y1 - r.y0) AS t FROM regions b JOIN regions r ON b.doc_id = r.doc_id AND b.page_no = r.page_no AND b.k < r.k)
+    f"""WITH {S_BLOCKS.replace('blocks AS (', 'blocks AS MATERIALIZED (')}, {S_REGIONS.replace('regions AS (', 'regions AS MATERIALIZED (')}, p AS (SELECT b.doc_id, b.page_no, b.k AS a, r.k AS b, {S_INTER} AS i, (b.x1 - b.x0) * (b.y1 - b.y0) AS s, (r.x1 - r.x0) * (r.y1 - r.y0) AS t FROM regions b JOIN regions r ON b.doc_id = r.doc_id AND b.page_no = r.page_no AND b.k < r.k)
     SELECT doc_id, page_no, a::INTEGER AS a, b::INTEGER AS b, round(CASE WHEN i > 0 THEN i / (s + t - i) ELSE 0 END, 6) AS iou FROM p""",
 )
 def _(spark, d):
@@ -319,7 +319,7 @@ def _(spark, d):
 
 @query(
     "grobid_regions",
-    """SELECT doc_id, (doc_id % 7 + 1)::INTEGER AS page_no, 10.0 * 20 / 9 AS x0, (20.0 + doc_id % 5) * 20 / 9 AS y0, 110.0 * 20 / 9 AS x1, (20.0 + doc_id % 5 + 30.0) * 20 / 9 AS y1 FROM documents""".replace("SELECT doc_id, (doc", "SELECT doc_id, (doc", 1),
+    """SELECT doc_id, (doc_id % 7 + 1)::INTEGER AS page_no, 10.0 * 20 / 9 AS x0, (20.0 + doc_id % 5) * 20 / 9 AS y0, 110.0 * 20 / 9 AS x1, (20.0 + doc_id % 5 + 30.0) * 20 / 9 AS y1 FROM documents""",
 )
 def _(spark, d):
     i = F.col("doc_id")
@@ -686,7 +686,11 @@ def _(spark, d):
     return S.page_events(changes(spark, d)).groupBy("session_id", "event").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("session_state")
+@query(
+    "session_state",
+    f"""WITH {S_PAGES}, s AS (SELECT session_id, session_id::INTEGER % 12 AS n, count(*)::INTEGER AS n_pages, sum(len(warnings))::BIGINT AS w, count(DISTINCT page_no) FILTER (page_no <= least(3, session_id::INTEGER % 12) AND status IN ('ready', 'failed')) AS done FROM states GROUP BY 1)
+    SELECT session_id, 'created' AS overall_status, n AS page_count, n_pages, w AS warnings_count, done = least(3, n) AS first_readable_ready FROM s""",
+)
 def _(spark, d):
     return S.session_state(sessions(spark, d), states(spark, d)).select("session_id", "overall_status", "page_count", F.size("pages").alias("n_pages"), "warnings_count", "first_readable_ready")
 
@@ -728,4 +732,161 @@ def _(spark, d):
     return document_flow(spark, d)["fitted"].drop("lines")
 
 
+# Rules over every block as it is, with texts on both sides of the thresholds --------------------------------------------
+
+#: One line each; they are judged beside the blocks of the documents, as blocks of document -1.
+PROBES = [
+    "x = y + 1", "where x = y", "a - b / c * d", "and/or", "f(x, y)", "\\alpha + \\beta", "r next", "state12 is set", "restate 1", "count (x) := 2", "a[1] and b[2]", "TABLE II: accuracy of all", "Table 3 lists what each of these many methods needs here",
+    "Table 4 gives. Many words. Follow here and there and in every other place of the whole long caption, really", "Tables 3", "table x", "Theorem 1. Every value stays inside the group that was chosen", "the proof is short", "Proofs are long, and none of them fits the page at all, says the author",
+    "1) we compute the sum of all values, send it to the next server, and then wait until all of them have replied to us", "- one two", "Values stay private. Servers learn sums only. Nobody else learns anything.", "One sentence alone, with some more words but only one stop here and now.",
+    "5. 结论", "相关工作", "Section II 引言", "结论部分很长", "short", "twenty-four characters !", "一二三四五六七八一二三四五六七八一二三四五六七八", "for the", "minpos || 3", "s ← r ⊕ t", "=-=", "-", "3-4", "x -", "- x", "privacy-preserving", "≤≥", "I am a be to do", "é a ü b2 c_d e-f",
+]
+
+
+def _probed(spark: SparkSession, d: str) -> DataFrame:
+    more = spark.createDataFrame([(-1, k, t) for k, t in enumerate(PROBES)], "doc_id long, block_index int, text string")
+    return blocks(spark, d).select("doc_id", "block_index", "text").unionByName(more)
+
+
+S_PROBED = (
+    S_BLOCKS
+    + """,
+probed AS (SELECT doc_id, block_index, text FROM blocks UNION ALL SELECT -1, k, t FROM (VALUES """
+    + ", ".join(f"({k}, '{t}')" for k, t in enumerate(PROBES))
+    + f""") AS p(k, t)),
+seen AS (SELECT doc_id, block_index, text, {s_flat('text')} AS flat, lower({s_flat('text')}) AS low, {s_words(s_flat('text'))} AS w, {s_marks(s_flat('text'), '.?!;:')} AS p, {s_cjk('text')} AS zh, len(regexp_extract_all(text, '\\p{{L}}')) / greatest(length({s_flat('text')}), 1) AS alpha FROM probed)"""
+)
+S_LEFT, S_RIGHT = r"(?:^|[^\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)"
+
+
+def s_word(pattern: str) -> str:
+    """RE2 for a pattern of whole words, ``(?iU)\\b(...)\\b``, over texts in lower case."""
+    return S_LEFT + pattern.removeprefix(r"(?iU)\b").removesuffix(r"\b") + S_RIGHT
+
+
+S_BARE = r"r{b}|[A-Za-z]\[[^\]]+\]|count\(|state\d*{b}|next{b}|res{b}".replace("{b}", S_RIGHT)
+S_MATH = """(len(regexp_extract_all(text, '[≤≥≈≠∑∫√±×÷∗−′″=+*^_<>]')) + len(list_filter(cs, lambda x, i: (x = '-' OR x = '/') AND (i = 1 OR i = length(text)
+      OR regexp_matches(cs[i - 1], '[0-9)\\]} _=+*/^<>-]') OR regexp_matches(cs[i + 1], '[0-9(\\[{ _=+*/^<>-]')))))"""
+
+
+@query(
+    "symbol_counts",
+    f"WITH {S_PROBED}, c AS (SELECT *, string_split(text, '') AS cs FROM probed) SELECT doc_id, block_index, {S_MATH}::INTEGER AS n_symbols, len(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda t: regexp_full_match(t, '[A-Za-z]{{1,2}}')))::INTEGER AS n_short FROM c",
+)
+def _(spark, d):
+    return _probed(spark, d).select(*KEY, is_.math_symbols(F.col("text")).cast("int").alias("n_symbols"), is_.short_tokens(F.col("text")).cast("int").alias("n_short"))
+
+
+@query("paragraph_rule", f"WITH {S_PROBED} SELECT doc_id, block_index, {s_marks('text', '.?!;')} >= 1 AND w >= 8 AS paragraph, length(flat) >= 24 AND (w >= 4 OR zh >= 8) AS logged FROM seen")
+def _(spark, d):
+    df, v = with_view(_probed(spark, d), "text")
+    return df.select(*KEY, is_.paragraph_block(v).alias("paragraph"), is_.worth_logging(v).alias("logged"))
+
+
+@query(
+    "prose_rule",
+    f"""WITH {S_PROBED} SELECT doc_id, block_index, false AS numbered, flat <> '' AND ((w >= 5 AND regexp_matches(low, '^(?:the\\s+)?(definition|theorem|lemma|corollary|proposition|proof|remark|example){S_RIGHT}'))
+      OR (w >= 16 AND regexp_matches(low, '^(?:[-*•]|(?:\\p{{Nd}}{{1,3}}|[ivxlcdm]{{1,6}})[).])\\s+[a-z]')) OR (w >= 10 AND p >= 2 AND alpha >= 0.35) OR (w >= 26 AND p >= 2 AND alpha >= 0.45)
+      OR (w >= 14 AND p >= 1 AND length(flat) >= 42 AND alpha >= 0.36)) AS prose FROM seen""",
+)
+def _(spark, d):
+    df, v = with_view(_probed(spark, d), "text")
+    return df.select(*KEY, is_.numbered_narrative_list(v).alias("numbered"), is_.narrative_prose(v).alias("prose"))
+
+
+@query(
+    "notation_rule",
+    f"""WITH {S_PROBED} SELECT doc_id, block_index, flat <> '' AND (regexp_matches(flat, '^(?:[''`‘’•·\\-*]\\s*)?(?:{S_BARE})') OR (length(flat) <= 140 AND (regexp_matches(low, '{S_LEFT}(count\\s*\\(|(state\\p{{Nd}}*|next|res|minpos){S_RIGHT})')
+      OR regexp_matches(flat, '[A-Za-z]\\[[^\\]]+\\]|\\|\\||:=|⊕|←')))) AS notation FROM seen""",
+)
+def _(spark, d):
+    return _probed(spark, d).select(*KEY, is_.notation_line(F.col("text")).alias("notation"))
+
+
+@query(
+    "table_caption_rule",
+    f"""WITH {S_PROBED} SELECT doc_id, block_index, regexp_matches(low, '^table\\s+([ivxlcm]+|\\p{{Nd}}+)') AND NOT (w >= 6 AND regexp_matches(low, '{s_word(P.TABLE_VERB)}')) AND w < 36 AND NOT (p >= 2 AND w >= 14)
+      AND NOT (w >= 12 AND p >= 1 AND (contains(flat, ',') OR regexp_matches(low, '{s_word(P.TABLE_CONTINUATION)}'))) AND NOT (w >= 10 AND (contains(low, ' that ') OR contains(low, ' since '))) AS caption FROM seen""",
+)
+def _(spark, d):
+    df, v = with_view(_probed(spark, d), "text")
+    return df.select(*KEY, is_.table_caption(v).alias("caption"))
+
+
+@query(
+    "target_heading_rule",
+    f"""WITH {S_PROBED} SELECT doc_id, block_index, flat <> '' AND ((length(flat) <= 28 AND regexp_full_match(low, '(?:section\\s+)?(?:\\p{{Nd}}+(?:\\.\\p{{Nd}}+)*|[ivxlcdm]+)\\s*[).:：\\-]?\\s*(?:相关工作|参考文献|引言|摘要|结论|实验(?:评估|结果)?|方法|预备知识|问题定义|系统模型)\\s*'))
+      OR replace(flat, ' ', '') IN ({', '.join(f"'{h}'" for h in P.TARGET_HEADINGS)})) AS heading FROM seen""",
+)
+def _(spark, d):
+    return _probed(spark, d).select(*KEY, is_.target_heading(F.col("text")).alias("heading"))
+
+
+@query(
+    "text_forms",
+    """WITH l AS (SELECT doc_id, string_split(text, chr(10))[1] AS s FROM documents), f AS (SELECT doc_id, s, CASE doc_id % 4 WHEN 0 THEN '```json' || chr(10) || s || chr(10) || '```' WHEN 1 THEN '  ```' || s || '```  ' WHEN 2 THEN ' ' || s || ' ' ELSE s || '```' END AS fenced,
+      CASE doc_id % 5 WHEN 0 THEN ' Academic-Conservative ' WHEN 1 THEN 'DEFAULT' WHEN 2 THEN 'academic' WHEN 3 THEN '' ELSE ' plain ' || doc_id || ' ' END AS profile, 'a; 1) b' || repeat('c', doc_id % 7) || '：2、d' AS items FROM l)
+    SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 1) THEN trim(s) WHEN doc_id % 4 = 2 THEN trim(s) ELSE trim(s || '```') END AS inner_text, CASE WHEN doc_id % 5 = 4 THEN 'plain ' || doc_id ELSE '' END AS style, [3, 8 + doc_id % 7] AS places FROM f""",
+)
+def _(spark, d):
+    i, s = F.col("doc_id"), F.get(F.split("text", "\n"), F.lit(0))
+    fenced = F.when(i % 4 == 0, F.concat(F.lit("```json\n"), s, F.lit("\n```"))).when(i % 4 == 1, F.concat(F.lit("  ```"), s, F.lit("```  "))).when(i % 4 == 2, F.concat(F.lit(" "), s, F.lit(" "))).otherwise(F.concat(s, F.lit("```")))
+    profile = F.when(i % 5 == 0, " Academic-Conservative ").when(i % 5 == 1, "DEFAULT").when(i % 5 == 2, "academic").when(i % 5 == 3, "").otherwise(F.concat(F.lit(" plain "), i.cast("string"), F.lit(" ")))
+    items = F.concat(F.lit("a; 1) b"), F.repeat(F.lit("c"), (i % 7).cast("int")), F.lit("：2、d"))
+    return docs(spark, d).select("doc_id", strip_fence(fenced).alias("inner_text"), style(profile).alias("style"), item_positions(items).alias("places"))
+
+
+@query(
+    "rect_relations",
+    f"""WITH {S_BLOCKS.replace('blocks AS (', 'blocks AS MATERIALIZED (')}, {S_REGIONS.replace('regions AS (', 'regions AS MATERIALIZED (')}
+    SELECT b.doc_id, b.page_no, b.block_index, count_if(b.x1 >= r.x0 AND r.x1 >= b.x0 AND b.y1 >= r.y0 AND r.y1 >= b.y0)::BIGINT AS n_touching,
+      round(max(greatest(0.0, least(b.x1, r.x1) - greatest(b.x0, r.x0)) / greatest(1.0, least(b.x1 - b.x0, r.x1 - r.x0))), 6) AS most FROM blocks b JOIN regions r ON b.doc_id = r.doc_id AND b.page_no = r.page_no GROUP BY ALL""",
+)
+def _(spark, d):
+    b = blocks(spark, d)
+    other = B.regions_for(b).select(*D.PAGE, *(F.col(n).alias(f"r_{n}") for n in regions.RECT))
+    both = b.join(other, D.PAGE)
+    return both.groupBy(*D.BLOCK).agg(F.count_if(G.touches(Rect.of(), Rect.of("r_"))).alias("n_touching"), F.round(F.max(G.horizontal_overlap(Rect.of(), Rect.of("r_"))), 6).alias("most"))
+
+
+@query(
+    "glossary_first_pages",
+    f"WITH {S_BLOCKS}, t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS term FROM blocks WHERE page_no <= 5), n AS (SELECT doc_id, term, count(*) AS n FROM t WHERE regexp_full_match(term, '[A-Z]{{2,8}}s?') GROUP BY ALL) SELECT doc_id, term, n FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) <= 12",
+)
+def _(spark, d):
+    return glossary.top_terms(glossary.first_pages(blocks(spark, d)), by=["doc_id"])
+
+
+@query(
+    "image_versions",
+    f"WITH {S_PAGES} SELECT session_id, page_no, greatest(event_id * 1000, epoch_us(ts) // 1000) AS version FROM changes QUALIFY row_number() OVER (PARTITION BY session_id, page_no ORDER BY ts DESC, event_id DESC) = 1",
+)
+def _(spark, d):
+    c = changes(spark, d).withColumn("updated_at", F.col("updated_at").cast("timestamp"))
+    last = c.groupBy("session_id", "page_no").agg(F.max(F.struct("updated_at", "change_id")).alias("m"))
+    return last.select("session_id", "page_no", S.polled_version(F.col("m.change_id").cast("long") * 1000, F.col("m.updated_at")).alias("version"))
+
+
+@query(
+    "swept_sessions",
+    f"WITH {S_PAGES}, s AS (SELECT session_id, min(ts) + INTERVAL 120 MINUTE AS e FROM changes GROUP BY 1) SELECT session_id, CASE WHEN e <= TIMESTAMP '2024-01-01 04:00:00' THEN 'expired' ELSE 'created' END AS overall_status FROM s WHERE e + INTERVAL 120 SECOND > TIMESTAMP '2024-01-01 04:00:00'",
+)
+def _(spark, d):
+    return S.swept(sessions(spark, d), F.lit("2024-01-01 04:00:00").cast("timestamp")).select("session_id", "overall_status")
+
+
+@query(
+    "session_events",
+    f"""WITH {S_PAGES}, s AS (SELECT session_id, min(ts) + INTERVAL 120 MINUTE AS e FROM changes GROUP BY 1), f AS (SELECT session_id, CASE WHEN bool_and(status = 'ready') THEN 'session_ready' WHEN bool_and(status IN ('ready', 'failed')) THEN 'session_failed' END AS event FROM states GROUP BY 1),
+    x AS (SELECT session_id, CASE status WHEN 'ready' THEN 'page_ready' WHEN 'failed' THEN 'page_failed' ELSE 'progress' END AS event FROM changes UNION ALL SELECT session_id, event FROM f WHERE event IS NOT NULL
+      UNION ALL SELECT session_id, 'session_expiring' FROM s WHERE e > TIMESTAMP '2024-01-01 04:00:00' AND e <= TIMESTAMP '2024-01-01 04:05:00' UNION ALL SELECT session_id, 'provider_switched' FROM changes WHERE status = 'failed' AND event_id % 2 = 0)
+    SELECT session_id, event, count(*) AS n FROM x GROUP BY ALL""",
+)
+def _(spark, d):
+    c = changes(spark, d)
+    moved = c.filter("status = 'failed' and change_id % 2 = 0").select("session_id", "page_no", F.lit("a").alias("from_provider"), F.lit("b").alias("to_provider"), F.col("error").alias("reason"))
+    events = S.session_events(c, states(spark, d), sessions(spark, d), moved, F.lit("2024-01-01 04:00:00").cast("timestamp"))
+    return events.groupBy("session_id", "event").agg(F.count(F.lit(1)).alias("n"))
+
+
 __all__ = ["QUERIES", "SQL", "document_flow", "layout", "P"]

@@ -121,6 +121,14 @@ def page_events(changes: DataFrame) -> DataFrame:
     return changes.select("session_id", kind.alias("event"), F.to_json(F.struct("page_no", "status", "error")).alias("payload"), F.col("updated_at").alias("ts"))
 
 
+def session_events(changes: DataFrame, pages: DataFrame, sessions: DataFrame, switches: DataFrame, now: Column) -> DataFrame:
+    """session_id, event, payload of all seven kinds: of pages and progress, failovers, the end of sessions, and those that end soon."""
+    none = F.lit(None).cast("string").alias("payload")
+    final = final_status(pages).filter("final is not null").select("session_id", F.concat(F.lit("session_"), F.col("final")).alias("event"), F.to_json(F.struct(F.col("final").alias("status"))).alias("payload"))
+    soon = expiry(sessions, now).filter("state = 'expiring'").select("session_id", F.lit("session_expiring").alias("event"), none)
+    return page_events(changes).select("session_id", "event", "payload").unionByName(switch_events(switches)).unionByName(final).unionByName(soon)
+
+
 def polled_version(previous: Column, updated_at: Column) -> Column:
     """The cache version of a page's image: the later of the one before and its last change in milliseconds."""
     return F.greatest(previous, F.coalesce(F.unix_millis(updated_at), F.lit(0)))
