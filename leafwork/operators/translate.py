@@ -6,6 +6,7 @@ table of the shared folder, before anything reads them twice; keys never enter a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -100,9 +101,19 @@ class Options:
 
 
 def is_echo(source: str, target: str) -> bool:
-    """The echo gate for a single text where the reply arrives; the gate over tables is quality.echo."""
-    s, t = " ".join(source.split()).lower(), " ".join(target.split()).lower()
-    return bool(s) and s == t and sum(c.isascii() and c.isalpha() for c in s) >= 10
+    """The echo gate for a single text where the reply arrives; the gate over tables is quality.echo, with the same rules."""
+    s, t = (" ".join(x.split()).lower() for x in (source, target))
+    if not s or not t:
+        return False
+    if s == t:
+        return sum(c.isascii() and c.isalpha() for c in s) >= 10
+    own, theirs = (re.findall(r"(?<!\w)[a-z]{3,}(?!\w)", x) for x in (s, t))
+    if len(own) < 3 or len(theirs) < 4 or sum("一" <= c <= "鿿" for c in t) >= 4:
+        return False
+    if t in s or s in t:
+        return True
+    common = len(set(own) & set(theirs)) / max(1, len(set(theirs)))
+    return len(own) >= 8 and common >= 0.82 and len(theirs) >= max(6, int(len(own) * 0.7))
 
 
 def ask(texts: list[str], providers: list[Provider], options: Options, glossary: str = "", strict: bool = False) -> tuple[list[str], str, str | None]:
@@ -112,14 +123,20 @@ def ask(texts: list[str], providers: list[Provider], options: Options, glossary:
     for p in providers:
         for _ in range(max(1, options.retries)):
             try:
-                said = R.parse(p.complete(R.messages([t for t, _ in hidden], options.style, glossary, strict)), [t for t, _ in hidden])
-                out = [R.restore(x, f) for x, (_, f) in zip(said, hidden)]
-                bad = sum(map(is_echo, texts, out))
-                if bad and (len(texts) == 1 or bad >= max(2, len(texts) // 2)):
-                    raise R.ReplyError("untranslated echo")
-                return out, p.name, first if p.name != first else None
-            except Exception as e:
+                raw = p.complete(R.messages([t for t, _ in hidden], options.style, glossary, strict))
+            except Exception as e:  # a provider may raise what it likes
+                error = e
+                continue
+            try:
+                said = R.parse(raw, [t for t, _ in hidden])
+            except R.ReplyError as e:
                 error = e
+                continue
+            out = [R.restore(x, f) for x, (_, f) in zip(said, hidden)]
+            bad = sum(map(is_echo, texts, out))
+            if not bad or (len(texts) > 1 and bad < max(2, len(texts) // 2)):
+                return out, p.name, first if p.name != first else None
+            error = R.ReplyError("untranslated echo")
     raise R.ReplyError(str(error))
 
 

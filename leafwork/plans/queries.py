@@ -705,6 +705,8 @@ def _store(spark: SparkSession):
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="leafwork-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/leafwork-document-{uuid.uuid4().hex}"

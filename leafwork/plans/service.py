@@ -21,6 +21,8 @@ _META = "session_id string, overall_status string, page_count int, created_at ti
 _QUEUE = "session_id string, page_no int, queue string, queued boolean, change_id long"
 _DIAGNOSTICS = "session_id string, page_no int, kind string, reason string, change_id long, cleared boolean"
 
+_MEMORY = "session_id string, fp string, translation string, change_id long, cleared boolean"
+
 
 class NotFoundError(KeyError):
     """404"""
@@ -88,6 +90,22 @@ class Service:
         row = S.report(self.diagnostics(session_id)).first()
         return {k: [x.asDict() for x in row[k]] if row else [] for k in S.KINDS}
 
+    def memory(self, session_id: str) -> DataFrame:
+        """session_id, fp, translation: what the session has learnt since its memory was last cleared."""
+        rows = self._read("memory", _MEMORY, session_id)
+        cleared = rows.filter("cleared").groupBy("session_id").agg(F.max("change_id").alias("until"))
+        kept = rows.filter("not cleared").join(cleared, "session_id", "left").filter(F.col("until").isNull() | (F.col("change_id") > F.col("until")))
+        return kept.groupBy("session_id", "fp").agg(F.max_by("translation", "change_id").alias("translation"))
+
+    def events(self, session_id: str) -> DataFrame:
+        """session_id, event, payload: all that a listener of the session is told, of all seven kinds."""
+        meta = self.meta(session_id)
+        one = self.spark.createDataFrame([(session_id, meta["expires_at"])], "session_id string, expires_at timestamp")
+        moved = self.diagnostics(session_id).filter("kind = 'provider_switched'")
+        ends = F.split("reason", ">", 2)
+        switches = moved.select("session_id", "page_no", ends[0].alias("from_provider"), F.get(ends, F.lit(1)).alias("to_provider"), F.lit("failover").alias("reason"))
+        return S.session_events(self._read("pages", _CHANGES, session_id), self.pages(session_id), one, switches, F.lit(self.now()))
+
     # Changing
 
     def _set(self, meta: dict, status: str) -> None:
@@ -154,8 +172,19 @@ class Service:
         stamp = self._id()
         self._append("diagnostics", [(session_id, p, k, r, stamp, False) for p, k, r in rows], _DIAGNOSTICS)
 
+    def remember(self, session_id: str, translations: dict[str, str]) -> None:
+        """Translations by fingerprint; empty ones aren't kept."""
+        self.meta(session_id)
+        stamp = self._id()
+        if rows := [(session_id, fp, t, stamp, False) for fp, t in translations.items() if t]:
+            self._append("memory", rows, _MEMORY)
+
+    def switched(self, session_id: str, page_no: int, before: str, after: str) -> None:
+        """A failover from one provider to another."""
+        self.diagnose(session_id, [(page_no, "provider_switched", f"{before}>{after}")])
+
     def retry(self, session_id: str, page_no: int) -> str:
-        """A page again: its diagnostics are cleared; queued, or skipped if it is queued already."""
+        """A page again: its diagnostics and the session's memory are cleared; queued, or skipped if it is queued already."""
         meta = self.meta(session_id)
         if not 1 <= page_no <= meta["page_count"]:
             raise NotFoundError(page_no)
@@ -163,6 +192,7 @@ class Service:
             raise ConflictError("session not started")
         stamp = self._id()
         self._append("diagnostics", [(session_id, page_no, "", "", stamp, True)], _DIAGNOSTICS)
+        self._append("memory", [(session_id, None, None, stamp, True)], _MEMORY)
         self._append("pages", [(session_id, page_no, "pending", None, None, self.now(), stamp)], _CHANGES)
         one = self.spark.createDataFrame([(session_id, page_no)], "session_id string, page_no int")
         return "queued" if self._enqueue(session_id, one) else "skipped"

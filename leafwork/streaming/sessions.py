@@ -91,14 +91,10 @@ def fold_into(store_path: str):
         spark = batch.sparkSession
         new = S.latest_pages(batch, ["updated_at", "change_id"])
         if batch_id > 0:
-            try:
-                old = spark.read.parquet(f"{store_path}/batch={batch_id - 1}")
-            except Exception as e:  # the stream was started anew at this batch
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-            else:
-                both = old.withColumn("change_id", F.lit(-1).cast("long")).unionByName(new.withColumn("change_id", F.lit(0).cast("long")))
-                new = S.latest_pages(both, ["updated_at", "change_id"])
+            # A gap is an error: what was folded before would be lost without a word.
+            old = spark.read.parquet(f"{store_path}/batch={batch_id - 1}")
+            both = old.withColumn("change_id", F.lit(-1).cast("long")).unionByName(new.withColumn("change_id", F.lit(0).cast("long")))
+            new = S.latest_pages(both, ["updated_at", "change_id"])
         new.write.mode("overwrite").parquet(f"{store_path}/batch={batch_id}")
 
     return merge

@@ -239,3 +239,43 @@ def test_tei(spark):
     tei = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><biblStruct coords="1,10,20,100,30"/><biblStruct/></TEI>'
     df = spark.createDataFrame([(1, tei)], "doc_id long, tei string")
     assert regions.grobid_regions(external.tei_coordinates(df)).count() == 1
+
+
+@pytest.mark.parametrize(
+    ("source", "target", "echo"),
+    [
+        ("Hello brave world", "hello  brave world", True),
+        ("short", "short", False),
+        ("The protocol keeps all inputs private", "protocol keeps all inputs", True),
+        ("The protocol keeps inputs private while servers compute a sum", "the protocol keeps inputs secret while servers compute sum", True),
+        ("The protocol keeps inputs private while servers compute a sum", "nothing here looks like what stood there before at all", False),
+        ("The protocol keeps inputs private", "协议保护输入 protocol keeps inputs private", False),
+        ("", "x", False),
+    ],
+)
+def test_echo_guard_is_the_gate(spark, source, target, echo):
+    from leafwork.functions import quality
+    from leafwork.operators import translate
+
+    assert translate.is_echo(source, target) == echo
+    df = spark.createDataFrame([(source, target)], "s string, t string")
+    assert df.select(quality.echo(F.col("s"), F.col("t"))).first()[0] == echo
+
+
+@pytest.mark.parametrize(
+    ("text", "clean"),
+    [
+        (r"\(x_{i}\) 与 \[y^{2}\] 及 $z$", "x_i 与 y^2 及 z"),
+        (r"\text{max} \operatorname { gcd }", "max gcd"),
+        (r"a \oplus b \leq c \in S", "a ⊕ b ≤ c ∈ S"),
+        (r"r \leftarrow_{R} Z, s leftarrow_{R}, t", "r ←R Z, s ←R, t"),
+        ("x<sup>2</sup> &lt;sub&gt;i&lt;/sub&gt;", "x2 i"),
+        ("cost by 至少 3", "cost 至少 3"),
+        (r"a \_ b \$5", "a _ b 5"),
+    ],
+)
+def test_artefacts(spark, text, clean):
+    from leafwork.functions import quality
+
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(quality.without_artefacts(F.col("t"))).first()[0] == clean

@@ -169,3 +169,27 @@ def test_service(spark, tmp_path):
     s.delete(other)
     with pytest.raises(NotFoundError):
         s.state(other)
+
+
+def test_events_and_memory_of_a_session(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from leafwork.plans.service import Service
+
+    now = [datetime(2024, 1, 1)]
+    s = Service(spark, str(tmp_path / "events"), clock=lambda: now[0])
+    sid = s.create(2)["session_id"]
+    s.start(sid)
+    s.page(sid, 1, "ready")
+    s.switched(sid, 2, "a", "b")
+    s.page(sid, 2, "failed", error="x")
+    kinds = lambda: sorted(r.event for r in s.events(sid).collect())
+    assert kinds() == ["page_failed", "page_ready", "progress", "progress", "provider_switched", "session_failed"]
+    s.remember(sid, {"f": "one", "g": ""})
+    s.remember(sid, {"f": "two"})
+    assert [(r.fp, r.translation) for r in s.memory(sid).collect()] == [("f", "two")]
+    s.retry(sid, 2)
+    assert s.memory(sid).count() == 0
+    s.page(sid, 2, "ready")
+    now[0] += timedelta(minutes=117)
+    assert {"session_ready", "session_expiring"} <= set(kinds())
