@@ -100,6 +100,9 @@ S_ECHO = f"""v AS (SELECT doc_id, block_index, lower({s_flat('source')}) AS s, l
     e AS (SELECT doc_id, block_index, CASE WHEN s = '' OR t = '' THEN false WHEN s = t THEN latin >= 10 WHEN sw < 3 OR tw < 4 OR zh >= 4 THEN false ELSE contains(s, t) OR contains(t, s) END AS echo FROM c)"""
 S_ITEM = "'(?:^|[\\n\\r;；,，。：:\\.]\\s*)(?:[（(]?\\d{1,2}[）)]|\\d{1,2}[\\.、:：])'"
 
+S_LEFT, S_RIGHT = r"(?:^|[^\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)"
+S_BARE = r"r{b}|[A-Za-z]\[[^\]]+\]|count\(|state\d*{b}|next{b}|res{b}".replace("{b}", S_RIGHT)
+
 
 # Inputs ---------------------------------------------------------------------------------------------------------------
 
@@ -427,7 +430,26 @@ def _(spark, d):
     return grouping.pack(rows, ["doc_id"], ["page_no", "block_index"], "chars")
 
 
-@query("fragment_pairs")
+S_NOTATION = f"""(regexp_matches(flat, '^(?:[''`‘’•·\\-*]\\s*)?(?:{S_BARE})') OR (length(flat) <= 140 AND (regexp_matches(lower(flat), '{S_LEFT}(count\\s*\\(|(state\\p{{Nd}}*|next|res|minpos){S_RIGHT})')
+      OR regexp_matches(flat, '[A-Za-z]\\[[^\\]]+\\]|\\|\\||:=|⊕|←'))))"""
+#: Blocks of equal widths, 22 pixels from line to line: one belongs to the one before where that is the line above it.
+S_FOLLOWS = (
+    S_BLOCKS
+    + f""",
+tight AS (SELECT doc_id, page_no, block_index, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, {s_flat('text')} AS flat, (block_index % 40) // 20 AS half FROM blocks),
+told AS (SELECT *, {S_NOTATION} AS notation, length(flat) <= 96 AND regexp_matches(flat, '(?i)^(?:section\\s+)?[ivxlcdm0-9.\\-: ]+[A-Za-z][A-Za-z \\-'']+$') AS heading,
+  regexp_matches(flat, '[-=+*/^_⊕←,;:.(\\[]$') OR regexp_matches(lower(flat), '{S_LEFT}(?:for|where|then|that|with|s\\.t)$') AS is_open, NOT regexp_matches(flat, '(?i)^(?:[a-z]|[ivxlcdm]+|\\p{{Nd}}{{1,3}})[).:]\\s+') AS plain, regexp_matches(flat, '^[\\p{{Ll}}\\p{{Nd}}=+\\-*/^_(\\[{{⊕←]') AS low FROM tight),
+near AS (SELECT *, lag(half) OVER w = half AND lag(block_index) OVER w = block_index - 1 AND NOT heading AND NOT lag(heading) OVER w AND (NOT (notation OR lag(notation) OVER w) OR (plain AND (low OR lag(is_open) OVER w))) AS f
+  FROM told WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY half, block_index)),
+follows AS (SELECT *, coalesce(f, false) AS follows FROM near)"""
+)
+S_MERGED = f"""WITH {S_FOLLOWS}, runs AS (SELECT *, sum((NOT follows)::INTEGER) OVER (PARTITION BY doc_id, page_no ORDER BY half, block_index) AS run FROM follows),
+    parts AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, page_no, run ORDER BY block_index) - 1) // 3 AS third FROM runs), m AS (
+    SELECT doc_id, page_no, min(block_index) AS first, max(block_index) AS last, any_value(half) AS half, count(*) AS n_parts, list_reduce(list(text ORDER BY block_index), lambda x, y: CASE WHEN ends_with(x, '-') THEN rtrim(x[1 : length(x) - 1]) || ltrim(y) ELSE x || chr(10) || y END) AS text FROM parts GROUP BY doc_id, page_no, run, third)
+    SELECT doc_id, page_no, first AS block_index, (80 + 640 * half)::DOUBLE AS x0, (60 + 22 * (first % 20))::DOUBLE AS y0, (640 + 640 * half)::DOUBLE AS x1, (76 + 22 * (last % 20))::DOUBLE AS y1, text, n_parts FROM m"""
+
+
+@query("fragment_pairs", f"WITH {S_FOLLOWS} SELECT doc_id, page_no, count(*) AS n, count_if(follows)::BIGINT AS n_follow FROM follows GROUP BY ALL")
 def _(spark, d):
     return grouping.pairs(_tight(spark, d), B.PAGE_WIDTH).groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("n"), F.count_if("follows").alias("n_follow"))
 
@@ -439,9 +461,9 @@ def _tight(spark, d):
     return blocks(spark, d).withColumns({"x0": 80.0 + F.floor(F.col("block_index") % 40 / 20) * 640.0, "y0": y0, "y1": y0 + 16.0}).withColumn("x1", F.col("x0") + 560.0).withColumn("base_font_size", F.lit(12.0))
 
 
-@query("merge_fragments")
+@query("merge_fragments", S_MERGED)
 def _(spark, d):
-    return grouping.merge_fragments(_tight(spark, d).drop("font_size"), B.PAGE_WIDTH)
+    return grouping.merge_fragments(_tight(spark, d).drop("font_size"), B.PAGE_WIDTH).select(*D.BLOCK, *regions.RECT, "text", "n_parts")
 
 
 @query(
@@ -758,15 +780,11 @@ probed AS (SELECT doc_id, block_index, text FROM blocks UNION ALL SELECT -1, k,
     + f""") AS p(k, t)),
 seen AS (SELECT doc_id, block_index, text, {s_flat('text')} AS flat, lower({s_flat('text')}) AS low, {s_words(s_flat('text'))} AS w, {s_marks(s_flat('text'), '.?!;:')} AS p, {s_cjk('text')} AS zh, len(regexp_extract_all(text, '\\p{{L}}')) / greatest(length({s_flat('text')}), 1) AS alpha FROM probed)"""
 )
-S_LEFT, S_RIGHT = r"(?:^|[^\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)"
-
-
 def s_word(pattern: str) -> str:
     """RE2 for a pattern of whole words, ``(?iU)\\b(...)\\b``, over texts in lower case."""
     return S_LEFT + pattern.removeprefix(r"(?iU)\b").removesuffix(r"\b") + S_RIGHT
 
 
-S_BARE = r"r{b}|[A-Za-z]\[[^\]]+\]|count\(|state\d*{b}|next{b}|res{b}".replace("{b}", S_RIGHT)
 S_MATH = """(len(regexp_extract_all(text, '[≤≥≈≠∑∫√±×÷∗−′″=+*^_<>]')) + len(list_filter(cs, lambda x, i: (x = '-' OR x = '/') AND (i = 1 OR i = length(text)
       OR regexp_matches(cs[i - 1], '[0-9)\\]} _=+*/^<>-]') OR regexp_matches(cs[i + 1], '[0-9(\\[{ _=+*/^<>-]')))))"""
 
