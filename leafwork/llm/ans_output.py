@@ -241,7 +241,7 @@ def write(documents: DataFrame, path: str, scratch: common.Scratch) -> tuple[Dat
         counts[i] = c
     f = quantised(counts)
     shared = spark.sparkContext.broadcast(f)
-    files = scratch.write(held.select("doc_id", "shard", "ids", "before").mapInArrow(_written(shared, kind), MANIFEST), "files", codec="none")
+    files = scratch.write(held.select("doc_id", "shard", "ids", "before").mapInArrow(_written(shared, kind), MANIFEST), "files", codec="none", large=True)
     scratch.write(spark.createDataFrame([(f.astype("<u4").tobytes(),)], "frequencies binary"), "frequencies")
     scratch.drop("ids")
     return files, f

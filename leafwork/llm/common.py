@@ -48,9 +48,11 @@ class Scratch:
         self.path = f"{shared_dir(spark)}/leafwork-{name}-{uuid.uuid4().hex}"
         atexit.register(self._at_exit)
 
-    def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def write(self, df: DataFrame, name: str, codec: str = "zstd", large: bool = False) -> DataFrame:
+        """large: values of megabytes, for which row groups are kept small in memory and no dictionary is tried."""
         to = f"{self.path}/{name}"
-        df.write.option("compression", codec).parquet(to)
+        more = {"parquet.block.size": str(16 << 20), "parquet.enable.dictionary": "false"} if large else {}
+        df.write.options(compression=codec, **more).parquet(to)
         return self.spark.read.schema(df.schema).parquet(to)
 
     def drop(self, *names: str) -> None:

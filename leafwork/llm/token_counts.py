@@ -98,7 +98,7 @@ def write(documents: DataFrame, path: str, scratch: common.Scratch, end_id: int
             yield row(np.concatenate(held))
 
     source = common.row_key(documents).withColumn("task", F.spark_partition_id())
-    made = scratch.write(source.mapInArrow(common.frugal(run), f"{BLOCKS}, ordinal long, doc_ids array<long>"), "flat")
+    made = scratch.write(source.mapInArrow(common.frugal(run), f"{BLOCKS}, ordinal long, doc_ids array<long>"), "flat", large=True)
     order = made.select("file", "ordinal", F.posexplode("doc_ids").alias("k", "doc_id"))
     return made.select("file", "block", "data"), order.select("file", (F.col("ordinal") + F.col("k")).alias("ordinal"), "doc_id")
 
