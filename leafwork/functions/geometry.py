@@ -91,7 +91,8 @@ def half(r: Rect, page_width: Column) -> Column:
 
 
 def rgb(c: Column) -> Column:
-    return F.struct(F.shiftright(c, 16).bitwiseAND(255).alias("r"), F.shiftright(c, 8).bitwiseAND(255).alias("g"), c.bitwiseAND(255).alias("b"))
+    """r, g and b of a colour, which may be an int or a long."""
+    return F.struct(*(F.shiftright(c, k).bitwiseAND(255).cast("int").alias(n) for n, k in (("r", 16), ("g", 8), ("b", 0))))
 
 
 def scaled(base: float, zoom: float, least: float) -> float:

@@ -385,7 +385,7 @@ def _(spark, d):
 )
 def _(spark, d):
     i = F.col("doc_id")
-    span = lambda size: F.struct(F.col("text").alias("text"), size.cast("double").alias("size"), (i * 4099).cast("int").alias("color"))
+    span = lambda size: F.struct(F.col("text").alias("text"), size.cast("double").alias("size"), (i * 4099).alias("color"))
     lines = F.array(F.struct(F.array(span(F.when(i % 2 == 0, F.lit(None)).otherwise(9 + i % 7)), span(F.when(i % 2 == 0, F.lit(None)).otherwise(F.lit(2)))).alias("spans")))
     s = docs(spark, d).select("doc_id", B.block_style(lines).alias("s"))
     return s.select("doc_id", "s.font_size", "s.color.r", "s.color.g", "s.color.b")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from leafwork.functions import replies as R
 from leafwork.operators import glossary, grouping, layout, regions, translate
 from leafwork.plans import document as D
@@ -279,3 +280,13 @@ def test_artefacts(spark, text, clean):
 
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(quality.without_artefacts(F.col("t"))).first()[0] == clean
+
+
+def test_colours_of_large_ids(spark, tmp_path):
+    """doc_ids times 4099 are beyond an int from 523,907 on."""
+    ids = [0, 523_906, 523_907, 1_280_001, 1 << 40]
+    spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = entry.queries()["block_style"](spark, str(tmp_path))
+    assert [f.dataType.simpleString() for f in df.schema][1:] == ["double", "int", "int", "int"]
+    expected = {(i, 11.0 if i % 2 == 0 else 9.0 + i % 7, (c := i * 4099) >> 16 & 255, c >> 8 & 255, c & 255) for i in ids}
+    assert set(map(tuple, df.collect())) == expected
