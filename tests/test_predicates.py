@@ -1,5 +1,7 @@
 """Predicates, gates and text functions at both sides of their thresholds."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +141,25 @@ def test_rectangles(spark):
     ).first()
     assert (got.same, got.edge, got.touch, got.at, got.below, got.wide, got.narrow, got.empty) == (1.0, 0.0, True, True, False, True, False, 0.0)
     assert tuple(got.rgb) == (16, 32, 48)
+
+
+def test_normalising_is_done_by_plain_functions(spark):
+    """The same texts as by Column expressions, whose lambdas over lines took most of the time; none is left in the plan."""
+    parts = [
+        "译文：", "\\(x+1\\)", "$a=b$", "\\leftarrow", "leftarrow _ {R", "\\times ", "\\text{ab}", "x_{12}", "</sup>", "&lt;sub&gt;", "$ ", "\\", "value by 3", "x by at least", "=; a", "  ", "\n", "\x85", "\x1c", "\u3000", "…", "..",
+        "(continued above)", "续上行", "terms=", "（不要翻译）", "(strict retry mode abc)", "mathseg12token", "+ abc，", "- (x", "=", "1) ", "、3、", ", 2) ", "。", "；", ";", "The protocol keeps inputs private while servers compute", "IEEE", "译文服务器",
+        "文" * 30, "Section IV. ", "IV. Related Work", " for the", " and the", "é", "\u0301", "ſ", "İ", "ı", "²", "①", "‴", "′", "−", "Â", "a□b", "≤x", "http://a.b/c?d=e&f", "word ", "：", "'", "f' s(x)", "Ⓐ", "\x07", "ΑΣ", "vii.",
+    ]
+    r = random.Random(5)
+    text = lambda most: "".join(r.choice(parts) + r.choice(["", " ", "\n"]) for _ in range(r.randint(0, most)))
+    pairs = [(s := text(r.choice([2, 6, 20])), r.choice([s, text(6), text(25), s + "\n" + text(6), s + text(4), text(3) + "\n" + "服务器共同计算。" * r.randint(0, 12) + s])) for _ in range(1500)]
+    pairs += [(None, "1) abcdefgh 2) b"), ("a", None), (None, None), ("", ""), ("…", "……")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, s string, t string")
+    for rules in (None, [("^Section IV", "第四节"), ("(?i)related work", "")]):
+        done = Q.normalise(df, "s", "t", rules=rules)
+        plan = done._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEvalPython" in plan or "_normalised" in plan
+        assert "lambda" not in plan
+        slow = {x["i"]: x["normalised"] for x in Q.normalise_by_columns(df, "s", "t", rules=rules).collect()}
+        wrong = [(x["s"], x["t"], x["normalised"], slow[x["i"]]) for x in done.collect() if x["normalised"] != slow[x["i"]]]
+        assert not wrong and len(slow) == len(pairs)
