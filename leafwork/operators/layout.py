@@ -6,9 +6,11 @@ That approximates a font; another model can be passed. Drawing is left to an ada
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,34 +23,45 @@ from ..functions import patterns as P
 WidthModel = Callable[[str, float], float]
 
 
+@lru_cache(1 << 16)
+def _em(c: str) -> float:
+    return 1.0 if unicodedata.east_asian_width(c) in "WF" else 0.5
+
+
 def em_width(text: str, size: float) -> float:
-    return size * sum(1.0 if unicodedata.east_asian_width(c) in "WF" else 0.5 for c in text)
+    return size * sum(map(_em, text))
 
 
 def folded(text: str) -> str:
     """Mathematical letters, and super- and subscripts, as plain characters."""
+    return text if text.isascii() else "".join(map(_plain, text))
 
-    def one(c: str) -> str:
-        kind = unicodedata.decomposition(c).partition(" ")[0]
-        plain = "\U0001d400" <= c <= "\U0001d7ff" or "⁰" <= c <= "₟" or kind in ("<font>", "<super>", "<sub>")
-        return (unicodedata.normalize("NFKC", c) or c) if plain else c
 
-    return "".join(map(one, text))
+@lru_cache(1 << 16)
+def _plain(c: str) -> str:
+    kind = unicodedata.decomposition(c).partition(" ")[0]
+    plain = "\U0001d400" <= c <= "\U0001d7ff" or "⁰" <= c <= "₟" or kind in ("<font>", "<super>", "<sub>")
+    return (unicodedata.normalize("NFKC", c) or c) if plain else c
 
 
-def wrap(text: str, size: float, width: float, model: WidthModel = em_width) -> list[str]:
-    """Character-wise lines that aren't wider than width; a line has one character at least."""
-    out = []
+def wrap(text: str, size: float, width: float, model: WidthModel = em_width, most: float = math.inf) -> list[str]:
+    """Character-wise lines that aren't wider than width; a line has one character at least. Beyond ``most`` lines it stops."""
+    out, widths = [], {}
     for line in text.splitlines() or [text]:
         start, wide = 0, 0.0
         for k, c in enumerate(line):
-            w = model(c, size)
+            if (w := widths.get(c)) is None:
+                w = widths[c] = model(c, size)
             if k > start and wide + w > width:
                 out.append(line[start:k])
+                if len(out) > most:
+                    return out
                 start, wide = k, 0.0
             wide += w
         if line[start:]:
             out.append(line[start:])
+            if len(out) > most:
+                return out
     return out or [text]
 
 
@@ -83,7 +96,9 @@ def fit(text: str, width: float, height: float, font: float, tier: Tier, model:
     """The greatest size, in steps of 0.8 from ``font`` down, at which the wrapped text is low enough."""
     text, size = folded(text), font
     while size >= max(tier.least, font * tier.scale):
-        found = Fit(wrap(text, size, width, model), size, size * tier.spacing)
+        # Wrapping stops at a number of lines that is too high for certain; whether a number fits is decided by their height.
+        most = max(0.0, height * tier.factor / (size * tier.spacing)) + 1
+        found = Fit(wrap(text, size, width, model, most), size, size * tier.spacing)
         if found.height <= height * tier.factor:
             return found
         size -= SHRINK

@@ -6,7 +6,9 @@ group wherever a fold needs order.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,12 +101,11 @@ def caption_regions(blocks: DataFrame, zoom: float = G.ZOOM) -> DataFrame:
     """Tables grown downwards from their captions.
 
     blocks: page, rectangle, block_index, and flags caption, note, paragraph, body of each. The walk down a page is
-    stateful, so a page is one group of a pandas function; its text predicates are computed before, in Catalyst.
+    stateful, so a page is an array, and those with a caption go to Python; text predicates are computed before, in Catalyst.
     """
     tallest, most = max(96.0, 180.0 * zoom / G.BASE_ZOOM), G.scaled(460.0, zoom, 180.0)
 
-    def grow(page: pd.DataFrame) -> pd.DataFrame:
-        rows, out = page.sort_values("block_index").to_dict("records"), []
+    def grow(rows: list[dict]) -> Iterator[tuple[float, float, float, float]]:
         for k, c in enumerate(rows):
             if not c["caption"] or c["y1"] - c["y0"] > tallest:
                 continue
@@ -122,10 +123,18 @@ def caption_regions(blocks: DataFrame, zoom: float = G.ZOOM) -> DataFrame:
                 if b["body"]:
                     box, last, grown = [min(box[0], b["x0"]), max(box[1], b["x1"]), max(box[2], b["y1"])], b["y1"], True
             x0, x1, y1 = box if grown else (c["x0"], c["x1"], c["y1"])
-            out.append((c["doc_id"], c["page_no"], x0 - 2.0, c["y0"] - 2.0, x1 + 2.0, y1 + 2.0))
-        return pd.DataFrame(out, columns=["doc_id", "page_no", *RECT])
-
-    return blocks.groupBy(*PAGE).applyInPandas(grow, _GROWN)
+            yield x0 - 2.0, c["y0"] - 2.0, x1 + 2.0, y1 + 2.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pages = zip(*(b.column(n).to_pylist() for n in (*PAGE, "rows")))
+            out = [(*page, *r) for *page, rows in pages for r in grow(rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, (pa.int64(), pa.int32(), *[pa.float64()] * 4))], names=[*PAGE, *RECT])
+
+    sides = (F.coalesce(F.col(n).cast("double"), F.lit(float("nan"))).alias(n) for n in RECT)
+    item = F.struct("block_index", *sides, "caption", "note", "paragraph", "body")
+    pages = blocks.groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.col("page_no").cast("int").alias("page_no")).agg(F.array_sort(F.collect_list(item)).alias("rows"))
+    return pages.filter(F.exists("rows", lambda b: b["caption"])).mapInArrow(run, _GROWN)
 
 
 def table_note(v: View) -> Column:

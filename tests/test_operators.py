@@ -290,3 +290,25 @@ def test_colours_of_large_ids(spark, tmp_path):
     assert [f.dataType.simpleString() for f in df.schema][1:] == ["double", "int", "int", "int"]
     expected = {(i, 11.0 if i % 2 == 0 else 9.0 + i % 7, (c := i * 4099) >> 16 & 255, c >> 8 & 255, c & 255) for i in ids}
     assert set(map(tuple, df.collect())) == expected
+
+
+def test_wrapping_stops_where_text_cannot_fit():
+    calls, text = [], "a word and another " * 2000
+    model = lambda c, size: calls.append(c) or layout.em_width(c, size)
+    block = {"x0": 0.0, "y0": 0.0, "x1": 560.0, "y1": 40.0, "base_font_size": 24.4, "short": False}
+    assert layout.placed(block, text, "", model) == ("text_overflow_after_wrap", None, 0.0)
+    assert len(calls) < 10_000
+    for size, width, most in ((10.0, 100.0, 0), (10.0, 100.0, 3), (9.2, 33.3, 7), (10.0, 1.0, 5)):
+        whole = layout.wrap("短文 and " * 20 + "\nx", size, width)
+        part = layout.wrap("短文 and " * 20 + "\nx", size, width, most=most)
+        assert part == whole[: most + 1] and layout.wrap("短文 and " * 20 + "\nx", size, width, most=len(whole)) == whole
+
+
+def test_pages_without_captions_stay_in_catalyst(spark):
+    """One Python call for each page took a third of the document flow; now only pages with a caption go to Python, many at once."""
+    row = lambda d, k, y, **f: (d, 1, k, 80.0, y, 600.0, y + 20.0, *(f.get(n, False) for n in ("caption", "note", "paragraph", "body")))
+    rows = [row(1, 0, 10.0, body=True), row(1, 1, 40.0, paragraph=True), row(2, 2, 90.0, body=True), row(2, 0, 10.0, caption=True), row(2, 1, 50.0, body=True), row(2, 3, 130.0, note=True), row(3, 0, 5.0, caption=None)]
+    df = spark.createDataFrame(rows, "doc_id long, page_no int, block_index int, x0 double, y0 double, x1 double, y1 double, caption boolean, note boolean, paragraph boolean, body boolean")
+    out = regions.caption_regions(df)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert list(map(tuple, out.collect())) == [(2, 1, 78.0, 8.0, 602.0, 112.0)]
