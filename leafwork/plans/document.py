@@ -80,14 +80,19 @@ def non_translatable(flags: DataFrame, *more: DataFrame) -> DataFrame:
     return regions.deduplicate(regions.union_regions(grown, *more), 0.90, PAGE)
 
 
-def run(blocks: DataFrame, excluded: DataFrame, memory: DataFrame, providers: list, options: translate.Options, store) -> dict[str, DataFrame]:
-    """The whole dataflow. store(df, name) writes a table and reads it back; it cuts lineage around the provider."""
+def translated(blocks: DataFrame, excluded: DataFrame, memory: DataFrame, providers: list, options: translate.Options, store) -> dict[str, DataFrame]:
+    """The dataflow up to the translations. store(df, name) writes a table and reads it back; it cuts lineage around the provider."""
     flags = store(flagged(blocks), "flags")
     admitted = admission(flags, non_translatable(flags, excluded))
     merged = store(grouping.merge_fragments(jobs(admitted), PAGE_WIDTH), "jobs")
-    out = translate.translate(merged, memory, providers, options, store)
-    fitted = store(layout.render(merged.join(out["translations"].select(*BLOCK, "translation"), BLOCK)), "fitted")
-    return {**out, "admission": admitted.select(*BLOCK, "skip_reason"), "jobs": merged, "fitted": fitted, "diagnostics": layout.diagnostics(fitted, merged)}
+    return {**translate.translate(merged, memory, providers, options, store), "admission": admitted.select(*BLOCK, "skip_reason"), "jobs": merged}
+
+
+def run(blocks: DataFrame, excluded: DataFrame, memory: DataFrame, providers: list, options: translate.Options, store) -> dict[str, DataFrame]:
+    """The whole dataflow: what is translated, fitted into its boxes, and diagnostics."""
+    out = translated(blocks, excluded, memory, providers, options, store)
+    fitted = store(layout.render(out["jobs"].join(out["translations"].select(*BLOCK, "translation"), BLOCK)), "fitted")
+    return {**out, "fitted": fitted, "diagnostics": layout.diagnostics(fitted, out["jobs"])}
 
 
-__all__ = ["BLOCK", "PAGE", "REASONS", "Column", "View", "admission", "flagged", "jobs", "non_translatable", "run", "skip_reason", "view"]
+__all__ = ["BLOCK", "PAGE", "REASONS", "Column", "View", "admission", "flagged", "jobs", "non_translatable", "run", "skip_reason", "translated", "view"]

@@ -740,15 +740,15 @@ def _store(spark: SparkSession):
     return store
 
 
-def document_flow(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def document_flow(spark: SparkSession, d: str, flow: Callable[..., dict[str, DataFrame]] = D.run) -> dict[str, DataFrame]:
     b = blocks(spark, d)
     memory = _memory(spark, d).select("doc_id", "fp", "translation")
-    return D.run(b, B.regions_for(b), memory, [translate.Stub()], translate.Options(), _store(spark))
+    return flow(b, B.regions_for(b), memory, [translate.Stub()], translate.Options(), _store(spark))
 
 
 @query("translate_documents")
 def _(spark, d):
-    return document_flow(spark, d)["translations"]
+    return document_flow(spark, d, D.translated)["translations"]
 
 
 @query("fit_documents")

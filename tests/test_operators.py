@@ -312,3 +312,8 @@ def test_pages_without_captions_stay_in_catalyst(spark):
     out = regions.caption_regions(df)
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert list(map(tuple, out.collect())) == [(2, 1, 78.0, 8.0, 602.0, 112.0)]
+
+
+def test_translations_are_made_without_fitting(spark, data, monkeypatch):
+    monkeypatch.setattr(layout, "render", lambda *_: pytest.fail("translate_documents has no use for fitted text"))
+    assert entry.queries()["translate_documents"](spark, data).count() > 0
