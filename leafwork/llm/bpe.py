@@ -394,16 +394,20 @@ def _with(batch: pa.RecordBatch, drop: str, **columns: pa.Array) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns.values()], names=[*names, *columns])
 
 
+def ids_of(texts: list[bytes], path: str, library: bool = False, kind: str = "<u4", tail: bytes = b"") -> list[bytes]:
+    """The ids of each text, and ``tail``. Before the library, which is quick, steps are short: arrays of a step are most of a worker's memory."""
+    chunks = (library_chunks if library else _dp_chunks)(path)
+    most = common.STEP_BYTES // 2 if library else 2 * common.STEP_BYTES
+    return [x.astype(kind).tobytes() + tail for a, z in common.steps(texts, most) for x in chunks.many(texts[a:z])]
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", library: bool = False, kind: str = "<u4", end: int | None = None) -> DataFrame:
     """Replaces the text column by its ids: little-endian unsigned 32-bit integers (or those of ``kind``) as binary; with an end id, each text ends with it."""
     tail = b"" if end is None else np.array([end], kind).tobytes()
     common.prepare(df.sparkSession)
 
     def run(batch: pa.RecordBatch):
-        chunks = (library_chunks if library else _dp_chunks)(path)
-        texts = common.encoded(batch.column(text))
-        out = [x.astype(kind).tobytes() + tail for a, z in common.steps(texts, 2 * common.STEP_BYTES) for x in chunks.many(texts[a:z])]
-        yield _with(batch, text, **{ids: pa.array(out, pa.binary())})
+        yield _with(batch, text, **{ids: pa.array(ids_of(common.encoded(batch.column(text)), path, library, kind, tail), pa.binary())})
 
     schema = df.drop(text).withColumn(ids, F.lit(None).cast("binary")).schema
     return df.mapInArrow(common.by_batch(run), schema)
