@@ -311,7 +311,7 @@ class Chunks:
         starts = np.flatnonzero(edge)
         ends = np.append(starts[1:], len(data))
         h, h2 = self._hash(data, starts, ends)
-        distinct, index, inverse = np.unique(h, return_index=True, return_inverse=True)
+        distinct, index, inverse = _distinct(h)
         second = h2[index]
         if (h2 != second[inverse]).any():  # two chunks with one hash: they aren't cached
             for k in safe:
@@ -348,6 +348,17 @@ class Chunks:
         return self.many([text])[0]
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """np.unique with the first index and the inverse, by hashing: only distinct values are sorted."""
+    coded = pa.array(h).dictionary_encode()
+    seen, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    first, rank = np.empty(len(seen), np.int64), np.empty(len(seen), np.int64)
+    first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    order = np.argsort(seen)
+    rank[order] = np.arange(len(seen))
+    return seen[order], first[order], rank[code]
+
+
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... for size[0] values, then those of the next."""
     ends = np.cumsum(size)

@@ -927,3 +927,11 @@ def test_encoding_takes_little_memory():
     finally:
         tracemalloc.stop()
     assert found[:3] == whole and all(x.endswith(b"\0\0") for x in found)
+
+
+def test_distinct_chunks_are_those_of_unique():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 5, 1000, 50_000):
+        h = r.integers(0, n // 3 + 2, n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for mine, numpys in zip(bpe._distinct(h), np.unique(h, return_index=True, return_inverse=True)):
+            assert (mine == numpys).all()
