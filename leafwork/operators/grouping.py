@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby, islice
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import geometry as G
+from ..functions import plain_predicates as plain
 from ..functions import predicates as is_
 from ..functions.geometry import Rect
 from ..functions.text import collapse, fingerprint, strip, words
@@ -90,11 +98,74 @@ def merge_fragments(blocks: DataFrame, page_width: float) -> DataFrame:
     return merged.drop("grp").withColumns({"width": F.greatest(F.lit(1.0), F.col("x1") - F.col("x0")), "height": F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))})
 
 
+_ENTRY = "doc_id long, page_no int, block_index int, x0 double, y0 double, x1 double, y1 double, width double, height double, base_font_size double, n_parts int, text string, prompt string, facts struct<keeps:boolean,n:int,words:int,items:int,marks:int>"
+
+
+def by_page(rows: DataFrame) -> DataFrame:
+    """rows with those of a page next to each other, by block_index: one shuffle and a sort."""
+    return rows.repartition(*PAGE).sortWithinPartitions(*PAGE, "block_index")
+
+
+def pages_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(doc_id, page_no) and the rows of each page, of batches whose first two columns these are."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+    for page, own in groupby(rows, key=itemgetter(0, 1)):
+        yield page, list(own)
+
+
+def in_batches(rows: Iterator[tuple], to: pa.Schema, size: int = 500) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of a schema."""
+    while part := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), to)], schema=to)
+
+
+def merged_pages(jobs: DataFrame, texts: DataFrame, page_width: float) -> DataFrame:
+    """merge_fragments of admitted blocks (rectangle, base_font_size), page by page in plain functions, with what translating needs.
+
+    texts: block_index and text of all blocks. They meet jobs by a union, not a join: a text is shuffled once. Of a merged
+    block come prompt (the compacted text; null where it is the text itself) and facts (what setting its translation needs).
+    """
+    none = lambda t: F.lit(None).cast(t)
+    sides = [F.col(n).cast("double").alias(n) for n in ("x0", "y0", "x1", "y1", "base_font_size")]
+    key = [F.col("doc_id").cast("long").alias("doc_id"), F.col("page_no").cast("int").alias("page_no"), F.col("block_index").cast("int").alias("block_index")]
+    known = jobs.select(*key, F.lit(True).alias("job"), *sides, none("string").alias("text"))
+    both = known.unionByName(texts.select(*key, F.lit(False).alias("job"), *(none("double").alias(n) for n in ("x0", "y0", "x1", "y1", "base_font_size")), "text"))
+    schema = to_arrow_schema(T._parse_datatype_string(_ENTRY))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for page, rows in pages_of(batches):
+            said = {r[2]: r[9] for r in rows if not r[3]}
+            own = [plain.Fragment(r[2], r[4:9], said[r[2]], page_width) for r in rows if r[3]]
+            for run in plain.merged(own, MAX_GROUP, MAX_MERGED_HEIGHT):
+                run.sort(key=lambda b: b.block_index)
+                text = plain.glued([b.text.strip() for b in run])
+                x0, y0, x1, y1 = min(b.x0 for b in run), min(b.y0 for b in run), max(b.x1 for b in run), max(b.y1 for b in run)
+                prompt = plain.compact(text)
+                facts = dict(zip(("keeps", "n", "words", "items", "marks"), plain.facts(text)))
+                yield *page, run[0].block_index, x0, y0, x1, y1, max(1.0, x1 - x0), max(1.0, y1 - y0), max(b.font for b in run), len(run), text, None if prompt == text else prompt, facts
+
+    return by_page(both).mapInArrow(lambda batches: in_batches(blocks(batches), schema), _ENTRY)
+
+
 def long_limit(max_chars: int) -> int:
     """Texts from this length on are batches of their own."""
     return max(760, min(980, int(max_chars * 0.30)))
 
 
+def packed(sizes: list[int], max_blocks: int = MAX_BLOCKS, max_chars: int = MAX_CHARS) -> list[int]:
+    """pack over the characters of one page's rows, in order."""
+    out, limit = [], long_limit(max_chars)
+    batch = n = size = 0
+    for chars in sizes:
+        alone = chars >= limit
+        if alone or n == 0 or n >= max_blocks or size + chars > max_chars:
+            batch, n, size = batch + 1, 0, 0
+        if not alone:
+            n, size = n + 1, size + chars
+        out.append(batch)
+    return out
+
+
 def pack(rows: DataFrame, key: list[str], order: list[str], chars: str, max_blocks: int = MAX_BLOCKS, max_chars: int = MAX_CHARS) -> DataFrame:
     """Adds batch (from 1, in each key): greedy packing in order, with caps on blocks and characters; long texts go alone.
 

@@ -8,17 +8,23 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions import quality as Q
-from ..functions.text import cjk, collapse, keeps_lines, lines, matches, occurrences, repair_unicode, strip, sub, view, words
 from ..functions import patterns as P
+from ..functions import plain_predicates as plain
+from ..functions.plain import cjk as count_cjk
+from ..functions.text import collapse, keeps_lines, lines, matches, repair_unicode, strip, sub, view
+from . import grouping
 
 WidthModel = Callable[[str, float], float]
 
@@ -46,25 +52,28 @@ def _plain(c: str) -> str:
 
 def wrap(text: str, size: float, width: float, model: WidthModel = em_width, most: float = math.inf) -> list[str]:
     """Character-wise lines that aren't wider than width; a line has one character at least. Beyond ``most`` lines it stops."""
-    out, widths = [], {}
+    out, widths = [], {c: model(c, size) for c in set(text)}
+    least = min((w for w in widths.values() if w > 0), default=0.0)
     for line in text.splitlines() or [text]:
-        start, wide = 0, 0.0
-        for k, c in enumerate(line):
-            if (w := widths.get(c)) is None:
-                w = widths[c] = model(c, size)
-            if k > start and wide + w > width:
-                out.append(line[start:k])
-                if len(out) > most:
-                    return out
-                start, wide = k, 0.0
-            wide += w
-        if line[start:]:
-            out.append(line[start:])
+        wide, start, n = list(map(widths.__getitem__, line)), 0, len(line)
+        # So many characters fill a line, unless some have no width.
+        most_chars = int(width / least) + 2 if least > 0 and min(wide, default=0.0) > 0 else n
+        while start < n:
+            end = start + max(1, bisect_right(list(accumulate(wide[start : start + most_chars])), width))
+            out.append(line[start:end])
             if len(out) > most:
                 return out
+            start = end
     return out or [text]
 
 
+@lru_cache(8)
+def _measured(text: str) -> tuple[str, float, float]:
+    """The text as it is set, its width and that of its widest character, in ems."""
+    own = folded(text)
+    return own, sum(map(_em, own.replace("\n", ""))), max(map(_em, own), default=0.0)
+
+
 @dataclass(frozen=True)
 class Tier:
     """How far text may shrink, and how tight its lines are."""
@@ -94,10 +103,14 @@ class Fit:
 
 def fit(text: str, width: float, height: float, font: float, tier: Tier, model: WidthModel = em_width) -> Fit | None:
     """The greatest size, in steps of 0.8 from ``font`` down, at which the wrapped text is low enough."""
-    text, size = folded(text), font
+    (text, ems, widest), size = _measured(text), font
     while size >= max(tier.least, font * tier.scale):
         # Wrapping stops at a number of lines that is too high for certain; whether a number fits is decided by their height.
         most = max(0.0, height * tier.factor / (size * tier.spacing)) + 1
+        if model is em_width and size * widest <= width and size * ems > (most + 1) * width * 1.001:
+            # Full lines would be too many already.
+            size -= SHRINK
+            continue
         found = Fit(wrap(text, size, width, model, most), size, size * tier.spacing)
         if found.height <= height * tier.factor:
             return found
@@ -155,23 +168,29 @@ _FITTED = "doc_id long, page_no int, block_index int, status string, font double
 
 
 def render(blocks: DataFrame, model: WidthModel = em_width) -> DataFrame:
-    """doc_id, page_no, block_index, status, font, line_height, y, lines. blocks: rectangle, base_font_size, text, translation."""
-    s = collapse(F.col("text"))
-    ready = blocks.withColumn("_set", render_text(F.col("text"), F.col("translation")))
-    ready = Q.tight_box(ready, "text", "_set", F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0"), "_c")
-    t = collapse(F.col("_set"))
-    short = words(s).between(2, 7) & (F.length(s) <= 64) & (occurrences(s, ",;:.?!，；：。") <= 1) & (F.col("y1") - F.col("y0") <= 34.0) & (F.col("x1") - F.col("x0") >= 120.0) & (F.length(t) <= 24) & (cjk(t) <= 12)
-    ready = ready.filter(F.col("_set") != "").select("doc_id", "page_no", "block_index", *(F.col(n).cast("double").alias(n) for n in ("x0", "y0", "x1", "y1", "base_font_size")), short.alias("short"), "_set", "_c")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for b in frame.to_dict("records"):
-                status, f, y = placed(b, b["_set"], b["_c"], model)
-                rows.append((b["doc_id"], b["page_no"], b["block_index"], status, f.font if f else None, f.line_height if f else None, y if f else None, f.lines if f else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "page_no", "block_index", "status", "font", "line_height", "y", "lines"])
-
-    return ready.mapInPandas(run, _FITTED)
+    """doc_id, page_no, block_index, status, font, line_height, y, lines. blocks: rectangle, base_font_size, text (or facts of it), translation."""
+    given = "facts" in blocks.columns
+    sides = ["x0", "y0", "x1", "y1", "base_font_size"]
+    ready = blocks.filter("translation is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("page_no").cast("int").alias("page_no"), F.col("block_index").cast("int").alias("block_index"),
+        *(F.col(n).cast("double").alias(n) for n in sides), "facts" if given else "text", "translation",
+    )
+    schema = to_arrow_schema(T._parse_datatype_string(_FITTED))
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for *key, x0, y0, x1, y1, font, source, target in zip(*(c.to_pylist() for c in batch.columns)):
+                keeps, n, en, n_items, marks = source.values() if given else plain.facts(source)
+                text = plain.set_text(target, keeps)
+                if not text:
+                    continue
+                low, wide = y1 - y0 <= 34.0, x1 - x0 >= 120.0
+                short = low and wide and 2 <= en <= 7 and n <= 64 and marks <= 1 and len(flat := " ".join(text.split())) <= 24 and count_cjk(flat) <= 12
+                b = {"x0": x0, "y0": y0, "x1": x1, "y1": y1, "base_font_size": font, "short": short}
+                status, f, y = placed(b, text, plain.tight_box(n, en, n_items, text, y1 - y0, x1 - x0), model)
+                yield *key, status, *((f.font, f.line_height, y, f.lines) if f else (None,) * 4)
+
+    return ready.mapInArrow(lambda batches: grouping.in_batches(fitted(batches), schema), _FITTED)
 
 
 def diagnostics(rendered: DataFrame, blocks: DataFrame) -> DataFrame:

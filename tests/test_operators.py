@@ -317,3 +317,25 @@ def test_pages_without_captions_stay_in_catalyst(spark):
 def test_translations_are_made_without_fitting(spark, data, monkeypatch):
     monkeypatch.setattr(layout, "render", lambda *_: pytest.fail("translate_documents has no use for fitted text"))
     assert entry.queries()["translate_documents"](spark, data).count() > 0
+
+
+def test_pages_are_merged_by_plain_functions(spark):
+    """The same blocks as merge_fragments over joined texts; a text goes through one shuffle, without a join."""
+    import random
+
+    r = random.Random(7)
+    said = ["the servers compute", "and send it to the next", "values of a sum -", "x = y", "count(x)", "1) one", "II Method", "where", "Every word here is", "a-", "é and", "", " ", "Ünder all of them that", "word " * 20, "state1 next"]
+    rows, k = [], 0
+    for page in range(60):
+        y = 50.0
+        for _ in range(r.randint(1, 30)):
+            h, x0 = r.choice([14.0, 14.0, 46.0, 80.0]), r.choice([80.0, 80.0, 84.0, 720.0])
+            rows.append((page // 3, page, k, x0, y, x0 + r.choice([500.0, 500.0, 490.0, 300.0]), y + h, r.choice(said) + r.choice(["", "", "-", ",", "."]), r.choice([11.0, 14.0])))
+            k, y = k + 1, y + h + r.choice([-20.0, -3.0, 0.0, 5.0, 9.0, 25.0, 60.0])
+    df = spark.createDataFrame(rows, BLOCK)
+    some = df.filter("block_index % 11 <> 0")
+    done = grouping.merged_pages(some.drop("text"), df.select("doc_id", "page_no", "block_index", "text"), 1360.0)
+    assert "Join" not in done._jdf.queryExecution().optimizedPlan().toString()
+    columns = ["doc_id", "page_no", "block_index", "x0", "y0", "x1", "y1", "width", "height", "base_font_size", "n_parts", "text"]
+    want = sorted(map(tuple, grouping.merge_fragments(some, 1360.0).select(columns).collect()))
+    assert sorted(map(tuple, done.select(columns).collect())) == want and any(x[10] == 3 for x in want)
