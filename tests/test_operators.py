@@ -339,3 +339,24 @@ def test_pages_are_merged_by_plain_functions(spark):
     columns = ["doc_id", "page_no", "block_index", "x0", "y0", "x1", "y1", "width", "height", "base_font_size", "n_parts", "text"]
     want = sorted(map(tuple, grouping.merge_fragments(some, 1360.0).select(columns).collect()))
     assert sorted(map(tuple, done.select(columns).collect())) == want and any(x[10] == 3 for x in want)
+
+
+@pytest.mark.parametrize("sizes", [[1] * 80, [979, 980, 979], [4000] * 3, [900] * 20, [800] * 10 + [1000] + [1] * 5, [0, 0], [8000, 1]])
+def test_packing_of_a_page(sizes):
+    assert grouping.packed(sizes) == independent_packing(sizes)
+
+
+def test_flow_stores_a_text_once(spark, tmp_path):
+    from leafwork.sources.blocks import from_documents, regions_for
+
+    stored = {}
+
+    def store(df, name):
+        stored[name] = df.columns
+        return _store(tmp_path, spark)(df, name)
+
+    b = from_documents(spark.createDataFrame([(1, "Every server keeps its values private and sends sums only.\nNobody else learns anything of them at all.")], "doc_id long, text string"))
+    out = D.run(b, regions_for(b).limit(0), spark.createDataFrame([], "doc_id long, fp string, translation string"), [translate.Stub()], translate.Options(), store)
+    assert out["fitted"].count() == out["jobs"].count() > 0
+    assert "text" not in stored["flags"] and "texts" not in stored["replies"] and "prompts" not in stored and "lookup" not in stored
+    assert spark.read.parquet(str(tmp_path / "jobs")).filter("prompt = text").count() == 0 and spark.read.parquet(str(tmp_path / "replies")).filter("text is not null").count() == 0
