@@ -107,8 +107,8 @@ def fit(text: str, width: float, height: float, font: float, tier: Tier, model:
     while size >= max(tier.least, font * tier.scale):
         # Wrapping stops at a number of lines that is too high for certain; whether a number fits is decided by their height.
         most = max(0.0, height * tier.factor / (size * tier.spacing)) + 1
-        if model is em_width and size * widest <= width and size * ems > (most + 1) * width * 1.001:
-            # Full lines would be too many already.
+        if model is em_width and size * widest <= width and size * ems > int(height * tier.factor / (size * tier.spacing) + 1e-6) * width * (1 + 1e-6):
+            # As many lines as fit, each of them full, don't hold the text: nothing is wrapped.
             size -= SHRINK
             continue
         found = Fit(wrap(text, size, width, model, most), size, size * tier.spacing)

@@ -360,3 +360,17 @@ def test_flow_stores_a_text_once(spark, tmp_path):
     assert out["fitted"].count() == out["jobs"].count() > 0
     assert "text" not in stored["flags"] and "texts" not in stored["replies"] and "prompts" not in stored and "lookup" not in stored
     assert spark.read.parquet(str(tmp_path / "jobs")).filter("prompt = text").count() == 0 and spark.read.parquet(str(tmp_path / "replies")).filter("text is not null").count() == 0
+
+
+def test_text_that_cannot_fit_is_not_wrapped(monkeypatch):
+    """Sizes at which full lines don't hold the text are passed over; what is left fits as with a model of unknown widths."""
+    tried, wrap = [], layout.wrap
+    monkeypatch.setattr(layout, "wrap", lambda *a: tried.append(a[1]) or wrap(*a))
+    slow = lambda c, size: layout.em_width(c, size)
+    for n, width, height in [(10, 200.0, 30.0), (60, 300.0, 60.0), (110, 560.0, 68.0), (400, 560.0, 68.0), (7, 30.0, 200.0)]:
+        for tier in layout.TIERS:
+            text = "译a" * n
+            tried.clear()
+            found = layout.fit(text, width, height, 24.4, tier)
+            assert len(tried) <= 5
+            assert found == layout.fit(text, width, height, 24.4, tier, slow)
